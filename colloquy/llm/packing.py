@@ -7,10 +7,12 @@ none is padded.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,27 +28,57 @@ KEPT_WORDS = 400_000
 _encoders: dict[str, Encoder] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers, by way of the ids of their words.
 
-    Only for tokenizers that split at white space and drop it, as the default does: its normaliser, its pre-tokeniser and
-    its special tokens never act across ASCII white space, so a text's ids are those of its parts in a row.
+    Only for tokenizers that split at white space and drop it, then letters from digits and from other characters, as the
+    default does: its normaliser, its pre-tokeniser and its special tokens never act across ASCII white space, so a text's ids
+    are those of its words in a row. Letters, and punctuation after them, are parts of their own; parts of letters that lower-case
+    plainly go straight to the tokenizer's model, and all other words through the whole tokenizer.
     """
 
+    #: Punctuation that is parted from the letters before it. An apostrophe is not: with letters it can be a contraction.
+    TAIL = b".,!?;:%$#*&|"
+
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # How the model's vocabulary writes the bytes of the letters up to U+024F.
+        self.shown = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(0x80, 0x250) if chr(c).isalpha()}
+
+    def part(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        if text.isalpha() and (part.isascii() or max(text) < "\u0250" and "\u0130" not in text):
+            low = text.lower()
+            return _packed([t.id for t in self.model.tokenize(low if part.isascii() else low.translate(self.shown))])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: bytes) -> bytes:
+        core = word.rstrip(self.TAIL)
+        if core == word or not core.isalpha() and not core.decode("utf-8", "replace").isalpha():
+            return self.part(word)
+        known, tail = self.known, word[len(core) :]
+        for x in (core, tail):
+            if x not in known:
+                known[x] = self.part(x)
+        return known[core] + known[tail]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # of bytes: at ASCII white space only
-        if new := list(set().union(*split).difference(self.known)):
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known, new = {}, list(set().union(*split))
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update(zip(new, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
+        # Of bytes: A-Z, which the tokenizer lower-cases itself but for its special tokens, and ASCII white space only.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        for w in set().union(*split).difference(known):
+            known[w] = self.word(w)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> Encoder:
@@ -73,23 +105,27 @@ def pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", longest: int
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     plain = without(docs, RESULTS)
-    piece = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
+    kept = [c for c in plain.columns if c != text_col]
 
-    @F.pandas_udf(T.ArrayType(piece))
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last = encoder(tokenizer), np.array([end], "<u4").tobytes()
-        for texts in batches:
-            out = []
-            for i in range(0, len(texts), 500):
-                for ids in encode([(t or "").encode() for t in texts[i : i + 500]]):
-                    n = len(ids) // 4 + 1
-                    ids += last
-                    out.append([{"start": s, "length": k, "ids": ids[4 * s : 4 * (s + k)], "doc_tokens": n} for s, k in cuts(n, longest)])
-            yield pd.Series(out)
-
-    kept = [c for c in plain.columns if c != text_col]
-    cutting = plain.withColumn("_cq_piece", F.explode(cut(text_col)))
-    return cutting.select(*kept, "_cq_piece.*")
+        for batch in batches:
+            texts, others = batch.column(text_col), batch.select(kept)
+            for i in range(0, batch.num_rows, 200):
+                row, start, length, total, ids = [], [], [], [], []
+                for j, coded in enumerate(encode([(t or "").encode() for t in texts[i : i + 200].to_pylist()])):
+                    coded += last
+                    for s, k in cuts(len(coded) // 4, longest):
+                        row.append(i + j)
+                        start.append(s)
+                        length.append(k)
+                        ids.append(coded[4 * s : 4 * (s + k)])
+                        total.append(len(coded) // 4)
+                columns = others.take(pa.array(row, pa.int64())).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], [*kept, "start", "length", "ids", "doc_tokens"])
+
+    schema = T.StructType([*(plain.schema[c] for c in kept), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType())])
+    return plain.mapInArrow(cut, schema)
 
 
 def sequences(cut: DataFrame, order: list[str], chunks: int = 256) -> DataFrame:
