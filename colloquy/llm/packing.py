@@ -22,8 +22,8 @@ from colloquy.llm.common import saved, without
 
 RESULTS = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-#: Encodings of words are kept up to this many for each worker; the memory is some 100 MB at most.
-KEPT_WORDS = 400_000
+#: Encodings of words are kept up to this many for each worker; the memory is some 150 MB at most.
+KEPT_WORDS = 600_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -32,7 +32,7 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder:
+class Encoder(dict):
     """Token ids of whole texts, as little-endian unsigned 32-bit integers, by way of the ids of their words.
 
     Only for tokenizers that split at white space and drop it, then letters from digits and from other characters, as the
@@ -47,7 +47,8 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # How the model's vocabulary writes the bytes of the letters up to U+024F.
@@ -60,25 +61,21 @@ class Encoder:
             return _packed([t.id for t in self.model.tokenize(low if part.isascii() else low.translate(self.shown))])
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def word(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
+        """The ids of a word met for the first time; they are remembered, up to a bound."""
+        if len(self) > KEPT_WORDS:
+            self.clear()
         core = word.rstrip(self.TAIL)
-        if core == word or not core.isalpha() and not core.decode("utf-8", "replace").isalpha():
-            return self.part(word)
-        known, tail = self.known, word[len(core) :]
-        for x in (core, tail):
-            if x not in known:
-                known[x] = self.part(x)
-        return known[core] + known[tail]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if core != word and (core.isalpha() or core.decode("utf-8", "replace").isalpha()):
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = self.part(word)
+        self[word] = ids
+        return ids
+
+    def __call__(self, text: bytes) -> bytes:
         # Of bytes: A-Z, which the tokenizer lower-cases itself but for its special tokens, and ASCII white space only.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        for w in set().union(*split).difference(known):
-            known[w] = self.word(w)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def encoder(path: str) -> Encoder:
@@ -113,8 +110,8 @@ def pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", longest: int
             texts, others = batch.column(text_col), batch.select(kept)
             for i in range(0, batch.num_rows, 200):
                 row, start, length, total, ids = [], [], [], [], []
-                for j, coded in enumerate(encode([(t or "").encode() for t in texts[i : i + 200].to_pylist()])):
-                    coded += last
+                for j, text in enumerate(texts[i : i + 200].to_pylist()):
+                    coded = encode((text or "").encode()) + last
                     for s, k in cuts(len(coded) // 4, longest):
                         row.append(i + j)
                         start.append(s)

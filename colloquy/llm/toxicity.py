@@ -26,7 +26,7 @@ from colloquy.llm.common import saved, without
 RESULTS = ["score", "predicted", "toxic_spans"]
 
 #: Bounds of fitting: labelled texts read, entries of the lexicon, words counted, training segments of SEGMENT tokens.
-MAX_LABELLED, MAX_LEXICON, MAX_WORDS, MAX_SEGMENTS, SEGMENT = 20_000, 20_000, 400_000, 4_000, 128
+MAX_LABELLED, MAX_LEXICON, MAX_WORDS, MAX_SEGMENTS, SEGMENT = 20_000, 20_000, 200_000, 4_000, 128
 #: Lengths of the word beginnings that can be evidence.
 BEGINNINGS = (3, 4, 5, 6)
 #: Evidence classes of a token: none, a word's beginning, a whole word.
