@@ -58,6 +58,21 @@ def with_group(rows: DataFrame, keys: list[str], spread: list[str], aggregates:
     return sliced.join(groups.drop("_cq_mask"), [*keys, "_cq_slice"])
 
 
+def bit_words(hits: DataFrame, bit_col: str) -> DataFrame:
+    """A bitmap of the bits (0, 1, 2, ...) in a column: its 64-bit words that aren't zero, as (_cq_word, _cq_set)."""
+    return hits.groupBy(F.expr(f"shiftright({bit_col}, 6)").alias("_cq_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit_col} & 63 as int)))").alias("_cq_set"))
+
+
+def in_bitmap(rows: DataFrame, words: DataFrame, bits: list[Column], name: str) -> DataFrame:
+    """Add a boolean: whether all the given bits of a row are set in the bitmap, which is broadcast and must be bounded."""
+    probed, found = rows, F.lit(True)
+    for i, bit in enumerate(bits):
+        part = F.broadcast(words.select(F.col("_cq_word").alias(f"_cq_word{i}"), F.col("_cq_set").alias(f"_cq_set{i}")))
+        probed = probed.withColumn(f"_cq_bit{i}", bit).join(part, F.expr(f"shiftright(_cq_bit{i}, 6) = _cq_word{i}"), "left")
+        found = found & F.expr(f"coalesce(getbit(_cq_set{i}, cast(_cq_bit{i} & 63 as int)), 0) = 1")
+    return probed.withColumn(name, found).select(*rows.columns, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of a graph given as edges (a, b) of bigint: one row (node, root) for every node of an edge.
 

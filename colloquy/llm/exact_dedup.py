@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, saved, with_group, without
+from colloquy.llm.common import ascii_lower, bit_words, in_bitmap, saved, with_group, without
 
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -29,8 +29,7 @@ def repeated_bits(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
     """Pass 1: the filter's 64-bit words (_cq_word, _cq_set) that hold a bit hit by two rows or more."""
     hits = rows.select(F.explode(F.array_distinct(F.array(*_bits(F.col("text_sha256"), bits, hashes)))).alias("_cq_bit"))
     twice = hits.groupBy("_cq_bit").count().where("count > 1")
-    return twice.groupBy(F.expr("shiftright(_cq_bit, 6)").alias("_cq_word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(_cq_bit & 63 as int)))").alias("_cq_set"))
+    return bit_words(twice, "_cq_bit")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27) -> DataFrame:
@@ -45,14 +44,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs if text_col not in docs.columns and "text_sha256" in docs.columns else digests(docs, text_col)
     bits = min(max_bits, max(1 << 16, 1 << (bits_per_row * max(1, docs.count()) - 1).bit_length()))
-    words = F.broadcast(saved(repeated_bits(rows, bits, hashes)))
-    probed, again = rows, F.lit(True)
-    for i, bit in enumerate(_bits(F.col("text_sha256"), bits, hashes)):
-        probed = probed.withColumn(f"_cq_bit{i}", bit)
-        part = words.select(F.col("_cq_word").alias(f"_cq_word{i}"), F.col("_cq_set").alias(f"_cq_set{i}"))
-        probed = probed.join(part, F.expr(f"shiftright(_cq_bit{i}, 6) = _cq_word{i}"), "left")
-        again = again & F.expr(f"coalesce(getbit(_cq_set{i}, cast(_cq_bit{i} & 63 as int)), 0) = 1")
-    probed = probed.withColumn("_cq_again", again).select(*rows.columns, "_cq_again")
+    words = saved(repeated_bits(rows, bits, hashes))
+    probed = in_bitmap(rows, words, _bits(F.col("text_sha256"), bits, hashes), "_cq_again")
     alone = probed.where(~F.col("_cq_again")).select(*rows.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     groups = with_group(probed.where("_cq_again"), ["text_sha256"], [id_col], [F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")])
     # Equal ids share a slice, so rows that tie on the largest id meet in this window, which needs no further shuffle.
