@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,17 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the checkpoint folder, for what is wide and read more than once.
+
+    Unlike a checkpoint it is compressed and read by column. It stays until the folder is cleared.
+    """
+    spark = ready(frame.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def without(frame: DataFrame, names: list[str]) -> DataFrame:
     """Drop input columns whose names an operator is about to use (its results and everything starting with _cq_)."""
     taken = {n.lower() for n in names}

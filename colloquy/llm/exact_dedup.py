@@ -32,17 +32,17 @@ def repeated_bits(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
     return bit_words(twice, "_cq_bit")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27, digested: bool = False) -> DataFrame:
     """All rows of docs with keep_id, group_size, kept and text_sha256.
 
     Of equal texts (A-Z folded, null as empty) the row with the largest id stays; null ids rank lowest, and of rows that tie
     on the largest id exactly one is kept. group_size counts rows. Input columns named like a result are replaced; an
-    empty table gives an empty result. docs may already carry text_sha256 from digests() (and then needs no text column).
+    empty table gives an empty result. docs may already carry text_sha256 from digests(): say so, or leave the text column out.
 
     The filter has bits_per_row bits for each row, a power of two of max_bits at most, so what is broadcast is bounded by
     max_bits / 64 words of 16 bytes (32 MB as set). A fuller filter stays right: it only lets more rows shuffle.
     """
-    rows = docs if text_col not in docs.columns and "text_sha256" in docs.columns else digests(docs, text_col)
+    rows = docs if digested or text_col not in docs.columns and "text_sha256" in docs.columns else digests(docs, text_col)
     bits = min(max_bits, max(1 << 16, 1 << (bits_per_row * max(1, docs.count()) - 1).bit_length()))
     words = saved(repeated_bits(rows, bits, hashes))
     probed = in_bitmap(rows, words, _bits(F.col("text_sha256"), bits, hashes), "_cq_again")

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bit_words, in_bitmap, saved, without
-from colloquy.llm.exact_dedup import exact_dedup
+from colloquy.llm.common import bit_words, in_bitmap, saved, without, written
+from colloquy.llm.exact_dedup import digests, exact_dedup
 
 #: Words of a shingle, shingles of a window.
 SHINGLE, WINDOW = 5, 16
@@ -167,7 +167,7 @@ def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
                 if key:
                     yield pd.DataFrame({"seed": np.concatenate(h), "key": np.concatenate(key), "pos": np.concatenate(at)})
 
-    placed = texts.select("key", text_col).mapInPandas(place, "seed long, key long, pos int")
+    placed = written(texts.select("key", text_col).mapInPandas(place, "seed long, key long, pos int"))
     # Only seeds of two texts or more are kept; both sides of the join are plain shuffles, so that a very common seed's rows
     # are dealt out when the join runs.
     shared = placed.groupBy("seed").agg(F.min("key").alias("other"), F.min_by("pos", "key").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -175,7 +175,10 @@ def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def chain_matches(matches: DataFrame) -> DataFrame:
-    """Chains (key, other, ps, qs) of the matches between each two texts: the seeds' positions on both sides."""
+    """Chains (key, other, ps, qs) of the matches between each two texts: the seeds' positions on both sides.
+
+    A seed alone is no chain: passages of 50 words that are alike have two or more.
+    """
     placed = matches.repartition("key", "other").sortWithinPartitions("key", "other", "pos", "at")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +187,9 @@ def chain_matches(matches: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]])) if len(key) else np.zeros(1, int)
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for c in chains(p[a:b], q[a:b]):
-                    out.append((key[a], other[a], p[a:b][c], q[a:b][c]))
+                for c in chains(p[a:b], q[a:b]) if b > a + 1 else ():
+                    if len(c) > 1:
+                        out.append((key[a], other[a], p[a:b][c], q[a:b][c]))
             return pd.DataFrame(out, columns=["key", "other", "ps", "qs"]).astype({"key": "int64", "other": "int64"})
 
         kept = None
@@ -216,7 +220,7 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
         return pd.Series([word_hashes(t or "").astype(np.uint32).tobytes() for t in column], dtype=object)
 
     # Four bytes a word; a chain takes the words around it from each side.
-    words = picked.select("key", hashed(text_col).alias("_cq_words"))
+    words = saved(picked.select("key", hashed(text_col).alias("_cq_words")))
     low = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
     part = lambda c: F.substring(F.col("_cq_words"), 4 * low(c) + 1, 4 * (F.element_at(c, -1) + SHINGLE + MARGIN - low(c)))
     one = found.join(words, "key").select("key", "other", "ps", "qs", low("ps").alias("a0"), part("ps").alias("a"))
@@ -264,9 +268,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or not. Rows with equal ids are different documents. Extra columns are passed over; an empty table gives an empty result.
     """
     rows = without(docs, ["keep_id", "group_size", "kept", "text_sha256"]).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    marked = exact_dedup(rows, "_id", "_text").withColumn("key", F.xxhash64("text_sha256"))
+    rows = written(digests(rows, "_text"))
+    # With the digests at hand only rows that may be copies shuffle, each time that texts are read.
+    marked = exact_dedup(rows, "_id", "_text", digested=True).withColumn("key", F.xxhash64("text_sha256"))
     texts = marked.where("kept").select("key", F.coalesce("_text", F.lit("")).alias("text"))
-    ids = marked.where("kept").select("key", F.col("_id"))
+    ids = saved(exact_dedup(rows.drop("_text"), "_id").where("kept").select(F.xxhash64("text_sha256").alias("key"), "_id"))
     found = saved(passages(texts, "text", least, alike))
     named = found.join(ids.withColumnRenamed("_id", "doc_id"), "key").join(ids.select(F.col("key").alias("other"), F.col("_id").alias("other_id")), "other")
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "alike"]
