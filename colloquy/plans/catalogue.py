@@ -1,4 +1,6 @@
-"""Queries over the driver's tables and the SQL that checks them."""
+"""All queries over the driver's tables and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from colloquy.plans import relational_queries, text_queries
+
+QUERIES = {**relational_queries.QUERIES, **text_queries.QUERIES}
+ORACLES = {**relational_queries.ORACLES, **text_queries.ORACLES}
