@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,30 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def short_batches(frame: DataFrame, rows: int = 1000) -> DataFrame:
+    """Return the frame, with its session set to hand Python at most so many rows at once.
+
+    The default of 10,000 rows is meant for numbers; as many long texts would be gigabytes. A smaller setting is left alone.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return frame
+
+
+def gathered(batches: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Batches of narrow rows, put together to so many rows or more (but for the last)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def saved(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that lost executors cost no recomputation of what came before."""
     ready(frame.sparkSession)

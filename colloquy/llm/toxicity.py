@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved, without
+from colloquy.llm.common import saved, short_batches, without
 
 RESULTS = ["score", "predicted", "toxic_spans"]
 
@@ -48,7 +48,7 @@ class Model:
     def classes(self, tokens: list[str]) -> list[int]:
         """The class of each token; recent answers are remembered, up to a bound."""
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         return [known[t] if t in known else known.setdefault(t, self._class(t)) for t in tokens]
 
@@ -97,8 +97,57 @@ def marginals(rows: list[np.ndarray], emit: np.ndarray, move: np.ndarray, times:
     return out, moves, logs
 
 
-def cover(words: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[dict[str, int], dict[str, int]]:
-    """Evidence from (word, toxic texts with it, clean texts with it): a greedy cover by words and beginnings.
+def sparse_marginals(rows: list[tuple[np.ndarray, np.ndarray, int]], emit: np.ndarray, move: np.ndarray) -> list[np.ndarray]:
+    """Each evidence token's probability of state 1, of texts given as (positions, classes, number of tokens).
+
+    Forward-backward over evidence tokens only. The tokens between have class 0 and all act alike, so a run of them is a power
+    of one 2 x 2 matrix; the result is that of a pass over every token.
+    """
+    e, m = np.exp(emit), np.exp(move)
+    step = m * e[0][None, :]
+    step = step / np.abs(np.linalg.eigvals(step)).max()
+    powers: dict[int, np.ndarray] = {}
+
+    def run(n: int) -> np.ndarray:
+        if n not in powers:
+            powers[n] = np.linalg.matrix_power(step, n)
+        return powers[n]
+
+    order = np.argsort([-len(p) for p, _, _ in rows], kind="stable")
+    sizes = np.array([len(rows[i][0]) for i in order])
+    steps = sizes[0]
+    shown, links = np.ones((steps, len(rows), 2)), np.zeros((steps, len(rows), 2, 2))
+    first, last = np.ones((len(rows), 2)), np.ones((len(rows), 2))
+    for j, i in enumerate(order):
+        at, c, n = rows[i]
+        shown[: len(at), j] = e[c]
+        gaps = np.diff(at) - 1
+        links[1 : len(at), j] = [run(g) @ m for g in gaps.tolist()] if len(gaps) else np.zeros((0, 2, 2))
+        if at[0]:
+            first[j] = e[0] @ run(int(at[0]) - 1) @ m
+        last[j] = run(n - 1 - int(at[-1])) @ np.ones(2)
+    active = np.searchsorted(-sizes, -np.arange(steps), side="left")
+    forward, backward = np.zeros((steps, len(rows), 2)), np.ones((steps, len(rows), 2))
+    for t in range(steps):
+        n = active[t]
+        f = (first if t == 0 else np.einsum("ni,nij->nj", forward[t - 1, :n], links[t, :n])) * shown[t, :n]
+        forward[t, :n] = f / f.sum(axis=1, keepdims=True)
+    for t in range(steps - 1, -1, -1):
+        n, more = active[t], active[t + 1] if t + 1 < steps else 0
+        b = np.array(last[:n])
+        if more:
+            b[:more] = np.einsum("nij,nj->ni", links[t + 1, :more], shown[t + 1, :more] * backward[t + 1, :more])
+        backward[t, :n] = b / b.sum(axis=1, keepdims=True)
+    both = forward * backward
+    on = both[:, :, 1] / np.maximum(both.sum(axis=2), 1e-300)
+    out: list[np.ndarray] = [None] * len(rows)
+    for j, i in enumerate(order):
+        out[i] = on[: sizes[j], j]
+    return out
+
+
+def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Evidence from (word, toxic texts with it, clean texts with it, its features): a greedy cover by words and beginnings.
 
     The strongest feature by the G statistic is taken, its words are set aside, and what remains is weighed again, until no
     feature is beyond chance for the number of features tried (and 90% of what it hits is toxic). Of equally strong features
@@ -106,8 +155,8 @@ def cover(words: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[di
     """
     base = toxic / max(1, toxic + clean)
     features: dict[str, list[int]] = defaultdict(list)
-    for i, (w, *_) in enumerate(words):
-        for f in (w, *("^" + w[:k] for k in BEGINNINGS if len(w) > k)):
+    for i, w in enumerate(words):
+        for f in w[3]:
             features[f].append(i)
     gone = [False] * len(words)
 
@@ -187,36 +236,33 @@ def statistics(model: Model, texts: list[str]) -> tuple[np.ndarray, list[list[di
     """
     stats, spans = np.zeros((len(texts), 2)), [[] for _ in texts]
     base = float(marginals([np.zeros(33, np.int64)], model.emit, model.move)[0][0][16])
-    found: list[tuple[int, np.ndarray]] = []
+    found, owner = [], []
     for i, text in enumerate(texts):
         classes = model.classes(TOKEN.findall(text.lower()))
         if not classes:
             continue
         stats[i] = base, 0.0
         if any(classes):
-            found.append((i, np.array(classes, np.int64)))
-    found.sort(key=lambda x: len(x[1]))
-    while found:
-        block, size = [], 0
-        while found and (not block or (size := size + len(block[0][1])) < 400_000):
-            block.append(found.pop())
-        on, _, _ = marginals([c for _, c in block], model.emit, model.move)
-        for (i, c), p in zip(block, on, strict=True):
-            stats[i] = p.max(), math.log1p(p[p >= 0.1].sum())
-            low = texts[i].lower()
-            same = len(low) == len(texts[i])
-            for t, m in enumerate(TOKEN.finditer(low) if (p >= 0.5).any() else ()):
-                if p[t] >= 0.5:
-                    s = spans[i]
-                    if s and t == last + 1:
-                        s[-1]["end"], s[-1]["probability"] = m.end(), max(s[-1]["probability"], float(p[t]))
-                    else:
-                        s.append({"start": m.start(), "end": m.end(), "probability": float(p[t])})
-                    last = t
-            if not same:  # lower-casing changed the length somewhere: find the offsets in the text itself
-                at = [m.span() for m in TOKEN.finditer(texts[i])]
-                if len(at) == len(c):
-                    spans[i] = [{"start": at[t][0], "end": at[t][1], "probability": float(p[t])} for t in np.flatnonzero(p >= 0.5)]
+            c = np.array(classes, np.int64)
+            at = np.flatnonzero(c)
+            found.append((at, c[at], len(c)))
+            owner.append(i)
+    for k in range(0, len(found), 500):
+        block = found[k : k + 500]
+        for i, (at, _, n), p in zip(owner[k : k + 500], block, sparse_marginals(block, model.emit, model.move), strict=True):
+            stats[i] = max(base, p.max()), math.log1p(p[p >= 0.1].sum())
+            if (p >= 0.5).any():
+                low = texts[i].lower()
+                # Where lower-casing changes the length the offsets are those in the text itself, if it has the same tokens.
+                places = [m.span() for m in TOKEN.finditer(low if len(low) == len(texts[i]) else texts[i])]
+                if len(places) == n:
+                    for t, q in zip(at[p >= 0.5].tolist(), p[p >= 0.5].tolist(), strict=True):
+                        s = spans[i]
+                        if s and t == last + 1:
+                            s[-1]["end"], s[-1]["probability"] = places[t][1], max(s[-1]["probability"], q)
+                        else:
+                            s.append({"start": places[t][0], "end": places[t][1], "probability": q})
+                        last = t
     return stats, spans
 
 
@@ -237,6 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     must be beyond chance by the different words it follows, too. Only counts of words (MAX_WORDS at most) and class numbers of MAX_SEGMENTS segments
     and the sample's statistics (two numbers a text) come to the driver.
     """
+    short_batches(docs)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_cq_id")).agg(F.max(label_col).cast("int").alias("_cq_toxic"))
     total = usable.count()
     chosen = usable.where(F.pmod(F.xxhash64("_cq_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.97 * max_labelled / max(1, total)))) if total > max_labelled else usable
@@ -245,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[i : i + 200] for b in batches for i in range(0, len(b), 200)):
             found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
                 for w in set(TOKEN.findall(text.lower())):
@@ -253,14 +300,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame({"word": list(found), "t": [v[0] for v in found.values()], "c": [v[1] for v in found.values()]}).astype({"t": "int64", "c": "int64"})
 
     counts = saved(sample.mapInPandas(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    starts = counts.where("t > 0").select(F.explode(F.array("word", *(F.when(F.length("word") > k, F.concat(F.lit("^"), F.left("word", F.lit(k)))) for k in BEGINNINGS))).alias("f"), "t").where("f is not null")
-    starts = starts.groupBy("f").agg(F.sum("t").alias("n")).where("n >= 3").orderBy(F.desc("n"), "f").limit(MAX_WORDS).select("f")
-    likely = counts.select("word", "t", "c", F.explode(F.array("word", *(F.when(F.length("word") > k, F.concat(F.lit("^"), F.left("word", F.lit(k)))) for k in BEGINNINGS))).alias("f")).join(starts, "f").groupBy("word", "t", "c").count()
-    words = [(r[0], r[1], r[2]) for r in likely.orderBy(F.desc("t"), F.desc("c"), "word").limit(MAX_WORDS).select("word", "t", "c").toPandas().itertuples(index=False)]
+    forms = F.array("word", *(F.when(F.length("word") > k, F.concat(F.lit("^"), F.left("word", F.lit(k)))) for k in BEGINNINGS))
+    features = counts.select("word", "t", "c", F.explode(F.array_compact(forms)).alias("f"))
+    # Only features that are mostly in toxic texts can be evidence; with each come all words that have it.
+    likely = features.groupBy("f").agg(F.sum("t").alias("n"), F.sum("c").alias("m")).where("n >= 3 and n >= m").select("f")
+    words = features.join(likely, "f").groupBy("word", "t", "c").agg(F.sort_array(F.collect_list("f")).alias("f")).orderBy(F.desc("t"), F.desc("c"), "word").limit(MAX_WORDS)
+    words = [tuple(w) for w in words.toPandas().itertuples(index=False)]
     lexicon, need = cover(words, toxic, clean)
 
     def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[i : i + 200] for b in batches for i in range(0, len(b), 200)):
             found = set()
             for text in batch["text"]:
                 before = ""
@@ -274,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model({f: c for f, c in lexicon.items() if varied.get(f, 0) >= need[f]}, np.zeros((CLASSES, 2)), np.zeros((2, 2)), np.zeros(3))
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (b.iloc[i : i + 200] for b in batches for i in range(0, len(b), 200)):
             out = []
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
                 c = model.classes(TOKEN.findall(text.lower()))
@@ -313,10 +362,11 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.pandas_udf(kind)
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            stats, spans = statistics(model, [t or "" for t in texts])
-            yield pd.DataFrame({"score": scores(model, stats), "toxic_spans": spans})
+            parts = [statistics(model, [t or "" for t in texts[i : i + 500]]) for i in range(0, len(texts), 500)]
+            stats = np.concatenate([x for x, _ in parts]) if parts else np.zeros((0, 2))
+            yield pd.DataFrame({"score": scores(model, stats), "toxic_spans": [s for _, spans in parts for s in spans]})
 
-    plain = without(docs, RESULTS)
+    plain = without(short_batches(docs), RESULTS)
     rated = plain.withColumn("_cq_rated", rate(text_col))
     return rated.select(*plain.columns, F.col("_cq_rated.score").alias("score"), (F.col("_cq_rated.score") >= 0.5).cast("int").alias("predicted"), F.col("_cq_rated.toxic_spans").alias("toxic_spans"))
 
