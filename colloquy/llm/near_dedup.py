@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import components, saved, with_group, without
+from colloquy.llm.common import components, gathered, saved, short_batches, with_group, without, written
 
 #: Links are at this many differing bits or fewer; the anchors are laid out for it.
 RADIUS = 3
@@ -115,7 +115,7 @@ def links(distinct: DataFrame, print_col: str = "fingerprint") -> DataFrame:
             a, b = _links(rows["anchor"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy())
             return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-        for batch in batches:
+        for batch in gathered(batches):
             rows = pd.concat([kept, batch], ignore_index=True)
             cut = int(np.searchsorted(rows["anchor"].to_numpy(), rows["anchor"].iloc[-1])) if len(rows) else 0
             kept = rows.iloc[cut:]
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
                     groups, held = [], 0
             yield pd.Series(np.concatenate([*out, votes(groups)]).view(np.int64))
 
-    return without(docs, ["fingerprint"]).withColumn("fingerprint", fingerprint(text_col))
+    return without(short_batches(docs), ["fingerprint"]).withColumn("fingerprint", fingerprint(text_col))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -172,9 +172,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are linked if their fingerprints differ in RADIUS bits or fewer; component_id is the smallest id that links reach
     (null ids are passed over; null if all are). One row of each component is kept: one with component_id, or any if ids are
     null. Null and empty texts have fingerprint 0 and are linked like any other. Input columns named like a result are
-    replaced; an empty table gives an empty result. docs may already carry fingerprint (and then needs no text column).
+    replaced; an empty table gives an empty result. docs may already carry fingerprint (and then needs no text column); else the
+    rows are written once with their fingerprints, which several steps read.
     """
-    rows = docs if text_col not in docs.columns and "fingerprint" in docs.columns else fingerprints(docs, text_col, shingle)
+    rows = docs if text_col not in docs.columns and "fingerprint" in docs.columns else written(fingerprints(docs, text_col, shingle))
     rows = without(rows, ["component_id", "kept"])
     skinny = saved(rows.select("fingerprint", F.col(id_col).alias("_cq_id")).groupBy("fingerprint").agg(F.min("_cq_id").alias("_cq_first")))
     member = components(links(skinny)).withColumnRenamed("node", "fingerprint")
