@@ -18,12 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import saved, without
+from colloquy.llm.common import saved, short_batches, without
 
 RESULTS = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-#: Encodings of words are kept up to this many for each worker; the memory is some 150 MB at most.
-KEPT_WORDS = 600_000
+#: Encodings of words are kept up to this many for each worker; the memory is some 50 MB at most.
+KEPT_WORDS = 200_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", longest: int
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    plain = without(docs, RESULTS)
+    plain = without(short_batches(docs), RESULTS)
     kept = [c for c in plain.columns if c != text_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
