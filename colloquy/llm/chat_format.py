@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved, without
+from colloquy.llm.common import saved, short_batches, without
 
 ROLES = ("system", "user", "assistant")
 #: States: 0 to 2 begin a turn of a role, 3 to 5 are inside one.
@@ -144,7 +144,7 @@ def transcripts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """
     part = F.coalesce(F.floor(F.col(turn_col) / span), F.lit(0)).cast("long")
     role = F.when(F.col(role_col).isin(*ROLES), F.col(role_col)).otherwise(F.lit("user"))
-    rows = turns.select(F.col(conv_col).cast("string").alias("c"), part.alias("p"), F.col(turn_col).alias("t"), role.alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
+    rows = short_batches(turns).select(F.col(conv_col).cast("string").alias("c"), part.alias("p"), F.col(turn_col).alias("t"), role.alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))
     placed = rows.repartition("c", "p").sortWithinPartitions("c", "p", "t", "r", "x")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +208,7 @@ def format_chats(raw: DataFrame, model: Chain, text_col: str = "text") -> DataFr
         parsed = [model.parse(t or "") for t in texts]
         return pd.DataFrame({"turns": [[{"role": r, "text": x} for r, x in p] for p in parsed], "chat": [render(p) for p in parsed]})
 
-    plain = without(raw, ["turns", "chat"])
+    plain = without(short_batches(raw), ["turns", "chat"])
     return plain.withColumn("_cq_read", read(text_col)).select(*plain.columns, "_cq_read.turns", "_cq_read.chat")
 
 

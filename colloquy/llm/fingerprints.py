@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved, with_group
+from colloquy.llm.common import saved, short_batches, with_group
 
 BITS = 128
 
@@ -94,7 +94,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     columns = DIGEST.format(id=kind) + ", part int, edge string, text string"
-    rows = docs.select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_cq_text")).withColumn("_cq_hash", F.xxhash64("_cq_text"))
+    rows = short_batches(docs).select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_cq_text")).withColumn("_cq_hash", F.xxhash64("_cq_text"))
     order = [F.col("_cq_id").asc_nulls_first(), F.col("_cq_hash"), F.col("_cq_text")]
     placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 

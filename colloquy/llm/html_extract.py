@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import saved, with_group, without
+from colloquy.llm.common import saved, short_batches, with_group, without
 
 #: Paths kept per host, best first; a page without any of them still has its own best container.
 RANKS = 8
@@ -234,7 +234,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     Null html counts as empty; pages without a host (null or odd urls) vote together. Input columns named like a result are
     replaced; an empty table gives an empty result. Only the winners' table may be broadcast, after a check of its size.
     """
-    plain = without(pages, ["text", "n_chars"])
+    plain = without(short_batches(pages), ["text", "n_chars"])
     hosted = plain.withColumn("_cq_host", F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
     won = saved(winners(votes(hosted, html_col)))
     size = won.agg(F.sum(F.length("_cq_host") + F.coalesce(F.length(F.concat_ws("", "_cq_paths")), F.lit(0)) + 64)).first()[0] or 0

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bit_words, in_bitmap, saved, without, written
+from colloquy.llm.common import bit_words, gathered, in_bitmap, saved, short_batches, without, written
 from colloquy.llm.exact_dedup import digests, exact_dedup
 
 #: Words of a shingle, shingles of a window.
@@ -193,7 +193,7 @@ def chain_matches(matches: DataFrame) -> DataFrame:
             return pd.DataFrame(out, columns=["key", "other", "ps", "qs"]).astype({"key": "int64", "other": "int64"})
 
         kept = None
-        for batch in batches:
+        for batch in gathered(batches):
             rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
             if not len(rows):
                 continue
@@ -267,7 +267,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cutting all listed passages leaves one copy. Null and empty texts have no passages; texts under `least` words neither, copies
     or not. Rows with equal ids are different documents. Extra columns are passed over; an empty table gives an empty result.
     """
-    rows = without(docs, ["keep_id", "group_size", "kept", "text_sha256"]).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = without(short_batches(docs), ["keep_id", "group_size", "kept", "text_sha256"]).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = written(digests(rows, "_text"))
     # With the digests at hand only rows that may be copies shuffle, each time that texts are read.
     marked = exact_dedup(rows, "_id", "_text", digested=True).withColumn("key", F.xxhash64("text_sha256"))
