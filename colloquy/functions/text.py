@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def format_time(x: Column | str, form: str = TIME_FORMAT) -> Column:
 
 def first_date(x: Column | str) -> Column:
     """F12. The first yyyy-mm-dd in a text, as a date; null if there is none or it isn't one."""
-    return F.try_to_date(F.nullif(F.regexp_extract(col(x), DATE, 0), F.lit("")), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.try_to_timestamp(F.nullif(F.regexp_extract(col(x), DATE, 0), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(col(x), DATE, 0), F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
 
 
 def count_cjk(x: Column | str) -> Column:
@@ -118,8 +119,6 @@ def segment(x: Column | str) -> Column:
 
 def segmenter(cut):
     """Y1. A Column function from a Python segmenter: a callable from text to words (a user dictionary is its own affair)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else " ".join(cut(t)))

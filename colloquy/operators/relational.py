@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -59,9 +60,10 @@ def missing_counts(users: DataFrame, sources: dict[str, DataFrame], key: str = "
 def with_children(parents: DataFrame, children: DataFrame, key: str, id_col: str, user_col: str) -> DataFrame:
     """J3, A4. Parents with the distinct ids and users of their children, as sorted arrays, empty where there are none."""
     sets = children.groupBy(key).agg(F.sort_array(F.collect_set(id_col)).alias("comment_set"), F.sort_array(F.collect_set(user_col)).alias("user_set"))
-    empty = F.array().cast("array<string>")
     joined = parents.join(sets, key, "left")
-    return joined.withColumn("comment_set", F.coalesce("comment_set", empty.cast(sets.schema["comment_set"].dataType))).withColumn("user_set", F.coalesce("user_set", empty.cast(sets.schema["user_set"].dataType)))
+    for name in ("comment_set", "user_set"):
+        joined = joined.withColumn(name, F.coalesce(name, F.array().cast(T.ArrayType(sets.schema[name].dataType.elementType))))
+    return joined
 
 
 def union_users(*frames: DataFrame) -> DataFrame:
