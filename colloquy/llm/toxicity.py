@@ -27,6 +27,8 @@ RESULTS = ["score", "predicted", "toxic_spans"]
 
 #: Bounds of fitting: labelled texts read, entries of the lexicon, words counted, training segments of SEGMENT tokens.
 MAX_LABELLED, MAX_LEXICON, MAX_WORDS, MAX_SEGMENTS, SEGMENT = 20_000, 20_000, 200_000, 4_000, 128
+#: The sample is small and read several times, so it is kept in few parts: many tiny tasks would only start more Python workers.
+SAMPLE_PARTS = 24
 #: Lengths of the word beginnings that can be evidence.
 BEGINNINGS = (3, 4, 5, 6)
 #: Evidence classes of a token: none, a word's beginning, a whole word.
@@ -287,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_cq_id")).agg(F.max(label_col).cast("int").alias("_cq_toxic"))
     total = usable.count()
     chosen = usable.where(F.pmod(F.xxhash64("_cq_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.97 * max_labelled / max(1, total)))) if total > max_labelled else usable
-    sample = saved(docs.select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_cq_id").select("text", F.col("_cq_toxic").alias("toxic")).dropDuplicates())
+    sample = saved(docs.select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_cq_id").select("text", F.col("_cq_toxic").alias("toxic")).dropDuplicates().coalesce(SAMPLE_PARTS))
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
 
