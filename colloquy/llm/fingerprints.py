@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colloquy.llm.common import saved, short_batches, with_group
 
@@ -92,11 +93,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Documents are range-partitioned by id once and walked in order with one document in hand. Each partition's first and last
     document meet their neighbours in a second small step, so texts are shuffled once and never gathered.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = DIGEST.format(id=kind) + ", part int, edge string, text string"
+    kind = docs.schema[id_col].dataType
+    # Whole numbers with nulls among them would reach pandas as floats, so Python gets whole numbers as text.
+    shown = "string" if isinstance(kind, T.IntegralType) else kind.simpleString()
+    columns = DIGEST.format(id=shown) + ", part int, edge string, text string"
     rows = short_batches(docs).select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_cq_text")).withColumn("_cq_hash", F.xxhash64("_cq_text"))
     order = [F.col("_cq_id").asc_nulls_first(), F.col("_cq_hash"), F.col("_cq_text")]
-    placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    placed = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order).select(F.col("_cq_id").cast(shown), "_cq_text")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held = TaskContext.get().partitionId(), None
@@ -109,8 +112,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for k in range(0, len(batch), 500):
                 ids, texts = batch["_cq_id"].tolist()[k : k + 500], batch["_cq_text"].tolist()[k : k + 500]
-                if batch["_cq_id"].dtype.kind == "f":  # whole numbers with nulls among them
-                    ids = [None if x != x else int(x) for x in ids]
                 prints = fingerprint(texts)
                 if held is None:
                     yield edge(None, texts[0], "first")
@@ -135,11 +136,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, following, ids = batch["text"].tolist(), batch["following"].tolist(), batch["doc_id"].tolist()
-            if batch["doc_id"].dtype.kind == "f":
-                ids = [None if x != x else int(x) for x in ids]
             yield _digests(ids, texts, fingerprint(texts), following, fingerprint(following))
 
-    return done.unionByName(ends.mapInPandas(finish, DIGEST.format(id=kind)))
+    return done.unionByName(ends.mapInPandas(finish, DIGEST.format(id=shown))).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def block_tables(prints: DataFrame, radius: int, print_col: str = "fingerprint") -> DataFrame:
