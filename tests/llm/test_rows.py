@@ -83,6 +83,8 @@ def test_sharding(docs):
         assert r.grown_shard in (r.shard, 40)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len({r.doc_id: r.shard for r in got}) == len({(r.doc_id, r.shard) for r in got})
+    hot = sharding.shard(docs.sparkSession.range(3000).selectExpr("if(id % 3 = 0, id, null) doc_id", "id size"), ["doc_id"], 4, ["size"], 8).where("doc_id is null").collect()
+    assert len(hot) == 2000 and len({r.shard for r in hot}) == 1 and len({r.slot for r in hot}) == 2000
     many = sharding.jump(np.random.default_rng(3).integers(0, 2**63, 40_000).astype(np.uint64), 40)
     assert np.bincount(many, minlength=40).min() > 850
 
