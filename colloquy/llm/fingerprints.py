@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import saved, short_batches, with_group
+from colloquy.llm.common import short_batches, with_group, written
 
 BITS = 128
 
@@ -124,7 +124,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield edge(held[0], held[1], "last")
 
     names = [c.split()[0] for c in columns.split(", ")]
-    walked = saved(placed.mapInPandas(follow, columns))
+    walked = written(placed.mapInPandas(follow, columns))
     done = walked.where("edge is null").drop("part", "edge", "text")
     firsts = walked.where("edge = 'first'").select(F.col("part").alias("_cq_next"), F.col("text").alias("following"))
     lasts = walked.where("edge = 'last'").select("part", "doc_id", "text")
@@ -179,5 +179,5 @@ def count_near(digests: DataFrame, radius: int = 3, every: int = 50) -> DataFram
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    digests = saved(fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    digests = written(fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return count_near(digests)
