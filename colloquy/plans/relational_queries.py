@@ -168,11 +168,15 @@ TRUE = """
 u AS (SELECT s_suppkey AS user_id FROM supplier),
 tp AS (SELECT DISTINCT l_orderkey AS topic_id, o_custkey AS creator_id, l_suppkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey AND o_custkey IN (SELECT user_id FROM u) AND l_suppkey IN (SELECT user_id FROM u)),
 tr AS (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n_true FROM tp QUALIFY count(*) OVER (PARTITION BY topic_id) >= 5),
+nu AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '-42'), user_id) - 1 AS at, count(*) OVER () AS n_users FROM u),
+th AS (SELECT DISTINCT topic_id, creator_id, n_true, ('0x' || substr(md5(topic_id || '-42'), 1, 15))::BIGINT % (SELECT count(*) FROM u) AS first FROM tr),
 ca AS (
-  SELECT h.topic_id, h.creator_id, u.user_id, h.n_true, (tr.user_id IS NOT NULL)::INT AS label, (SELECT count(*) FROM u) AS n_users,
-    row_number() OVER (PARTITION BY h.topic_id, tr.user_id IS NOT NULL ORDER BY md5(h.topic_id || '-' || u.user_id || '-42'), u.user_id) AS place
-  FROM (SELECT DISTINCT topic_id, creator_id, n_true FROM tr) h CROSS JOIN u LEFT JOIN tr ON tr.topic_id = h.topic_id AND tr.user_id = u.user_id),
-dr AS (SELECT topic_id, creator_id, user_id, label FROM ca WHERE label = 1 OR n_true * 10 >= n_users OR place <= 9 * n_true)"""
+  SELECT th.topic_id, th.creator_id, nu.user_id, n_true, n_users, (nu.at - first + n_users) % n_users AS step
+  FROM th JOIN nu ON (nu.at - first + n_users) % n_users < least(10 * n_true, n_users)),
+ot AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY step) AS place FROM ca ANTI JOIN tr USING (topic_id, user_id)),
+dr AS (
+  SELECT topic_id, creator_id, user_id, 1 AS label FROM tr
+  UNION ALL SELECT topic_id, creator_id, user_id, 0 FROM ot WHERE n_true * 10 >= n_users OR place <= 9 * n_true)"""
 
 
 def candidates(spark, sf):

@@ -103,6 +103,10 @@ def test_candidates_and_instances(spark):
     drawn = instances.candidates(true, users, 3, 1)
     assert rows(drawn.groupBy("topic_id").agg(F.sum("label").alias("p"), F.count("*").alias("n")), "topic_id", "p", "n") == [(1, 6, 18), (4, 20, 40)]
     assert rows(drawn, "topic_id", "user_id", "label") == rows(instances.candidates(true, users.repartition(7), 3, 1), "topic_id", "user_id", "label")
+    many = spark.range(30_000).withColumnRenamed("id", "user_id")
+    one = many.where("user_id < 1000").selectExpr("1L topic_id", "29999L creator_id", "user_id")
+    drawn = instances.candidates(instances.usable_threads(one, many), many, 9, 1)
+    assert drawn.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("d")).orderBy("label").collect() == [(0, 8000, 8000), (1, 1000, 1000)]
     with pytest.raises(ValueError):
         instances.candidates(true, users, 1, 1)
 
