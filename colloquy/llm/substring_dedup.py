@@ -1,6 +1,6 @@
 """Substring dedup by collinear chaining.
 
-Seeds are five-word shingles, thinned to the smallest hash of every window so that any shared run of 20 words has one in common.
+Seeds are five-word shingles, all of them: any shared run of five words has one, and one is enough to align what is around it.
 A seed's occurrences are matched with one of them, its first text's, never with each other: matches grow with the seeds. For
 a text and another that it matches, the matches in order on both sides are chained with gap costs by a Fenwick tree, chains are
 aligned word by word, and what is alike enough is a repeated passage; a text's passages that touch count together.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import bit_words, gathered, in_bitmap, saved, short_batches, without, written
 from colloquy.llm.exact_dedup import digests, exact_dedup
 
-#: Words of a shingle, shingles of a window.
-SHINGLE, WINDOW = 5, 16
+#: Words of a shingle.
+SHINGLE = 5
 #: What a matched seed adds to a chain, what each word between seeds takes (both sides counted): gaps of 80 words end a chain.
 GAIN, GAP = 10.0, 0.125
 #: Words that alignment may add at each end of a chain.
@@ -45,8 +45,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of a text's seeds: of every WINDOW neighbouring shingles the one with the smallest hash (the last of
-    equals), each hash once, at its first position."""
+    """(hash, position) of a text's seeds, all its shingles; each hash once, at its first position."""
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -54,13 +53,8 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = sum((words[i : i + n] ^ (words[i : i + n] >> np.uint64(29 + i))) * _MIX[i] for i in range(SHINGLE))
         h = (h ^ (h >> np.uint64(32))) * _MIX[0]
         h ^= h >> np.uint64(29)
-    if n <= WINDOW:
-        at = np.array([n - 1 - np.argmin(h[::-1])])
-    else:
-        windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-        at = np.unique(np.arange(len(windows)) + WINDOW - 1 - np.argmin(windows[:, ::-1], axis=1))
-    kept, first = np.unique(h[at], return_index=True)
-    return kept.view(np.int64), at[first].astype(np.int32)
+    kept, first = np.unique(h, return_index=True)
+    return kept.view(np.int64), first.astype(np.int32)
 
 
 def chains(p: np.ndarray, q: np.ndarray) -> list[list[int]]:
@@ -152,6 +146,29 @@ def align(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int]) -> tuple[int
     return p[0] - left, x + right, q[0] - left, y + right, alike
 
 
+def align_alone(a: list[bytes], b: list[bytes], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words added on the left, on the right, words alike) of chains of one seed, at p in a and q in b (words of four bytes):
+    what align() gives, for many at once."""
+    def cut(texts: list[bytes], at: np.ndarray, size: np.ndarray, left: bool, fill: bytes) -> np.ndarray:
+        wide = 4 * MARGIN
+        parts = [x[4 * (i - n) : 4 * i].rjust(wide, fill) if left else x[4 * i : 4 * (i + n)].ljust(wide, fill) for x, i, n in zip(texts, at.tolist(), size.tolist(), strict=True)]
+        return np.frombuffer(b"".join(parts), np.uint32).reshape(-1, MARGIN)
+
+    added, alike = [], np.full(len(p), SHINGLE)
+    for left in (True, False):
+        x, y = (p, q) if left else (p + SHINGLE, q + SHINGLE)
+        room = np.minimum(p, q) if left else np.minimum(np.array([len(t) // 4 for t in a]) - x, np.array([len(t) // 4 for t in b]) - y)
+        size = np.minimum(room, MARGIN)
+        same = cut(a, x, size, left, b"\0") == cut(b, y, size, left, b"\1")
+        same = (same[:, ::-1] if left else same) & (np.arange(MARGIN) < size[:, None])
+        total = np.cumsum(np.where(same, 1, -2), axis=1)
+        best = total.argmax(axis=1)
+        more = np.where(total[np.arange(len(p)), best] > 0, best + 1, 0)
+        alike = alike + (same & (np.arange(MARGIN) < more[:, None])).sum(axis=1)
+        added.append(more)
+    return added[0], added[1], alike
+
+
 def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """Matches (key, pos, other, at) of texts given as (key, text) with distinct bigint keys: for a seed in two texts or more, each
     text's position, and the position in the text with the smallest key, which is the other side of all of them."""
@@ -175,10 +192,7 @@ def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def chain_matches(matches: DataFrame) -> DataFrame:
-    """Chains (key, other, ps, qs) of the matches between each two texts: the seeds' positions on both sides.
-
-    A seed alone is no chain: passages of 50 words that are alike have two or more.
-    """
+    """Chains (key, other, ps, qs) of the matches between each two texts: the seeds' positions on both sides, of one seed or more."""
     placed = matches.repartition("key", "other").sortWithinPartitions("key", "other", "pos", "at")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,9 +201,8 @@ def chain_matches(matches: DataFrame) -> DataFrame:
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]])) if len(key) else np.zeros(1, int)
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for c in chains(p[a:b], q[a:b]) if b > a + 1 else ():
-                    if len(c) > 1:
-                        out.append((key[a], other[a], p[a:b][c], q[a:b][c]))
+                for c in chains(p[a:b], q[a:b]) if b > a + 1 else [[0]]:
+                    out.append((key[a], other[a], p[a:b][c], q[a:b][c]))
             return pd.DataFrame(out, columns=["key", "other", "ps", "qs"]).astype({"key": "int64", "other": "int64"})
 
         kept = None
@@ -228,8 +241,16 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
+            out, alone = [], batch["ps"].map(len).to_numpy() == 1
+            if alone.any():
+                one = batch[alone]
+                low, high = one["a0"].to_numpy(), one["b0"].to_numpy()
+                p, q = np.concatenate(one["ps"].tolist()), np.concatenate(one["qs"].tolist())
+                left, right, n = align_alone(one["a"].map(bytes).tolist(), one["b"].map(bytes).tolist(), p - low, q - high)
+                size = left + SHINGLE + right
+                spans = pd.DataFrame({"key": one["key"].to_numpy(), "start": p - left, "end": p - left + size, "other": one["other"].to_numpy(), "other_start": q - left, "other_end": q - left + size, "alike": n / size})
+                yield spans[spans["alike"] >= alike]
+            for r in batch[~alone].itertuples(index=False):
                 a, b = np.frombuffer(bytes(r.a), np.uint32), np.frombuffer(bytes(r.b), np.uint32)
                 s, e, t, f, n = align(a, b, (r.ps - r.a0).tolist(), (r.qs - r.b0).tolist())
                 share = n / max(e - s, f - t)
@@ -238,25 +259,33 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
             yield pd.DataFrame(out, columns=["key", "start", "end", "other", "other_start", "other_end", "alike"]).astype({"key": "int64", "other": "int64", "alike": "float64"})
 
     spans = two.mapInPandas(aligned, "key long, start int, end int, other long, other_start int, other_end int, alike double")
-    # A text has fewer passages than seeds, so its own fit in one row.
-    gathered = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end", "other", "other_start", "other_end", "alike")).alias("_cq_spans"))
-    kind = "array<struct<start:int,end:int,other:long,other_start:int,other_end:int,alike:double>>"
+    # A text has fewer passages than seeds, so its own fit in one task.
+    placed = spans.repartition("key").sortWithinPartitions("key", "start", "end", "other", "other_start")
 
-    @F.pandas_udf(kind)
-    def together(lists: pd.Series) -> pd.Series:
-        out = []
-        for spans in lists:
-            kept, group, end = [], [], -1
-            for s in sorted(spans, key=lambda s: (s["start"], s["end"], s["other"], s["other_start"])):
-                if group and s["start"] > end:
-                    kept += group if end - group[0]["start"] >= least else []
-                    group, end = [], -1
-                group.append(s)
-                end = max(end, s["end"])
-            out.append(kept + (group if group and end - group[0]["start"] >= least else []))
-        return pd.Series(out, dtype=object)
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return rows
+            key, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("key", "start", "end"))
+            shift = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) << 32
+            reach = np.maximum.accumulate(shift + end)
+            first = np.concatenate([[True], (shift + start)[1:] > reach[:-1]])
+            at = np.flatnonzero(first)
+            long = np.append(reach[at[1:] - 1], reach[-1]) - (shift + start)[at] >= least
+            return rows[long[np.cumsum(first) - 1]]
+
+        kept = None
+        for batch in gathered(batches):
+            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            cut = int((rows["key"] != rows["key"].iloc[-1]).sum())
+            kept = rows.iloc[cut:]
+            yield done(rows.iloc[:cut])
+        if kept is not None:
+            yield done(kept)
 
-    return gathered.select("key", F.explode(together("_cq_spans")).alias("_cq_span")).select("key", "_cq_span.*")
+    return placed.mapInPandas(together, spans.schema)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:

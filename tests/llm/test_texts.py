@@ -166,3 +166,47 @@ def test_chats_round_trip(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "no marker at all")], "id long, text string")
     got = {x.id: x.turns for x in chat_format.format_chats(odd, chat_format.fit(made)).collect()}
     assert got[1] == got[2] == [] and [y.text for y in got[3]] == ["no marker at all"]
+
+
+def test_lone_seeds_align_as_chains_do():
+    r = np.random.default_rng(10)
+    a, b, p, q, want = [], [], [], [], []
+    for _ in range(200):
+        n = int(r.integers(5, 120))
+        x = r.integers(0, 2**32, n, dtype=np.uint32)
+        y = np.where(r.random(n) < 0.2, 7, x).astype(np.uint32)
+        at = int(r.integers(0, n - 4))
+        y[at : at + 5] = x[at : at + 5]
+        skip = int(r.integers(0, at + 1))
+        y = y[skip:]
+        a.append(x.tobytes())
+        b.append(y.tobytes())
+        p.append(at)
+        q.append(at - skip)
+        s, e, _, _, alike = substring_dedup.align(x, y, [at], [at - skip])
+        want.append((at - s, e - at - 5, alike))
+    got = substring_dedup.align_alone(a, b, np.array(p), np.array(q))
+    assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+
+
+def test_fuzzy_passages_are_found_as_by_brute_force(spark):
+    """55 words with a fifth substituted: what the best segment on the diagonal holds is reported for the later document."""
+    r, docs, want = random.Random(11), [], set()
+    for i in range(60):
+        a = words(r, 100)
+        b = list(a)
+        for k in [*range(22), *range(77, 100), *r.sample(range(22, 77), 11)]:
+            b[k] = f"sub{i}x{k}"
+        total, low, best = 0, (0, 0), (0, 0, 0)
+        for k in range(100):
+            total += 1 if a[k] == b[k] else -2
+            if total - low[0] > best[0]:
+                best = (total - low[0], low[1], k + 1)
+            if total <= low[0]:  # of equal segments the shortest
+                low = (total, k + 1)
+        same = sum(a[k] == b[k] for k in range(best[1], best[2]))
+        if best[2] - best[1] >= 50 and same / (best[2] - best[1]) >= 0.8:
+            want.add(i)
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(want) > 20 and want <= {x.doc_id // 2 for x in found if x.doc_id // 2 == x.other_id // 2}
