@@ -1,8 +1,8 @@
 """Substring dedup by collinear chaining.
 
 Seeds are five-word shingles, all of them: any shared run of five words has one, and one is enough to align what is around it.
-A seed's occurrences are matched with one of them, its first text's, never with each other: matches grow with the seeds. For
-a text and another that it matches, the matches in order on both sides are chained with gap costs by a Fenwick tree, chains are
+A seed's occurrences are matched with the first of them and with the one before in key order, never each with each: matches
+grow with the seeds. For a text and another that it matches, the matches in order on both sides are chained with gap costs by a Fenwick tree, chains are
 aligned word by word, and what is alike enough is a repeated passage; a text's passages that touch count together.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import bit_words, gathered, in_bitmap, saved, short_batches, without, written
@@ -20,6 +21,8 @@ from colloquy.llm.exact_dedup import digests, exact_dedup
 
 #: Words of a shingle.
 SHINGLE = 5
+#: Occurrences of a seed are put in key order in slices of about so many.
+SLICE = 5000
 #: What a matched seed adds to a chain, what each word between seeds takes (both sides counted): gaps of 80 words end a chain.
 GAIN, GAP = 10.0, 0.125
 #: Words that alignment may add at each end of a chain.
@@ -170,8 +173,12 @@ def align_alone(a: list[bytes], b: list[bytes], p: np.ndarray, q: np.ndarray) ->
 
 
 def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Matches (key, pos, other, at) of texts given as (key, text) with distinct bigint keys: for a seed in two texts or more, each
-    text's position, and the position in the text with the smallest key, which is the other side of all of them."""
+    """Matches (key, pos, other, at, star) of texts given as (key, text) with distinct bigint keys: for a seed in two texts or more, each
+    text's position, and as the other side the position in the text with the smallest key, and in the text before in key order.
+    The first of them have star.
+
+    The order is within a slice where a seed has more than SLICE occurrences; other sides always have smaller keys.
+    """
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
@@ -188,22 +195,28 @@ def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
     # Only seeds of two texts or more are kept; both sides of the join are plain shuffles, so that a very common seed's rows
     # are dealt out when the join runs.
     shared = placed.groupBy("seed").agg(F.min("key").alias("other"), F.min_by("pos", "key").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return placed.join(saved(shared.select("seed", "other", "at")), "seed").where("key <> other").select("key", "pos", "other", "at")
+    met = placed.join(saved(shared), "seed").withColumn("slice", F.expr(f"pmod(xxhash64(key), cast(ceil(n / {SLICE}) as bigint))"))
+    # Dealt by seed and slice, so that a very common seed is in no single task.
+    before = F.lag(F.struct(F.col("key").alias("other"), F.col("pos").alias("at"), F.lit(False).alias("star"))).over(W.partitionBy("seed", "slice").orderBy("key", "pos"))
+    sides = met.repartition("seed", "slice").withColumn("before", before).withColumn("before", F.expr("if(before.other = other and before.at = at, null, before)"))
+    sides = sides.select("key", "pos", F.explode(F.array(F.struct("other", "at", F.lit(True).alias("star")), "before")).alias("side")).where("side is not null")
+    return sides.select("key", "pos", "side.other", "side.at", "side.star").where("key <> other")
 
 
 def chain_matches(matches: DataFrame) -> DataFrame:
-    """Chains (key, other, ps, qs) of the matches between each two texts: the seeds' positions on both sides, of one seed or more."""
+    """Chains (key, other, ps, qs, star) of the matches between each two texts: the seeds' positions on both sides, of one seed or
+    more, and whether any has star."""
     placed = matches.repartition("key", "other").sortWithinPartitions("key", "other", "pos", "at")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame) -> pd.DataFrame:
-            key, other, p, q = (rows[c].to_numpy() for c in ("key", "other", "pos", "at"))
+            key, other, p, q, star = (rows[c].to_numpy() for c in ("key", "other", "pos", "at", "star"))
             edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]])) if len(key) else np.zeros(1, int)
             out = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for c in chains(p[a:b], q[a:b]) if b > a + 1 else [[0]]:
-                    out.append((key[a], other[a], p[a:b][c], q[a:b][c]))
-            return pd.DataFrame(out, columns=["key", "other", "ps", "qs"]).astype({"key": "int64", "other": "int64"})
+                    out.append((key[a], other[a], p[a:b][c], q[a:b][c], star[a:b][c].any()))
+            return pd.DataFrame(out, columns=["key", "other", "ps", "qs", "star"]).astype({"key": "int64", "other": "int64", "star": "bool"})
 
         kept = None
         for batch in gathered(batches):
@@ -217,13 +230,14 @@ def chain_matches(matches: DataFrame) -> DataFrame:
         if kept is not None:
             yield done(kept)
 
-    return placed.mapInPandas(link, "key long, other long, ps array<int>, qs array<int>")
+    return placed.mapInPandas(link, "key long, other long, ps array<int>, qs array<int>, star boolean")
 
 
 def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
     """Repeated passages (key, start, end, other, other_start, other_end, alike) of texts given as (key, text), ends exclusive, in
     words. Passages have `alike` of their words in common with the other text; together with those that they touch or overlap
-    they have `least` words or more."""
+    they have `least` words or more. Of those with a text that has none of
+    the text's seeds first, only those are listed that add words to others."""
     found = saved(chain_matches(match_seeds(texts, text_col)))
     hit = found.select(F.explode(F.array("key", "other")).alias("_cq_key")).distinct().select(F.pmod(F.xxhash64("_cq_key"), F.lit(PICK_BITS)).alias("_cq_bit"))
     picked = in_bitmap(texts.select("key", text_col), saved(bit_words(hit, "_cq_bit")), [F.pmod(F.xxhash64("key"), F.lit(PICK_BITS))], "_cq_in").where("_cq_in")
@@ -236,8 +250,8 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
     words = saved(picked.select("key", hashed(text_col).alias("_cq_words")))
     low = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
     part = lambda c: F.substring(F.col("_cq_words"), 4 * low(c) + 1, 4 * (F.element_at(c, -1) + SHINGLE + MARGIN - low(c)))
-    one = found.join(words, "key").select("key", "other", "ps", "qs", low("ps").alias("a0"), part("ps").alias("a"))
-    two = one.join(words.withColumnRenamed("key", "other"), "other").select("key", "other", "ps", "qs", "a0", "a", low("qs").alias("b0"), part("qs").alias("b"))
+    one = found.join(words, "key").select("key", "other", "ps", "qs", "star", low("ps").alias("a0"), part("ps").alias("a"))
+    two = one.join(words.withColumnRenamed("key", "other"), "other").select("key", "other", "ps", "qs", "star", "a0", "a", low("qs").alias("b0"), part("qs").alias("b"))
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -248,19 +262,19 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
                 p, q = np.concatenate(one["ps"].tolist()), np.concatenate(one["qs"].tolist())
                 left, right, n = align_alone(one["a"].map(bytes).tolist(), one["b"].map(bytes).tolist(), p - low, q - high)
                 size = left + SHINGLE + right
-                spans = pd.DataFrame({"key": one["key"].to_numpy(), "start": p - left, "end": p - left + size, "other": one["other"].to_numpy(), "other_start": q - left, "other_end": q - left + size, "alike": n / size})
+                spans = pd.DataFrame({"key": one["key"].to_numpy(), "start": p - left, "end": p - left + size, "other": one["other"].to_numpy(), "other_start": q - left, "other_end": q - left + size, "alike": n / size, "star": one["star"].to_numpy()})
                 yield spans[spans["alike"] >= alike]
             for r in batch[~alone].itertuples(index=False):
                 a, b = np.frombuffer(bytes(r.a), np.uint32), np.frombuffer(bytes(r.b), np.uint32)
                 s, e, t, f, n = align(a, b, (r.ps - r.a0).tolist(), (r.qs - r.b0).tolist())
                 share = n / max(e - s, f - t)
                 if share >= alike:
-                    out.append((r.key, s + r.a0, e + r.a0, r.other, t + r.b0, f + r.b0, share))
-            yield pd.DataFrame(out, columns=["key", "start", "end", "other", "other_start", "other_end", "alike"]).astype({"key": "int64", "other": "int64", "alike": "float64"})
+                    out.append((r.key, s + r.a0, e + r.a0, r.other, t + r.b0, f + r.b0, share, r.star))
+            yield pd.DataFrame(out, columns=["key", "start", "end", "other", "other_start", "other_end", "alike", "star"]).astype({"key": "int64", "other": "int64", "alike": "float64", "star": "bool"})
 
-    spans = two.mapInPandas(aligned, "key long, start int, end int, other long, other_start int, other_end int, alike double")
+    spans = two.mapInPandas(aligned, "key long, start int, end int, other long, other_start int, other_end int, alike double, star boolean")
     # A text has fewer passages than seeds, so its own fit in one task.
-    placed = spans.repartition("key").sortWithinPartitions("key", "start", "end", "other", "other_start")
+    placed = spans.repartition("key").sortWithinPartitions("key", "start", F.desc("end"), F.desc("star"), "other", "other_start")
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(rows: pd.DataFrame) -> pd.DataFrame:
@@ -272,7 +286,8 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
             first = np.concatenate([[True], (shift + start)[1:] > reach[:-1]])
             at = np.flatnonzero(first)
             long = np.append(reach[at[1:] - 1], reach[-1]) - (shift + start)[at] >= least
-            return rows[long[np.cumsum(first) - 1]]
+            new = rows["star"].to_numpy() | np.concatenate([[True], (shift + end)[1:] > reach[:-1]])
+            return rows[long[np.cumsum(first) - 1] & new]
 
         kept = None
         for batch in gathered(batches):
@@ -285,7 +300,7 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
         if kept is not None:
             yield done(kept)
 
-    return placed.mapInPandas(together, spans.schema)
+    return placed.mapInPandas(together, spans.schema).drop("star")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:

@@ -210,3 +210,16 @@ def test_fuzzy_passages_are_found_as_by_brute_force(spark):
         docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
     found = substring_dedup.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(want) > 20 and want <= {x.doc_id // 2 for x in found if x.doc_id // 2 == x.other_id // 2}
+
+
+def test_passages_whose_seeds_are_also_in_an_earlier_text(spark, monkeypatch):
+    r = random.Random(12)
+    runs = [words(r, 5) for _ in range(12)]
+    early = [w for run in reversed(runs) for w in [*run, *words(r, 60)]]
+    texts = [early, *([w for run in runs for w in [*run, f"own{k}"]] for k in range(2)), *(words(r, 80) for _ in range(3))]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key long, text string")
+    for size in (5000, 2):  # with one slice for a seed; with more, it depends on how they are dealt
+        monkeypatch.setattr(substring_dedup, "SLICE", size)
+        found = {(x.key, x.other): (x.start, x.end) for x in substring_dedup.passages(frame).collect()}
+        assert size == 2 or found[2, 1] == (0, 71)
+        assert all(other < key for key, other in found)
