@@ -47,17 +47,18 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of a text's seeds, all its shingles; each hash once, at its first position."""
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, position, whether it is the hash's first) of a text's seeds, all its shingles, in order of position."""
     n = len(words) - SHINGLE + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
     with np.errstate(over="ignore"):
         h = sum((words[i : i + n] ^ (words[i : i + n] >> np.uint64(29 + i))) * _MIX[i] for i in range(SHINGLE))
         h = (h ^ (h >> np.uint64(32))) * _MIX[0]
         h ^= h >> np.uint64(29)
-    kept, first = np.unique(h, return_index=True)
-    return kept.view(np.int64), first.astype(np.int32)
+    first = np.zeros(n, bool)
+    first[np.unique(h, return_index=True)[1]] = True
+    return h.view(np.int64), np.arange(n, dtype=np.int32), first
 
 
 def chains(p: np.ndarray, q: np.ndarray) -> list[list[int]]:
@@ -173,34 +174,35 @@ def align_alone(a: list[bytes], b: list[bytes], p: np.ndarray, q: np.ndarray) ->
 
 
 def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Matches (key, pos, other, at, star) of texts given as (key, text) with distinct bigint keys: for a seed in two texts or more, each
-    text's position, and as the other side the position in the text with the smallest key, and in the text before in key order.
+    """Matches (key, pos, other, at, star) of texts given as (key, text) with distinct bigint keys: for a seed that occurs
+    twice or more, in one text or several, each position, and as the other side the first in order of (key, pos) and the one before.
     The first of them have star.
 
-    The order is within a slice where a seed has more than SLICE occurrences; other sides always have smaller keys.
+    The order is within a slice where a seed has more than SLICE occurrences; other sides are always earlier in order.
     """
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
-                key, h, at = [], [], []
+                key, h, at, first = [], [], [], []
                 for k, text in zip(batch["key"].to_numpy()[i : i + 1000], batch[text_col][i : i + 1000], strict=True):
-                    hs, ps = seeds(word_hashes(text or ""))
+                    hs, ps, new = seeds(word_hashes(text or ""))
                     h.append(hs)
                     at.append(ps)
+                    first.append(new)
                     key.append(np.full(len(hs), k, np.int64))
                 if key:
-                    yield pd.DataFrame({"seed": np.concatenate(h), "key": np.concatenate(key), "pos": np.concatenate(at)})
+                    yield pd.DataFrame({"seed": np.concatenate(h), "key": np.concatenate(key), "pos": np.concatenate(at), "first": np.concatenate(first)})
 
-    placed = written(texts.select("key", text_col).mapInPandas(place, "seed long, key long, pos int"))
-    # Only seeds of two texts or more are kept; both sides of the join are plain shuffles, so that a very common seed's rows
+    placed = written(texts.select("key", text_col).mapInPandas(place, "seed long, key long, pos int, first boolean"))
+    # Only seeds that occur twice are kept; both sides of the join are plain shuffles, so that a very common seed's rows
     # are dealt out when the join runs.
-    shared = placed.groupBy("seed").agg(F.min("key").alias("other"), F.min_by("pos", "key").alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = placed.groupBy("seed").agg(F.min("key").alias("other"), F.min_by("pos", F.when(F.col("first"), F.col("key"))).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = placed.join(saved(shared), "seed").withColumn("slice", F.expr(f"pmod(xxhash64(key), cast(ceil(n / {SLICE}) as bigint))"))
     # Dealt by seed and slice, so that a very common seed is in no single task.
     before = F.lag(F.struct(F.col("key").alias("other"), F.col("pos").alias("at"), F.lit(False).alias("star"))).over(W.partitionBy("seed", "slice").orderBy("key", "pos"))
     sides = met.repartition("seed", "slice").withColumn("before", before).withColumn("before", F.expr("if(before.other = other and before.at = at, null, before)"))
     sides = sides.select("key", "pos", F.explode(F.array(F.struct("other", "at", F.lit(True).alias("star")), "before")).alias("side")).where("side is not null")
-    return sides.select("key", "pos", "side.other", "side.at", "side.star").where("key <> other")
+    return sides.select("key", "pos", "side.other", "side.at", "side.star").where("key <> other or pos <> at")
 
 
 def chain_matches(matches: DataFrame) -> DataFrame:
@@ -306,8 +308,9 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
     """Repeated passages, a row each: doc_id, start, end, other_id, other_start, other_end (word numbers, ends exclusive), alike.
 
+    A passage repeated within a document has other_id = doc_id and the earlier place as its other side; the two may overlap.
     Texts are first made distinct (A-Z folded): a copy is one passage, all of it, repeated from the document that stays for its
-    text, and each distinct text is searched once. Of the documents that share a passage one has it as the other side only, so
+    text, and each distinct text is searched once. Of the places that hold a passage one is the other side only, so
     cutting all listed passages leaves one copy. Null and empty texts have no passages; texts under `least` words neither, copies
     or not. Rows with equal ids are different documents. Extra columns are passed over; an empty table gives an empty result.
     """

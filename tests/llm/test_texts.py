@@ -223,3 +223,14 @@ def test_passages_whose_seeds_are_also_in_an_earlier_text(spark, monkeypatch):
         found = {(x.key, x.other): (x.start, x.end) for x in substring_dedup.passages(frame).collect()}
         assert size == 2 or found[2, 1] == (0, 71)
         assert all(other < key for key, other in found)
+
+
+def test_passages_repeated_within_a_document(spark):
+    r = random.Random(13)
+    p, q = words(r, 60), words(r, 70)
+    docs = {1: words(r, 30) + p + words(r, 30), 2: words(r, 20) + p + words(r, 40) + p + words(r, 20), 3: q + words(r, 40) + q, 4: words(r, 200)}
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id long, text string")
+    found = substring_dedup.substring_dedup(frame)
+    assert {(x.start, x.end, x.other_id, x.other_start, x.other_end) for x in found.collect() if x.doc_id == 3} == {(110, 180, 3, 0, 70)}
+    cut = " | ".join(x.text for x in substring_dedup.cut_passages(frame, found).collect())
+    assert cut.count(" ".join(p[2:-2])) == 1 and cut.count(" ".join(q)) == 1 and " ".join(docs[4]) in cut
