@@ -268,3 +268,39 @@ def test_pipeline_filters(docs, tmp_path):
     assert mixed.columns == docs.columns
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()  # no labels: nothing is rejected
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_pipeline_drops_near_copies_by_likeness(spark, tmp_path):
+    r, rows = random.Random(14), [(9000 + i, None if i else "", "en", "s1", 1) for i in range(2)]
+    for i in range(60):
+        text = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        rows.append((100 * i, " ".join(text), "en", "s1", 1))
+        for k, edits in enumerate((1, 2, 3, 4, 6, 6, 6, 9, 20), 1):
+            near = list(text)
+            for at in r.sample(range(300), edits):
+                near[at] = f"edit{i}x{k}"
+            rows.append((100 * i + k, " ".join(near), "en", "s1", 1))
+    sets = [{tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    alike = []
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                alike.append(both / (len(sets[i]) + len(sets[j]) - both))
+                parent[find(i)] = find(j)
+    assert sum(0.8 <= x <= 0.95 for x in alike) > 500
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect())
+    first = {}
+    for i, row in enumerate(rows):
+        first[find(i)] = min(row[0], first.get(find(i), row[0]))
+    assert kept == sorted(first.values())
+    assert near_dedup.similar_dedup(docs.limit(0)).count() == 0
+    # One group of many: candidates are not all pairs.
+    crowd = spark.createDataFrame([(i, " ".join(map(str, range(100))) + f" end{i}", "en", "s1", 1) for i in range(300)], SCHEMA)
+    assert near_dedup.similar_dedup(crowd).where("kept").count() == 1
