@@ -8,6 +8,7 @@ none is padded.
 from __future__ import annotations
 
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from colloquy.llm.common import saved, short_batches, without
 
 RESULTS = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
-#: Encodings of words are kept up to this many for each worker; the memory is some 50 MB at most.
-KEPT_WORDS = 200_000
+#: Encodings of words are kept in two generations of up to this many for each worker; the memory is some 50 MB at most.
+KEPT_WORDS = 100_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -37,8 +38,9 @@ class Encoder(dict):
 
     Only for tokenizers that split at white space and drop it, then letters from digits and from other characters, as the
     default does: its normaliser, its pre-tokeniser and its special tokens never act across ASCII white space, so a text's ids
-    are those of its words in a row. Letters, and punctuation after them, are parts of their own; parts of letters that lower-case
-    plainly go straight to the tokenizer's model, and all other words through the whole tokenizer.
+    are those of its words in a row. Runs of plain letters, and ASCII punctuation after them, are parts of their own and go straight
+    to the tokenizer's model; every other word goes through the whole tokenizer. Plain letters are those up to U+024F that
+    lower-case to one such letter (which no normaliser changes), so that the model knows the bytes of all of them.
     """
 
     #: Punctuation that is parted from the letters before it. An apostrophe is not: with letters it can be a contraction.
@@ -48,28 +50,36 @@ class Encoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        # How the model's vocabulary writes the bytes of the letters up to U+024F.
-        self.shown = {c: "".join(x for x, _ in shown.pre_tokenize_str(chr(c))) for c in range(0x80, 0x250) if chr(c).isalpha()}
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # How the model's vocabulary writes the bytes of each plain letter's lower case.
+        self.shown = {}
+        for c in map(chr, range(0x41, 0x250)):
+            low = c.lower()
+            if c.isalpha() and len(low) == 1 and low.isalpha() and low < "\u0250" and all(unicodedata.is_normalized("NFC", x) for x in (c, low)):
+                self.shown[ord(c)] = "".join(x for x, _ in written.pre_tokenize_str(low))
+        self.plain = frozenset(map(chr, self.shown))
 
     def part(self, part: bytes) -> bytes:
         text = part.decode("utf-8", "replace")
-        if text.isalpha() and (part.isascii() or max(text) < "\u0250" and "\u0130" not in text):
-            low = text.lower()
-            return _packed([t.id for t in self.model.tokenize(low if part.isascii() else low.translate(self.shown))])
+        if self.plain.issuperset(text):
+            return _packed([t.id for t in self.model.tokenize(text.translate(self.shown))])
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        """The ids of a word met for the first time; they are remembered, up to a bound."""
-        if len(self) > KEPT_WORDS:
+        """The ids of a word met for the first time, or not lately; those of the latest words are remembered."""
+        if len(self) >= KEPT_WORDS:
+            self.older = dict(self)
             self.clear()
-        core = word.rstrip(self.TAIL)
-        if core != word and (core.isalpha() or core.decode("utf-8", "replace").isalpha()):
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            ids = self.part(word)
+        ids = self.older.get(word)
+        if ids is None:
+            core = word.rstrip(self.TAIL)
+            if core and core != word and self.plain.issuperset(core.decode("utf-8", "replace")):
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = self.part(word)
         self[word] = ids
         return ids
 

@@ -206,6 +206,17 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {**{i: 100 for i in range(100, 401)}, 5000: 5000, **{6000 + i: 5000 for i in range(300)}}
 
 
+def test_packing_ids_of_every_letter_and_of_odd_words():
+    coder = packing.encoder(packing.default_tokenizer())
+    shown = [chr(c) for c in (*range(0x10000), *range(0x10000, 0x110000, 97)) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c} {c}b {c}. x{c}.y" for c in shown[i : i + 50]) for i in range(0, len(shown), 50)]
+    r = random.Random(3)
+    pool = "aAbBzZ09 .,!?;:'’-_<|>\t\n\r\x0b\x1c\xa0\u2028\u3000\u200b\ufeffİıſŉǅßẞΣσςéÉe\u0301\u0307\u0338ƆƐŊđĐ中文字한글אבǧИй\U0001f642#*&%$"
+    texts += ["".join(r.choice(pool) for _ in range(r.randint(0, 25))) + r.choice(["", "", "<|endoftext|>.X"]) for _ in range(20_000)]
+    for text, want in zip(texts, coder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(coder(text.encode()), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
