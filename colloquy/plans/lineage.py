@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names in spark.checkpoint.dir (a temporary one where none is set)."""
+    """A reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary folder that ends with it; on a cluster, whose executors share no local
+    folder, that is an error.
+    """
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = frame.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return frame.checkpoint(eager=True)
