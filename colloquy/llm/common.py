@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +23,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Make sure checkpoint() has a folder: the one the cluster names, or a temporary one where none is set."""
+    """Make sure checkpoint() has a folder: the one the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets a temporary one that ends with it; on a cluster, whose executors share no local
+    folder, that is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="colloquy-checkpoint-"))
+        if not named:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="colloquy-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return spark
 
 
@@ -62,12 +73,15 @@ def saved(frame: DataFrame) -> DataFrame:
 def written(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the checkpoint folder, for what is wide and read more than once.
 
-    Unlike a checkpoint it is compressed and read by column. It stays until the folder is cleared.
+    Unlike a checkpoint it is compressed and read by column. The table is removed when the session ends (with the folder, if the
+    driver is lost before).
     """
     spark = ready(frame.sparkSession)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    frame.write.option("compression", "zstd").parquet(path.toString())
+    return spark.read.schema(frame.schema).parquet(path.toString())
 
 
 def without(frame: DataFrame, names: list[str]) -> DataFrame:
@@ -81,17 +95,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def with_group(rows: DataFrame, keys: list[str], spread: list[str], aggregates: list[Column], table: DataFrame | None = None) -> DataFrame:
+def with_group(rows: DataFrame, keys: list[str], spread: list[str], aggregates: list[Column], table: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Add aggregates over each key's rows to those rows, without gathering a hot key in one task.
 
     The aggregates are combined map-side. Each row belongs to one of SALTS slices by a hash of `spread`; a group's result
     is repeated for the slices that the group really has (a bit mask kept while aggregating), and the join is on key and
     slice. A group with one row is repeated once, a group with a third of all rows at most SALTS times. Keys must not be null.
-    `table`, if given, has a row for each key, and its columns are added too. The result has one more column, _cq_slice.
+    `table`, if given, has a row for each key, and its columns are added too; how="left" keeps rows whose key it lacks. The result has
+    one more column, _cq_slice.
     """
     sliced = rows.withColumn("_cq_slice", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     groups = sliced.groupBy(*keys).agg(*aggregates, F.expr("bit_or(shiftleft(1L, _cq_slice))").alias("_cq_mask"))
-    groups = groups if table is None else groups.join(table, keys)
+    groups = groups if table is None else groups.join(table, keys, how)
     groups = groups.withColumn("_cq_slice", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(_cq_mask, i) = 1)")))
     return sliced.join(groups.drop("_cq_mask"), [*keys, "_cq_slice"])
 

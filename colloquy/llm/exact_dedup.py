@@ -1,17 +1,20 @@
 """Exact dedup: two-pass Bloom filtering.
 
-Pass 1 maps every text hash to a few bits of a Bloom filter and counts, map-side first, how often each bit is hit; only
-bits hit twice or more are kept. Pass 2 probes each row against them. A row with a bit that was hit once is alone and
-passes straight through; only the other rows shuffle, by the SHA-256 of their text. Everything is DataFrame functions.
+Pass 1 puts every text hash into a blocked Bloom filter: one 64-bit word for a row, and a few bits of it. The filter is built as an
+aggregate by word, combined map-side, which keeps what is needed to tell bits hit twice from bits hit once. Pass 2 probes each
+row: one with a bit that no other row hit is alone and passes straight through; only the other rows shuffle, by the SHA-256 of
+their text. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, bit_words, in_bitmap, saved, with_group, without
+from colloquy.llm.common import ascii_lower, saved, with_group, without
 
 RESULTS = ["keep_id", "group_size", "kept", "text_sha256"]
 
@@ -21,31 +24,66 @@ def digests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return without(docs, RESULTS).withColumn("text_sha256", F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
 
 
-def _bits(hash_col: Column, bits: int, hashes: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(hash_col, F.lit(i)), F.lit(bits)) for i in range(hashes)]
+@dataclass
+class Filter:
+    """The words (_cq_word, _cq_set) of a Bloom filter that hold a bit hit twice or more, cut to bits that may be; how many words
+    and bits a row it was built for; and whether the table is small enough to be broadcast."""
+
+    words: DataFrame
+    size: int
+    hashes: int
+    small: bool
+
+    def hit(self, rows: DataFrame) -> DataFrame:
+        return _hit(rows, self.size, self.hashes)
+
+
+def _hit(rows: DataFrame, size: int, hashes: int) -> DataFrame:
+    """Add the number of a row's word and the mask of its bits there."""
+    at = F.xxhash64("text_sha256", F.lit(1))
+    bits = " | ".join(f"shiftleft(1L, cast(shiftright(_cq_at, {6 * i}) & 63 as int))" for i in range(hashes))
+    return rows.withColumn("_cq_word", F.pmod(F.xxhash64("text_sha256"), F.lit(size))).withColumn("_cq_at", at).withColumn("_cq_mask", F.expr(bits)).drop("_cq_at")
 
 
-def repeated_bits(rows: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """Pass 1: the filter's 64-bit words (_cq_word, _cq_set) that hold a bit hit by two rows or more."""
-    hits = rows.select(F.explode(F.array_distinct(F.array(*_bits(F.col("text_sha256"), bits, hashes)))).alias("_cq_bit"))
-    twice = hits.groupBy("_cq_bit").count().where("count > 1")
-    return bit_words(twice, "_cq_bit")
+def bloom(rows: DataFrame, bits_per_row: int = 16, hashes: int = 2, most: int = 1 << 21) -> Filter:
+    """Pass 1 over rows with text_sha256. The filter grows with the rows, so it never fills up; up to `most` words are broadcast
+    (some 40 bytes each in memory)."""
+    size = max(1, rows.count() * bits_per_row // 64)
+    # Of a word: all bits, those hit an odd number of times, and how often its bits were hit.
+    sums = _hit(rows, size, hashes).groupBy("_cq_word").agg(F.expr("bit_or(_cq_mask)").alias("a"), F.expr("bit_xor(_cq_mask)").alias("o"), F.expr("sum(bit_count(_cq_mask))").alias("n"))
+    # Where the hits beyond the first are as many as the bits hit evenly, those bits were hit twice and the others once;
+    # where they are more, any bit may have been hit again.
+    kept = "if(n - bit_count(a) = bit_count(a & ~o), a & ~o, a)"
+    words = saved(sums.where("n > bit_count(a)").select("_cq_word", F.expr(kept).alias("_cq_set")))
+    return Filter(words, size, hashes, words.count() <= most)
+
+
+def probe(rows: DataFrame, built: Filter, id_col: str) -> DataFrame:
+    """Pass 2. Add _cq_again: whether all of a row's bits may have been hit by another row as well.
+
+    A filter that is too large to be broadcast is probed by word: rows are dealt by their word, those of a common one over slices.
+    """
+    hit = built.hit(rows)
+    if built.small:
+        found = hit.join(F.broadcast(built.words), "_cq_word", "left")
+    else:
+        found = with_group(hit, ["_cq_word"], [id_col], [], built.words, "left")
+    return found.select(*rows.columns, F.coalesce((F.col("_cq_set").bitwiseAND(F.col("_cq_mask"))) == F.col("_cq_mask"), F.lit(False)).alias("_cq_again"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, hashes: int = 2, max_bits: int = 1 << 27, digested: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digested: bool = False, built: Filter | None = None) -> DataFrame:
     """All rows of docs with keep_id, group_size, kept and text_sha256.
 
     Of equal texts (A-Z folded, null as empty) the row with the largest id stays; null ids rank lowest, and of rows that tie
     on the largest id exactly one is kept. group_size counts rows. Input columns named like a result are replaced; an
     empty table gives an empty result. docs may already carry text_sha256 from digests(): say so, or leave the text column out.
+    A filter that bloom() made of the same rows may be given.
 
-    The filter has bits_per_row bits for each row, a power of two of max_bits at most, so what is broadcast is bounded by
-    max_bits / 64 words of 16 bytes (32 MB as set). A fuller filter stays right: it only lets more rows shuffle.
+    Rows shuffle whole, so wide ones are better reduced to id and digest first. Where the filter is beyond its broadcast bound
+    (from some twenty million rows on), all rows shuffle once by word, and repeated ones a second time.
     """
     rows = docs if digested or text_col not in docs.columns and "text_sha256" in docs.columns else digests(docs, text_col)
-    bits = min(max_bits, max(1 << 16, 1 << (bits_per_row * max(1, docs.count()) - 1).bit_length()))
-    words = saved(repeated_bits(rows, bits, hashes))
-    probed = in_bitmap(rows, words, _bits(F.col("text_sha256"), bits, hashes), "_cq_again")
+    probed = probe(rows, built or bloom(rows), id_col)
     alone = probed.where(~F.col("_cq_again")).select(*rows.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     groups = with_group(probed.where("_cq_again"), ["text_sha256"], [id_col], [F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")])
     # Equal ids share a slice, so rows that tie on the largest id meet in this window, which needs no further shuffle.

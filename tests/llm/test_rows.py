@@ -46,8 +46,16 @@ def test_exact_dedup(docs):
     groups = defaultdict(list)
     for row in corpus():
         groups[hashlib.sha256(fold(row[1]).encode()).hexdigest()].append(row[0])
-    for bits in (1 << 27, 4):  # a crowded filter lets more rows shuffle, and changes nothing
-        got = exact_dedup.exact_dedup(docs, max_bits=bits).collect()
+    rows = exact_dedup.digests(docs)
+    # A crowded filter lets more rows shuffle, one beyond the broadcast bound is probed by word; neither changes the result.
+    for bits, most in ((16, 1 << 21), (1, 1 << 21), (16, 0), (1, 0)):
+        built = exact_dedup.bloom(rows, bits_per_row=bits, most=most)
+        assert built.small == (most > 0)
+        probed = exact_dedup.probe(rows, built, "doc_id").groupBy("text_sha256").agg(F.min("_cq_again").alias("again"), F.count("*").alias("n")).collect()
+        assert all(r.again for r in probed if r.n > 1)
+        lone = [r.again for r in probed if r.n == 1]
+        assert bits == 1 or sum(lone) < 0.1 * len(lone)
+        got = exact_dedup.exact_dedup(docs, built=built).collect()
         assert len(got) == len(corpus())
         keepers = Counter()
         for r in got:
