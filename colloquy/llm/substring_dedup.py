@@ -1,32 +1,43 @@
 """Substring dedup by collinear chaining.
 
-Seeds are five-word shingles, all of them: any shared run of five words has one, and one is enough to align what is around it.
-A seed's occurrences are matched with the first of them and with the one before in key order, never each with each: matches
-grow with the seeds. For a text and another that it matches, the matches in order on both sides are chained with gap costs by a Fenwick tree, chains are
-aligned word by word, and what is alike enough is a repeated passage; a text's passages that touch count together.
+Seeds are five-word shingles, all of them, so any run of five shared words has one. A seed's occurrences are matched with the first of
+them and with the one before, never each with each: matches grow with the seeds. Matches next to each other on one
+diagonal form runs; for a text and another that it matches, the runs in order on both sides are chained with gap costs by a
+Fenwick tree, chains are aligned word by word, and what is alike enough is a repeated passage; a text's passages that touch count
+together.
+
+Seeds meet in ranges of their hashes. A task sends a range's seeds of a chunk of texts as one compressed block (sorted hashes as
+differences, and where they are), some five bytes a seed, and no seed is written or shuffled a second time.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import bit_words, gathered, in_bitmap, saved, short_batches, without, written
-from colloquy.llm.exact_dedup import digests, exact_dedup
+from colloquy.llm.common import WORD, bit_words, gathered, in_bitmap, saved, short_batches, written
+from colloquy.llm.exact_dedup import bloom, digests, exact_dedup
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Occurrences of a seed are put in key order in slices of about so many.
-SLICE = 5000
-#: What a matched seed adds to a chain, what each word between seeds takes (both sides counted): gaps of 80 words end a chain.
+#: Seeds of a chunk of texts, and about how many seeds share a range: both are held in memory at once, some 50 bytes each.
+CHUNK, RANGE = 1_000_000, 2_000_000
+#: Of a seed with more occurrences in one chunk, the others are matched in the chunk and only the first goes on, so a seed that a
+#: third of all texts have sends one occurrence a chunk.
+COMMON = 16
+#: What a matched seed adds to a chain, what each word between seeds takes (both sides counted): gaps of 40 words end a chain.
 GAIN, GAP = 10.0, 0.125
+#: Seeds that a chain has at least: a run of six words alike, or two of five.
+LEAST_SEEDS = 2
 #: Words that alignment may add at each end of a chain.
-MARGIN = 40
+MARGIN = 20
 #: Bits of the bitmap that picks the texts to be aligned: 2 MB, whatever the input.
 PICK_BITS = 1 << 24
 
@@ -47,51 +58,78 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, position, whether it is the hash's first) of a text's seeds, all its shingles, in order of position."""
+def seeds(words: np.ndarray) -> np.ndarray:
+    """The hashes (uint64) of a text's seeds, all its shingles, in order of position."""
     n = len(words) - SHINGLE + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         h = sum((words[i : i + n] ^ (words[i : i + n] >> np.uint64(29 + i))) * _MIX[i] for i in range(SHINGLE))
         h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-        h ^= h >> np.uint64(29)
-    first = np.zeros(n, bool)
-    first[np.unique(h, return_index=True)[1]] = True
-    return h.view(np.int64), np.arange(n, dtype=np.int32), first
+        return h ^ (h >> np.uint64(29))
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned integers as bytes: each byte place of a column is compressed by itself, leading zero bytes are left out."""
+    from zstandard import ZstdCompressor
+
+    pack, out = ZstdCompressor(level=1).compress, []
+    for c in columns:
+        planes = c.view(np.uint8).reshape(len(c), c.itemsize).T
+        parts = [pack(planes[i].tobytes()) for i in range((int(c.max()).bit_length() + 7) // 8 if len(c) else 0)]
+        out.append(struct.pack(f"<QB{len(parts)}I", len(c), len(parts), *map(len, parts)) + b"".join(parts))
+    return b"".join(out)
+
+
+def spread(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The columns that squeeze() took, of these types."""
+    from zstandard import ZstdDecompressor
+
+    unpack, at, out = ZstdDecompressor().decompress, 0, []
+    for kind in kinds:
+        n, width = struct.unpack_from("<QB", data, at)
+        sizes = struct.unpack_from(f"<{width}I", data, at + 9)
+        at += 9 + 4 * width
+        planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
+        for i, size in enumerate(sizes):
+            planes[i] = np.frombuffer(unpack(data[at : at + size]), np.uint8)
+            at += size
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+    return out
 
 
-def chains(p: np.ndarray, q: np.ndarray) -> list[list[int]]:
-    """Collinear chains of matches at positions p (ascending) and q: lists of their numbers, ascending in both.
+def chains(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> list[list[int]]:
+    """Collinear chains of runs of n matches from positions p (ascending) and q on: lists of their numbers, each run after the end of
+    the one before on both sides.
 
-    A chain's score is GAIN a match less GAP a word between neighbours, on both sides. Predecessors with smaller q are found
-    as a prefix maximum in a Fenwick tree over q; each match is in one chain, best chains first.
+    A chain's score is GAIN a match less GAP a word between runs, on both sides. Predecessors that end at a smaller q are found as a
+    prefix maximum in a Fenwick tree over q; each run is in one chain, best chains first.
     """
-    n = len(p)
-    rank = np.searchsorted(np.unique(q), q) + 1
-    tree, who = [-np.inf] * (rank.max() + 1), [-1] * (rank.max() + 1)
-    score, before, waiting = [0.0] * n, [-1] * n, []
-    p, q, rank = p.tolist(), q.tolist(), rank.tolist()
-    for i in range(n):
-        if i and p[i] != p[i - 1]:  # matches at one p can't follow each other
-            for j in waiting:
-                v, r = score[j] + GAP * (p[j] + q[j]), rank[j]
-                while r < len(tree):
-                    if v > tree[r]:
-                        tree[r], who[r] = v, j
-                    r += r & -r
-            waiting = []
-        low, best = -np.inf, -1
-        r = rank[i] - 1
+    ends = np.unique(q + n)
+    first, last = np.searchsorted(ends, q, "right").tolist(), (np.searchsorted(ends, q + n) + 1).tolist()
+    tree, who = [-np.inf] * (len(ends) + 1), [-1] * (len(ends) + 1)
+    score, before = [0.0] * len(p), [-1] * len(p)
+    waiting = np.argsort(p + n, kind="stable").tolist()
+    begin, done, gone = p.tolist(), (p + n).tolist(), (q + n).tolist()
+    gain, low, w = (GAIN * n).tolist(), (GAP * (p + q)).tolist(), 0
+    for i in range(len(begin)):
+        while w < len(waiting) and done[waiting[w]] <= begin[i]:
+            j = waiting[w]
+            v, r = score[j] + GAP * (done[j] + gone[j]), last[j]
+            while r < len(tree):
+                if v > tree[r]:
+                    tree[r], who[r] = v, j
+                r += r & -r
+            w += 1
+        best, found, r = -np.inf, -1, first[i]
         while r:
-            if tree[r] > low:
-                low, best = tree[r], who[r]
+            if tree[r] > best:
+                best, found = tree[r], who[r]
             r -= r & -r
-        gain = low - GAP * (p[i] + q[i])
-        score[i], before[i] = (GAIN + gain, best) if best >= 0 and gain > 0 else (GAIN, -1)
-        waiting.append(i)
-    used, out = [False] * n, []
-    for i in sorted(range(n), key=lambda i: (-score[i], i)):
+        more = best - low[i]
+        score[i], before[i] = (gain[i] + more, found) if found >= 0 and more > 0 else (gain[i], -1)
+    used, out = [False] * len(begin), []
+    for i in sorted(range(len(begin)), key=lambda i: (-score[i], i)):
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
@@ -117,130 +155,244 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _extend(same: np.ndarray) -> int:
-    """How many leading words to add: up to the best point of +1 a word alike, -2 a word that isn't."""
-    if not len(same):
-        return 0
-    total = np.cumsum(np.where(same, 1, -2))
-    best = int(np.argmax(total))
-    return best + 1 if total[best] > 0 else 0
+def within(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int], n: list[int]) -> int:
+    """Words alike from the first to the last seed of a chain of runs at p in a and q in b. Between runs an equal number of words is
+    compared in place, other gaps by longest common subsequence."""
+    alike, x, y = 0, p[0], q[0]
+    for s, t, k in zip(p, q, n, strict=True):
+        over = max(0, x - s, y - t)  # seeds of neighbouring runs may share words
+        s, t, size = s + over, t + over, k + SHINGLE - 1 - over
+        alike += int((a[x:s] == b[y:t]).sum()) if s - x == t - y else common_words(a[x:s].tolist(), b[y:t].tolist())
+        alike += size
+        x, y = s + size, t + size
+    return alike
 
 
-def align(a: np.ndarray, b: np.ndarray, p: list[int], q: list[int]) -> tuple[int, int, int, int, int]:
-    """(start and end in a, start and end in b, words alike) of a chain's passage, ends extended along the diagonal.
+def extend(a: list[bytes], b: list[bytes], room: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(words added, words alike of them) at one end of many chains: of up to `room` words (of four bytes) next to it, up to the best
+    point of +1 a word alike, -2 a word that isn't. With `left` the words before the end are given, the nearest last."""
+    wide = 4 * MARGIN
 
-    Seeds are at p in a and q in b. Between seeds an equal number of words is compared in place, other gaps by longest common
-    subsequence.
-    """
-    alike, x, y = 0, p[0], q[0]
-    for s, t in zip([*p[1:], p[-1] + SHINGLE], [*q[1:], q[-1] + SHINGLE], strict=True):
-        if s - x == t - y:
-            alike += int((a[x:s] == b[y:t]).sum())
-        else:
-            alike += common_words(a[x:s].tolist(), b[y:t].tolist())
-        x, y = s, t
-    more = min(len(a) - x, len(b) - y, MARGIN)
-    same = a[x : x + more] == b[y : y + more]
-    right = _extend(same)
-    alike += int(same[:right].sum())
-    less = min(p[0], q[0], MARGIN)
-    same = (a[p[0] - less : p[0]] == b[q[0] - less : q[0]])[::-1]
-    left = _extend(same)
-    alike += int(same[:left].sum())
-    return p[0] - left, x + right, q[0] - left, y + right, alike
-
-
-def align_alone(a: list[bytes], b: list[bytes], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words added on the left, on the right, words alike) of chains of one seed, at p in a and q in b (words of four bytes):
-    what align() gives, for many at once."""
-    def cut(texts: list[bytes], at: np.ndarray, size: np.ndarray, left: bool, fill: bytes) -> np.ndarray:
-        wide = 4 * MARGIN
-        parts = [x[4 * (i - n) : 4 * i].rjust(wide, fill) if left else x[4 * i : 4 * (i + n)].ljust(wide, fill) for x, i, n in zip(texts, at.tolist(), size.tolist(), strict=True)]
-        return np.frombuffer(b"".join(parts), np.uint32).reshape(-1, MARGIN)
-
-    added, alike = [], np.full(len(p), SHINGLE)
-    for left in (True, False):
-        x, y = (p, q) if left else (p + SHINGLE, q + SHINGLE)
-        room = np.minimum(p, q) if left else np.minimum(np.array([len(t) // 4 for t in a]) - x, np.array([len(t) // 4 for t in b]) - y)
-        size = np.minimum(room, MARGIN)
-        same = cut(a, x, size, left, b"\0") == cut(b, y, size, left, b"\1")
-        same = (same[:, ::-1] if left else same) & (np.arange(MARGIN) < size[:, None])
-        total = np.cumsum(np.where(same, 1, -2), axis=1)
-        best = total.argmax(axis=1)
-        more = np.where(total[np.arange(len(p)), best] > 0, best + 1, 0)
-        alike = alike + (same & (np.arange(MARGIN) < more[:, None])).sum(axis=1)
-        added.append(more)
-    return added[0], added[1], alike
-
-
-def match_seeds(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Matches (key, pos, other, at, star) of texts given as (key, text) with distinct bigint keys: for a seed that occurs
-    twice or more, in one text or several, each position, and as the other side the first in order of (key, pos) and the one before.
-    The first of them have star.
-
-    The order is within a slice where a seed has more than SLICE occurrences; other sides are always earlier in order.
+    def grid(parts: list[bytes], fill: bytes) -> np.ndarray:
+        sized = (x[-wide:].rjust(wide, fill) if left else x[:wide].ljust(wide, fill) for x in parts)
+        words = np.frombuffer(b"".join(sized), np.uint32).reshape(-1, MARGIN)
+        return words[:, ::-1] if left else words
+
+    same = (grid(a, b"\0") == grid(b, b"\1")) & (np.arange(MARGIN) < room[:, None])
+    total = np.cumsum(np.where(same, 1, -2), axis=1)
+    best = total.argmax(axis=1) if len(total) else np.zeros(0, int)
+    more = np.where(total[np.arange(len(total)), best] > 0, best + 1, 0)
+    return more, (same & (np.arange(MARGIN) < more[:, None])).sum(axis=1)
+
+
+def _matches(key: np.ndarray, p: np.ndarray, other: np.ndarray, q: np.ndarray, star: np.ndarray) -> pa.RecordBatch:
+    """Matches, a row for all those of two texts: (key, other, star, ps, qs)."""
+    order = np.lexsort((p, star, other, key))
+    key, other, star, p, q = key[order], other[order], star[order], p[order], q[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1]) | (star[1:] != star[:-1])
+    at = np.flatnonzero(new)
+    offsets = pa.array(np.append(at, len(key)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (p, q)]
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(other[at]), pa.array(star[at]), *lists], MATCH_NAMES)
+
+
+MATCH = "key long, other long, star boolean, ps array<int>, qs array<int>"
+MATCH_NAMES = ["key", "other", "star", "ps", "qs"]
+
+
+def _neighbours(place: np.ndarray, start: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, other occurrence, star) of matches of each occurrence with its seed's first (star) and with the one before,
+    of those in `among`; `place` and `start` give an occurrence's place in its seed's run and where that begins."""
+    one, two = np.flatnonzero(among & (place > 0)), np.flatnonzero(among & (place > 1))
+    return np.concatenate([one, two]), np.concatenate([start[one], two - 1]), np.concatenate([np.ones(len(one), bool), np.zeros(len(two), bool)])
+
+
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in its run, where the run begins, size of the run) of each row, given which rows begin one."""
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(new)))
+    start = np.repeat(at, size)
+    return np.arange(len(new)) - start, start, np.repeat(size, size)
+
+
+def match_seeds(texts: DataFrame, total: int, text_col: str = "text") -> DataFrame:
+    """Matches (key, other, star, ps, qs) of texts given as (key, text) with distinct bigint keys, with `total` seeds or so: for a
+    seed that occurs twice or more, in one text or several, each position in ps, and in qs its first in order of (key, position)
+    (star) or the one before. Occurrences beyond COMMON in a chunk have the first and the one before of that chunk.
+
+    Hashes are cut to so many bits that one seed in 64 meets another by chance.
     """
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = min(63, max(16, int(total).bit_length() + 6))
+    split = min(20, max(0, (int(total) // RANGE).bit_length()))
+    down, low = np.uint64(64 - bits), np.uint64(bits - split)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = pa.array([], pa.int32())
+
+        def chunk(found: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            found.sort(key=lambda x: x[0])
+            keys, sizes = np.array([k for k, _ in found], np.int64), np.array([len(h) for _, h in found])
+            slot = np.concatenate([h for _, h in found]) >> down
+            order = np.argsort(slot, kind="stable")
+            doc = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)[order]
+            pos = (np.arange(len(slot)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)[order]
+            slot = slot[order]
+            at, start, size = _runs(np.append(True, slot[1:] != slot[:-1]))
+            common = size > COMMON
+            i, j, star = _neighbours(at, start, common)
+            if len(i):
+                met = _matches(keys[doc[i]], pos[i], keys[doc[j]], pos[j], star)
+                blank = pa.nulls(len(met), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array((met.column(0).to_numpy() % (1 << split)).astype(np.int32)), blank, *met.columns], PLACED_NAMES)
+            sent = ~common | (at == 0)
+            slot, doc, pos = slot[sent], doc[sent], pos[sent]
+            part = (slot >> low).astype(np.int64)
+            edges = np.searchsorted(part, np.arange((1 << split) + 1)).tolist()
+            blocks, number = [], []
+            for r in np.unique(part).tolist():
+                a, b = edges[r], edges[r + 1]
+                inside, local = np.unique(doc[a:b], return_inverse=True)
+                blocks.append(squeeze(np.diff(slot[a:b], prepend=np.uint64(r) << low), local.astype(np.uint32), pos[a:b], keys[inside].view(np.uint64)))
+                number.append(r)
+            nothing = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(blocks, pa.binary()), *nothing], PLACED_NAMES)
+
+        found, held = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = seeds(word_hashes(text.as_py() or ""))
+                if len(h):
+                    found.append((key, h))
+                    held += len(h)
+                    if held >= CHUNK:
+                        yield from chunk(found)
+                        found, held = [], 0
+        if found:
+            yield from chunk(found)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def meet(blocks: list[bytes], r: int) -> Iterator[pa.RecordBatch]:
+            slots, keys, places = [], [], []
+            for block in blocks:
+                gaps, doc, pos, key = spread(block, np.uint64, np.uint32, np.uint32, np.int64)
+                slots.append(np.cumsum(gaps, dtype=np.uint64))
+                keys.append(key[doc])
+                places.append(pos)
+            slot = np.concatenate(slots)
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            _, _, size = _runs(np.append(True, slot[1:] != slot[:-1]))
+            again = size > 1
+            if not again.any():
+                return
+            slot, order = slot[again], order[again]
+            key, pos = np.concatenate(keys)[order], np.concatenate(places)[order]
+            order = np.lexsort((pos, key, slot))
+            slot, key, pos = slot[order], key[order], pos[order]
+            at, start, _ = _runs(np.append(True, slot[1:] != slot[:-1]))
+            i, j, star = _neighbours(at, start, np.ones(len(at), bool))
+            for k in range(0, len(i), 500_000):
+                x, y = i[k : k + 500_000], j[k : k + 500_000]
+                yield _matches(key[x], pos[x], key[y], pos[y], star[k : k + 500_000])
+
+        held, now = [], -1
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                key, h, at, first = [], [], [], []
-                for k, text in zip(batch["key"].to_numpy()[i : i + 1000], batch[text_col][i : i + 1000], strict=True):
-                    hs, ps, new = seeds(word_hashes(text or ""))
-                    h.append(hs)
-                    at.append(ps)
-                    first.append(new)
-                    key.append(np.full(len(hs), k, np.int64))
-                if key:
-                    yield pd.DataFrame({"seed": np.concatenate(h), "key": np.concatenate(key), "pos": np.concatenate(at), "first": np.concatenate(first)})
-
-    placed = written(texts.select("key", text_col).mapInPandas(place, "seed long, key long, pos int, first boolean"))
-    # Only seeds that occur twice are kept; both sides of the join are plain shuffles, so that a very common seed's rows
-    # are dealt out when the join runs.
-    shared = placed.groupBy("seed").agg(F.min("key").alias("other"), F.min_by("pos", F.when(F.col("first"), F.col("key"))).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = placed.join(saved(shared), "seed").withColumn("slice", F.expr(f"pmod(xxhash64(key), cast(ceil(n / {SLICE}) as bigint))"))
-    # Dealt by seed and slice, so that a very common seed is in no single task.
-    before = F.lag(F.struct(F.col("key").alias("other"), F.col("pos").alias("at"), F.lit(False).alias("star"))).over(W.partitionBy("seed", "slice").orderBy("key", "pos"))
-    sides = met.repartition("seed", "slice").withColumn("before", before).withColumn("before", F.expr("if(before.other = other and before.at = at, null, before)"))
-    sides = sides.select("key", "pos", F.explode(F.array(F.struct("other", "at", F.lit(True).alias("star")), "before")).alias("side")).where("side is not null")
-    return sides.select("key", "pos", "side.other", "side.at", "side.star").where("key <> other or pos <> at")
-
-
-def chain_matches(matches: DataFrame) -> DataFrame:
-    """Chains (key, other, ps, qs, star) of the matches between each two texts: the seeds' positions on both sides, of one seed or
-    more, and whether any has star."""
-    placed = matches.repartition("key", "other").sortWithinPartitions("key", "other", "pos", "at")
+            # Matches that a chunk found by itself pass through.
+            met = batch.column(1).is_null()
+            if pa.compute.any(met).as_py():
+                yield pa.RecordBatch.from_arrays(batch.filter(met).columns[2:], MATCH_NAMES)
+            for r, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block.is_valid:
+                    if r != now and held:
+                        yield from meet(held, now)
+                        held = []
+                    now = r
+                    held.append(block.as_py())
+        if held:
+            yield from meet(held, now)
+
+    placed = texts.select("key", text_col).mapInArrow(place, f"range int, data binary, {MATCH}")
+    return placed.repartition("range").sortWithinPartitions("range").mapInArrow(match, MATCH)
+
+
+PLACED_NAMES = ["range", "data", *MATCH_NAMES]
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key, in frames that hold all rows of their keys."""
+    kept = None
+    for batch in gathered(batches):
+        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if len(rows):
+            cut = int((rows["key"] != rows["key"].iloc[-1]).sum())
+            kept = rows.iloc[cut:]
+            if cut:
+                yield rows.iloc[:cut]
+    if kept is not None:
+        yield kept
+
+
+def _together(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length of the stretch that an interval belongs to, whether it reaches beyond those before it) of intervals sorted by key
+    and start; a stretch is what touching or overlapping intervals of one key cover."""
+    shift = np.append(0, np.cumsum(key[1:] != key[:-1])) << 32
+    reach = np.maximum.accumulate(shift + end)
+    first = np.append(True, (shift + start)[1:] > reach[:-1])
+    at = np.flatnonzero(first)
+    length = np.append(reach[at[1:] - 1], reach[-1]) - (shift + start)[at]
+    return length[np.cumsum(first) - 1], np.append(True, (shift + end)[1:] > reach[:-1])
+
+
+CHAIN = "key long, other long, star boolean, ps array<int>, qs array<int>, ns array<int>"
 
+
+def chain_matches(matches: DataFrame, least: int = 50) -> DataFrame:
+    """Chains (key, other, star, ps, qs, ns) of the matches between each two texts: where their runs begin on both sides and how many
+    matches each has, LEAST_SEEDS together; star if any match has it. Chains that can't reach `least` words, even if extended and put
+    together with all others of their text that they then touch, are left out. A text has no more matches than twice its seeds, so
+    one text's fit in a task."""
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            key, other, p, q, star = (rows[c].to_numpy() for c in ("key", "other", "pos", "at", "star"))
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]), [True]])) if len(key) else np.zeros(1, int)
-            out = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                for c in chains(p[a:b], q[a:b]) if b > a + 1 else [[0]]:
-                    out.append((key[a], other[a], p[a:b][c], q[a:b][c], star[a:b][c].any()))
-            return pd.DataFrame(out, columns=["key", "other", "ps", "qs", "star"]).astype({"key": "int64", "other": "int64", "star": "bool"})
-
-        kept = None
-        for batch in gathered(batches):
-            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(rows):
+        for rows in _whole(batches):
+            size = rows["ps"].map(len).to_numpy()
+            key, other, star = (np.repeat(rows[c].to_numpy(), size) for c in ("key", "other", "star"))
+            p, q = np.concatenate(rows["ps"].tolist()).astype(np.int64), np.concatenate(rows["qs"].tolist()).astype(np.int64)
+            order = np.lexsort((p, q - p, other, key))
+            key, other, star, p, q = key[order], other[order], star[order], p[order], q[order]
+            pair = np.append(True, (key[1:] != key[:-1]) | (other[1:] != other[:-1]))
+            at = np.flatnonzero(np.append(True, pair[1:] | ((q - p)[1:] != (q - p)[:-1]) | (p[1:] > p[:-1] + 1)))
+            n = p[np.append(at[1:], len(p)) - 1] - p[at] + 1
+            star = np.logical_or.reduceat(star, at)
+            pair = np.cumsum(pair)[at]
+            key, other, p, q = key[at], other[at], p[at], q[at]
+            edges = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            size = np.diff(np.append(edges, len(pair)))
+            found: list[list[int]] = [[i] for i in edges[(size == 1) & (n[edges] >= LEAST_SEEDS)].tolist()]
+            for a, k in zip(edges[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+                if n[a : a + k].sum() >= LEAST_SEEDS:
+                    here = np.argsort(p[a : a + k], kind="stable") + a
+                    found += [here[c].tolist() for c in chains(p[here], q[here], n[here]) if len(c) > 1 or n[here[c[0]]] >= LEAST_SEEDS]
+            if not found:
                 continue
-            last = rows.iloc[-1]
-            cut = int(((rows["key"] != last["key"]) | (rows["other"] != last["other"])).sum())
-            kept = rows.iloc[cut:]
-            yield done(rows.iloc[:cut])
-        if kept is not None:
-            yield done(kept)
+            head, tail = np.array([c[0] for c in found]), np.array([c[-1] for c in found])
+            start, end = np.maximum(p[head] - MARGIN, 0), p[tail] + n[tail] + SHINGLE - 1 + MARGIN
+            order = np.lexsort((start, key[head]))
+            length, _ = _together(key[head][order], start[order], end[order])
+            found = [found[i] for i in order[length >= least].tolist()]
+            if not found:
+                continue
+            head = [c[0] for c in found]
+            yield pd.DataFrame({"key": key[head], "other": other[head], "star": [bool(star[c].any()) for c in found], "ps": [p[c] for c in found], "qs": [q[c] for c in found], "ns": [n[c] for c in found]})
 
-    return placed.mapInPandas(link, "key long, other long, ps array<int>, qs array<int>, star boolean")
+    return matches.repartition("key").sortWithinPartitions("key", "other").mapInPandas(link, CHAIN)
 
 
-def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
-    """Repeated passages (key, start, end, other, other_start, other_end, alike) of texts given as (key, text), ends exclusive, in
-    words. Passages have `alike` of their words in common with the other text; together with those that they touch or overlap
-    they have `least` words or more. Of those with a text that has none of
-    the text's seeds first, only those are listed that add words to others."""
-    found = saved(chain_matches(match_seeds(texts, text_col)))
+def passages(texts: DataFrame, total: int, text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
+    """Repeated passages (key, start, end, other, other_start, other_end, alike) of texts given as (key, text), with `total` seeds or so;
+    ends exclusive, in words. Passages have `alike` of their words in common with the other text; together with those that they
+    touch or overlap they have `least` words or more. Of those with a text that has none of the text's seeds first, only those
+    are listed that add words to others."""
+    found = written(chain_matches(match_seeds(texts, total, text_col), least))
     hit = found.select(F.explode(F.array("key", "other")).alias("_cq_key")).distinct().select(F.pmod(F.xxhash64("_cq_key"), F.lit(PICK_BITS)).alias("_cq_bit"))
     picked = in_bitmap(texts.select("key", text_col), saved(bit_words(hit, "_cq_bit")), [F.pmod(F.xxhash64("key"), F.lit(PICK_BITS))], "_cq_in").where("_cq_in")
 
@@ -248,61 +400,52 @@ def passages(texts: DataFrame, text_col: str = "text", least: int = 50, alike: f
     def hashed(column: pd.Series) -> pd.Series:
         return pd.Series([word_hashes(t or "").astype(np.uint32).tobytes() for t in column], dtype=object)
 
-    # Four bytes a word; a chain takes the words around it from each side.
-    words = saved(picked.select("key", hashed(text_col).alias("_cq_words")))
+    # Four bytes a word. Texts meet their chains twice, as one side and as the other, and both joins read one exchange.
+    words = picked.select("key", hashed(text_col).alias("_cq_words")).repartition("key")
     low = lambda c: F.greatest(F.element_at(c, 1) - MARGIN, F.lit(0))
-    part = lambda c: F.substring(F.col("_cq_words"), 4 * low(c) + 1, 4 * (F.element_at(c, -1) + SHINGLE + MARGIN - low(c)))
-    one = found.join(words, "key").select("key", "other", "ps", "qs", "star", low("ps").alias("a0"), part("ps").alias("a"))
-    two = one.join(words.withColumnRenamed("key", "other"), "other").select("key", "other", "ps", "qs", "star", "a0", "a", low("qs").alias("b0"), part("qs").alias("b"))
+    end = lambda c: F.element_at(c, -1) + F.element_at("ns", -1) + SHINGLE - 1
+    cut = lambda a, b: F.substring(F.col("_cq_words"), 4 * a + 1, 4 * (b - a))
+    # Of a chain of one run, whose words are alike, only the words around it; of others the words between as well.
+    part = lambda c: F.concat(cut(low(c), F.element_at(c, 1)), F.when(F.size("ns") > 1, cut(F.element_at(c, 1), end(c))).otherwise(F.lit(b"")), cut(end(c), end(c) + MARGIN))
+    one = found.join(words, "key").select("key", "other", "star", "ps", "qs", "ns", part("ps").alias("a"))
+    two = one.join(words.withColumnRenamed("key", "other"), "other").select("key", "other", "star", "ps", "qs", "ns", "a", part("qs").alias("b"))
+    spans_schema = "key long, start int, end int, other long, other_start int, other_end int, alike double, star boolean"
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, alone = [], batch["ps"].map(len).to_numpy() == 1
-            if alone.any():
-                one = batch[alone]
-                low, high = one["a0"].to_numpy(), one["b0"].to_numpy()
-                p, q = np.concatenate(one["ps"].tolist()), np.concatenate(one["qs"].tolist())
-                left, right, n = align_alone(one["a"].map(bytes).tolist(), one["b"].map(bytes).tolist(), p - low, q - high)
-                size = left + SHINGLE + right
-                spans = pd.DataFrame({"key": one["key"].to_numpy(), "start": p - left, "end": p - left + size, "other": one["other"].to_numpy(), "other_start": q - left, "other_end": q - left + size, "alike": n / size, "star": one["star"].to_numpy()})
-                yield spans[spans["alike"] >= alike]
-            for r in batch[~alone].itertuples(index=False):
-                a, b = np.frombuffer(bytes(r.a), np.uint32), np.frombuffer(bytes(r.b), np.uint32)
-                s, e, t, f, n = align(a, b, (r.ps - r.a0).tolist(), (r.qs - r.b0).tolist())
-                share = n / max(e - s, f - t)
-                if share >= alike:
-                    out.append((r.key, s + r.a0, e + r.a0, r.other, t + r.b0, f + r.b0, share, r.star))
-            yield pd.DataFrame(out, columns=["key", "start", "end", "other", "other_start", "other_end", "alike", "star"]).astype({"key": "int64", "other": "int64", "alike": "float64", "star": "bool"})
-
-    spans = two.mapInPandas(aligned, "key long, start int, end int, other long, other_start int, other_end int, alike double, star boolean")
-    # A text has fewer passages than seeds, so its own fit in one task.
-    placed = spans.repartition("key").sortWithinPartitions("key", "start", F.desc("end"), F.desc("star"), "other", "other_start")
+            if not len(batch):
+                continue
+            sides, lone = [], batch["ns"].map(len).to_numpy() == 1
+            n = np.array([x[-1] for x in batch["ns"]])
+            for words, places in (("a", "ps"), ("b", "qs")):
+                begin, last = np.array([x[0] for x in batch[places]]), np.array([x[-1] for x in batch[places]])
+                before, stop = np.minimum(begin, MARGIN), last + n + SHINGLE - 1
+                middle = np.where(lone, 0, stop - begin)
+                parts = list(map(bytes, batch[words]))
+                left = [x[: 4 * k] for x, k in zip(parts, before.tolist(), strict=True)]
+                right = [x[4 * k :] for x, k in zip(parts, (before + middle).tolist(), strict=True)]
+                inner = [x[4 * k : 4 * (k + m)] for x, k, m in zip(parts, before.tolist(), middle.tolist(), strict=True)]
+                sides.append((begin, stop, left, right, inner, before))
+            (p, s, a_left, a_right, a, a_room), (q, t, b_left, b_right, b, b_room) = sides
+            more_left, same_left = extend(a_left, b_left, np.minimum(a_room, b_room), True)
+            room = np.minimum([len(x) // 4 for x in a_right], [len(x) // 4 for x in b_right])
+            more_right, same_right = extend(a_right, b_right, room, False)
+            same = same_left + same_right + np.where(lone, s - p, 0)
+            for i in np.flatnonzero(~lone).tolist():
+                same[i] += within(np.frombuffer(a[i], np.uint32), np.frombuffer(b[i], np.uint32), (batch["ps"].iat[i] - p[i]).tolist(), (batch["qs"].iat[i] - q[i]).tolist(), batch["ns"].iat[i].tolist())
+            start, stop, other_start, other_stop = p - more_left, s + more_right, q - more_left, t + more_right
+            share = same / np.maximum(stop - start, other_stop - other_start)
+            spans = pd.DataFrame({"key": batch["key"], "start": start, "end": stop, "other": batch["other"], "other_start": other_start, "other_end": other_stop, "alike": share, "star": batch["star"]})
+            yield spans[share >= alike]
+
+    placed = two.mapInPandas(aligned, spans_schema).repartition("key").sortWithinPartitions("key", "start", F.desc("end"), F.desc("star"), "other", "other_start")
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def done(rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows):
-                return rows
-            key, start, end = (rows[c].to_numpy().astype(np.int64) for c in ("key", "start", "end"))
-            shift = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) << 32
-            reach = np.maximum.accumulate(shift + end)
-            first = np.concatenate([[True], (shift + start)[1:] > reach[:-1]])
-            at = np.flatnonzero(first)
-            long = np.append(reach[at[1:] - 1], reach[-1]) - (shift + start)[at] >= least
-            new = rows["star"].to_numpy() | np.concatenate([[True], (shift + end)[1:] > reach[:-1]])
-            return rows[long[np.cumsum(first) - 1] & new]
-
-        kept = None
-        for batch in gathered(batches):
-            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            cut = int((rows["key"] != rows["key"].iloc[-1]).sum())
-            kept = rows.iloc[cut:]
-            yield done(rows.iloc[:cut])
-        if kept is not None:
-            yield done(kept)
+        for rows in _whole(batches):
+            length, new = _together(*(rows[c].to_numpy().astype(np.int64) for c in ("key", "start", "end")))
+            yield rows[(length >= least) & (rows["star"].to_numpy() | new)]
 
-    return placed.mapInPandas(together, spans.schema).drop("star")
+    return placed.mapInPandas(together, spans_schema).drop("star")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
@@ -314,17 +457,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cutting all listed passages leaves one copy. Null and empty texts have no passages; texts under `least` words neither, copies
     or not. Rows with equal ids are different documents. Extra columns are passed over; an empty table gives an empty result.
     """
-    rows = without(short_batches(docs), ["keep_id", "group_size", "kept", "text_sha256"]).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = written(digests(rows, "_text"))
-    # With the digests at hand only rows that may be copies shuffle, each time that texts are read.
-    marked = exact_dedup(rows, "_id", "_text", digested=True).withColumn("key", F.xxhash64("text_sha256"))
-    texts = marked.where("kept").select("key", F.coalesce("_text", F.lit("")).alias("text"))
-    ids = saved(exact_dedup(rows.drop("_text"), "_id").where("kept").select(F.xxhash64("text_sha256").alias("key"), "_id"))
-    found = saved(passages(texts, "text", least, alike))
+    rows = digests(short_batches(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_text")
+    # Ids, digests and sizes are kept; whole texts are read where they are needed, and only possible copies of them shuffle.
+    narrow = saved(rows.select("_id", "text_sha256", F.regexp_count("_text", F.lit(WORD)).alias("end")))
+    built = bloom(narrow)
+    marked = saved(exact_dedup(narrow, "_id", built=built))
+    ids = marked.where("kept").select(F.xxhash64("text_sha256").alias("key"), "_id")
+    total = marked.where("kept").agg(F.sum(F.greatest(F.col("end") - SHINGLE + 1, F.lit(0)))).first()[0] or 0
+    texts = exact_dedup(rows, "_id", "_text", digested=True, built=built).where("kept").select(F.xxhash64("text_sha256").alias("key"), F.col("_text").alias("text"))
+    found = passages(texts, total, "text", least, alike)
     named = found.join(ids.withColumnRenamed("_id", "doc_id"), "key").join(ids.select(F.col("key").alias("other"), F.col("_id").alias("other_id")), "other")
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "alike"]
-    size = F.size(F.regexp_extract_all("_text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    copies = marked.where("not kept").withColumn("end", size).where(F.col("end") >= least)
+    copies = marked.where("not kept").where(F.col("end") >= least)
     copies = copies.select(F.col("_id").alias("doc_id"), F.lit(0).alias("start"), "end", F.col("keep_id").alias("other_id"), F.lit(0).alias("other_start"), F.col("end").alias("other_end"), F.lit(1.0).alias("alike"))
     return named.select(*columns).unionByName(copies)
 

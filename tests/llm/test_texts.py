@@ -40,18 +40,29 @@ def words(r, n):
 
 def test_chains_against_quadratic_search():
     r = random.Random(4)
-    for _ in range(60):
+    gain, gap = substring_dedup.GAIN, substring_dedup.GAP
+    for _ in range(100):
         n = r.randint(1, 25)
         p = sorted(r.randint(0, 120) for _ in range(n))
-        q = [r.randint(0, 120) for _ in range(n)]
+        q, size = [r.randint(0, 120) for _ in range(n)], [r.choice([1, 1, 2, 7, 20]) for _ in range(n)]
+        follows = lambda a, b: p[a] + size[a] <= p[b] and q[a] + size[a] <= q[b]  # noqa: B023, E731
+        cost = lambda a, b: gap * (p[b] + q[b] - p[a] - q[a] - 2 * size[a])  # noqa: B023, E731
         best = []
         for i in range(n):
-            best.append(max([substring_dedup.GAIN] + [substring_dedup.GAIN + best[j] - substring_dedup.GAP * (p[i] + q[i] - p[j] - q[j]) for j in range(i) if p[j] < p[i] and q[j] < q[i]]))
-        found = substring_dedup.chains(np.array(p), np.array(q))
-        score = lambda c: sum(substring_dedup.GAIN for _ in c) - sum(substring_dedup.GAP * (p[b] + q[b] - p[a] - q[a]) for a, b in zip(c, c[1:]))  # noqa: B905, E731
+            best.append(gain * size[i] + max([0] + [best[j] - cost(j, i) for j in range(i) if follows(j, i)]))
+        found = substring_dedup.chains(np.array(p), np.array(q), np.array(size))
+        score = lambda c: sum(gain * size[x] for x in c) - sum(cost(x, y) for x, y in zip(c, c[1:]))  # noqa: B023, B905, E731
         assert sorted(i for c in found for i in c) == list(range(n))
         assert max(map(score, found)) == pytest.approx(max(best))
-        assert all(p[a] < p[b] and q[a] < q[b] for c in found for a, b in zip(c, c[1:]))  # noqa: B905
+        assert all(follows(x, y) for c in found for x, y in zip(c, c[1:]))  # noqa: B905
+
+
+def test_seed_blocks_round_trip():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 500):
+        columns = [r.integers(0, 2**k, n, dtype=np.uint64) for k in (1, 20, 63)] + [np.zeros(n, np.uint64)]
+        for x, y in zip(columns, substring_dedup.spread(substring_dedup.squeeze(*columns), *[np.uint64] * 4), strict=True):
+            assert x.tolist() == y.tolist()
 
 
 def test_common_words():
@@ -168,25 +179,32 @@ def test_chats_round_trip(spark):
     assert got[1] == got[2] == [] and [y.text for y in got[3]] == ["no marker at all"]
 
 
-def test_lone_seeds_align_as_chains_do():
+def test_ends_and_insides_of_chains_against_plain_loops():
     r = np.random.default_rng(10)
-    a, b, p, q, want = [], [], [], [], []
+    a, b, rooms, want = [], [], [], []
     for _ in range(200):
-        n = int(r.integers(5, 120))
+        n = int(r.integers(0, 30))
         x = r.integers(0, 2**32, n, dtype=np.uint32)
-        y = np.where(r.random(n) < 0.2, 7, x).astype(np.uint32)
-        at = int(r.integers(0, n - 4))
-        y[at : at + 5] = x[at : at + 5]
-        skip = int(r.integers(0, at + 1))
-        y = y[skip:]
-        a.append(x.tobytes())
-        b.append(y.tobytes())
-        p.append(at)
-        q.append(at - skip)
-        s, e, _, _, alike = substring_dedup.align(x, y, [at], [at - skip])
-        want.append((at - s, e - at - 5, alike))
-    got = substring_dedup.align_alone(a, b, np.array(p), np.array(q))
+        y = np.where(r.random(n) < 0.3, 7, x).astype(np.uint32)
+        room = int(r.integers(0, min(n, substring_dedup.MARGIN) + 1))
+        best, total, alike = (0, 0, 0), 0, 0
+        for i in range(room):
+            alike += int(x[i] == y[i])
+            total += 1 if x[i] == y[i] else -2
+            best = max(best, (total, -i - 1, alike)) if total > 0 else best
+        want.append((-best[1], best[2]))
+        a.append(x)
+        b.append(y)
+        rooms.append(room)
+    got = substring_dedup.extend([x.tobytes() for x in a], [x.tobytes() for x in b], np.array(rooms), False)
+    assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+    got = substring_dedup.extend([x[::-1].tobytes() for x in a], [x[::-1].tobytes() for x in b], np.array(rooms), True)
     assert list(zip(*(g.tolist() for g in got), strict=True)) == want
+    x, y = np.arange(40), np.array([*range(20), 99, *range(20, 30), 98, *range(31, 40)])
+    assert substring_dedup.within(x, y, [0, 20, 31], [0, 21, 32], [16, 6, 5]) == 39
+    # Runs whose seeds share words: the word after the repeated one is counted once.
+    x, y = np.array([1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10]), np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
+    assert substring_dedup.within(x, y, [0, 6], [0, 5], [2, 1]) == 10
 
 
 def test_fuzzy_passages_are_found_as_by_brute_force(spark):
@@ -218,13 +236,28 @@ def test_passages_whose_seeds_are_also_in_an_earlier_text(spark, monkeypatch):
     early = [w for run in reversed(runs) for w in [*run, *words(r, 60)]]
     texts = [early, *([w for run in runs for w in [*run, f"own{k}"]] for k in range(2)), *(words(r, 80) for _ in range(3))]
     frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key long, text string")
-    for size in (5000, 2):  # with one slice for a seed; with more, it depends on how they are dealt
-        monkeypatch.setattr(substring_dedup, "SLICE", size)
-        found = {(x.key, x.other): (x.start, x.end) for x in substring_dedup.passages(frame).collect()}
-        assert size == 2 or found[2, 1] == (0, 71)
+    for common, chunk in ((16, 1_000_000), (1, 1_000_000), (1, 100)):  # seeds matched where they meet, in the chunk, or both
+        monkeypatch.setattr(substring_dedup, "COMMON", common)
+        monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+        found = {(x.key, x.other): (x.start, x.end) for x in substring_dedup.passages(frame, 600).collect()}
+        assert found[2, 1] == (0, 71)
         assert all(other < key for key, other in found)
 
 
+def test_a_passage_that_many_short_texts_quote(spark):
+    r = random.Random(14)
+    shared = words(r, 60)
+    docs = [(1, words(r, 40) + shared + words(r, 30)), (2, words(r, 25) + shared + words(r, 50))]
+    docs += [(10 + k, words(r, 12) + shared[k % 52 : k % 52 + 9] + words(r, 12)) for k in range(416)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame([(k, " ".join(t)) for k, t in docs], "doc_id long, text string")).collect()
+    hit = {1: set(), 2: set()}
+    for x in found:
+        if x.doc_id in hit:
+            hit[x.doc_id].update(range(x.start, x.end))
+    assert set(range(40, 100)) <= hit[1] or set(range(25, 85)) <= hit[2]
+    assert not {x.doc_id for x in found} - {1, 2}
+
+
 def test_passages_repeated_within_a_document(spark):
     r = random.Random(13)
     p, q = words(r, 60), words(r, 70)
