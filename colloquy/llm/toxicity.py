@@ -1,10 +1,11 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
-Fitting: from labelled texts, words and word beginnings that mark toxic texts become evidence classes (a greedy cover by the
-likelihood-ratio statistic); tokens of toxic texts in a class are labelled 1, all other tokens 0; the field's emission and
-transition weights maximise the conditional likelihood of those token labels. Scoring: forward-backward gives each token's
-marginal; a document's score is a logistic function of its largest marginal and of its expected number of toxic tokens, and
-the tokens with a marginal of one half or more give the offending offsets.
+Fitting: from labelled texts, words and word beginnings that mark toxic texts become evidence (a greedy cover by the
+likelihood-ratio statistic), each of a class by its kind and by how strongly it marks them. Labels are those of texts, so
+token labels follow from them: evidence in a toxic text is 1, every other token 0. The field's emission weights, one for each class
+and state, and its transition weights maximise the conditional likelihood of the token labels over the whole sample. Scoring:
+forward-backward gives each token's marginal; a document's score is a logistic function of its largest marginal and of its
+expected number of toxic tokens, and the tokens with a marginal of one half or more give the offending offsets.
 """
 
 from __future__ import annotations
@@ -25,14 +26,20 @@ from colloquy.llm.common import saved, short_batches, without
 
 RESULTS = ["score", "predicted", "toxic_spans"]
 
-#: Bounds of fitting: labelled texts read, entries of the lexicon, words counted, training segments of SEGMENT tokens.
-MAX_LABELLED, MAX_LEXICON, MAX_WORDS, MAX_SEGMENTS, SEGMENT = 20_000, 20_000, 200_000, 4_000, 128
+#: The bound of fitting: labelled texts read. All else that is learned comes from the whole of these.
+MAX_LABELLED = 20_000
+#: Tokens around evidence that are in its training segment, and tokens of a segment at most.
+AROUND, SEGMENT = 8, 128
+#: Cells (texts times evidence tokens of the longest) that are scored at once.
+CELLS = 100_000
 #: The sample is small and read several times, so it is kept in few parts: many tiny tasks would only start more Python workers.
 SAMPLE_PARTS = 24
 #: Lengths of the word beginnings that can be evidence.
 BEGINNINGS = (3, 4, 5, 6)
-#: Evidence classes of a token: none, a word's beginning, a whole word.
-CLASSES = 3
+#: Evidence of a kind is in so many classes by its strength.
+STRENGTHS = 8
+#: Classes of a token: none, then a word's beginning by strength, then a whole word by strength.
+CLASSES = 1 + 2 * STRENGTHS
 
 TOKEN = re.compile(r"\w+")
 
@@ -116,12 +123,23 @@ def sparse_marginals(rows: list[tuple[np.ndarray, np.ndarray, int]], emit: np.nd
         return powers[n]
 
     order = np.argsort([-len(p) for p, _, _ in rows], kind="stable")
-    sizes = np.array([len(rows[i][0]) for i in order])
+    out: list[np.ndarray] = [None] * len(rows)
+    at = 0
+    while at < len(order):  # texts with much evidence are by themselves, so a long one does not widen the rest
+        some = order[at : at + max(1, CELLS // max(1, len(rows[order[at]][0])))]
+        for i, on in zip(some.tolist(), _sparse([rows[i] for i in some], e, m, run), strict=True):
+            out[i] = on
+        at += len(some)
+    return out
+
+
+def _sparse(rows: list[tuple[np.ndarray, np.ndarray, int]], e: np.ndarray, m: np.ndarray, run) -> list[np.ndarray]:
+    """sparse_marginals() of a block, longest texts first."""
+    sizes = np.array([len(at) for at, _, _ in rows])
     steps = sizes[0]
     shown, links = np.ones((steps, len(rows), 2)), np.zeros((steps, len(rows), 2, 2))
     first, last = np.ones((len(rows), 2)), np.ones((len(rows), 2))
-    for j, i in enumerate(order):
-        at, c, n = rows[i]
+    for j, (at, c, n) in enumerate(rows):
         shown[: len(at), j] = e[c]
         gaps = np.diff(at) - 1
         links[1 : len(at), j] = [run(g) @ m for g in gaps.tolist()] if len(gaps) else np.zeros((0, 2, 2))
@@ -142,14 +160,12 @@ def sparse_marginals(rows: list[tuple[np.ndarray, np.ndarray, int]], emit: np.nd
         backward[t, :n] = b / b.sum(axis=1, keepdims=True)
     both = forward * backward
     on = both[:, :, 1] / np.maximum(both.sum(axis=2), 1e-300)
-    out: list[np.ndarray] = [None] * len(rows)
-    for j, i in enumerate(order):
-        out[i] = on[: sizes[j], j]
-    return out
+    return [on[:k, j] for j, k in enumerate(sizes)]
 
 
-def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int) -> tuple[dict[str, int], dict[str, int]]:
-    """Evidence from (word, toxic texts with it, clean texts with it, its features): a greedy cover by words and beginnings.
+def cover(words: list[tuple[int, int, list[str]]], toxic: int, clean: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Evidence from (toxic texts with it, clean texts with it, its features) of words, those with equal features together: a greedy
+    cover by words and beginnings, each with its class.
 
     The strongest feature by the G statistic is taken, its words are set aside, and what remains is weighed again, until no
     feature is beyond chance for the number of features tried (and 90% of what it hits is toxic). Of equally strong features
@@ -158,7 +174,7 @@ def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int)
     base = toxic / max(1, toxic + clean)
     features: dict[str, list[int]] = defaultdict(list)
     for i, w in enumerate(words):
-        for f in w[3]:
+        for f in w[2]:
             features[f].append(i)
     gone = [False] * len(words)
 
@@ -166,7 +182,7 @@ def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int)
         return sum(words[i][column] for i in features[f] if not gone[i])
 
     def strength(f: str, a: int | None = None) -> float:
-        a, b = hits(f, 1) if a is None else a, hits(f, 2)
+        a, b = hits(f, 0) if a is None else a, hits(f, 1)
         if a < 3 or a < 9 * b:
             return 0.0
         return 2 * (a * math.log(a / ((a + b) * base)) + (b * math.log(b / ((a + b) * (1 - base))) if b else 0.0))
@@ -175,7 +191,7 @@ def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int)
     least = 2 * math.log(max(2, len(heap))) + 8
     heapq.heapify(heap)
     lexicon, need = {}, {}
-    while heap and len(lexicon) < MAX_LEXICON:
+    while heap:
         s, *rest, f = heapq.heappop(heap)
         now = strength(f)
         if now < least + 10 * (f[0] == "^"):  # a word has several beginnings, and they have many words
@@ -183,8 +199,10 @@ def cover(words: list[tuple[str, int, int, list[str]]], toxic: int, clean: int)
         if now < -s - 1e-9:
             heapq.heappush(heap, (-now, *rest, f))
             continue
-        lexicon[f] = 1 if f[0] == "^" else 2
-        need[f] = next(n for n in range(3, hits(f, 1) + 1) if strength(f, n) >= least)
+        a, b = hits(f, 0), hits(f, 1)
+        odds = int(math.log2((a + 0.5) / (b + 0.5))) - 2  # of 3 toxic texts and no clean one: 0
+        lexicon[f] = 1 + min(STRENGTHS - 1, max(0, odds)) + (0 if f[0] == "^" else STRENGTHS)
+        need[f] = next(n for n in range(3, a + 1) if strength(f, n) >= least)
         for i in features[f]:
             gone[i] = True
     return lexicon, need
@@ -215,19 +233,33 @@ def fit_field(segments: list[tuple[np.ndarray, np.ndarray, int]], rounds: int =
     return theta[:-4].reshape(CLASSES, 2), theta[-4:].reshape(2, 2)
 
 
-def fit_scores(stats: np.ndarray, labels: np.ndarray, ridge: float = 0.02) -> np.ndarray:
-    """Logistic weights for (1, largest marginal, log(1 + expected toxic tokens)), by Newton steps.
+def segments_of(classes: np.ndarray) -> list[np.ndarray]:
+    """A text's classes cut into training segments: evidence with AROUND tokens on each side, and what is between, in pieces of
+    SEGMENT tokens at most. Away from evidence all tokens are alike, so few different segments stand for many."""
+    n, out, done = len(classes), [], 0
+    found = np.flatnonzero(classes)
+    for group in np.split(found, np.flatnonzero(np.diff(found) > 2 * AROUND) + 1) if len(found) else []:
+        start, end = max(done, int(group[0]) - AROUND), min(n, int(group[-1]) + AROUND + 1)
+        out += [(done, start), (start, end)]
+        done = end
+    out.append((done, n))
+    return [classes[i : min(i + SEGMENT, b)] for a, b in out for i in range(a, b, SEGMENT)]
+
+
+def fit_scores(stats: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None, ridge: float = 0.02) -> np.ndarray:
+    """Logistic weights for (1, largest marginal, log(1 + expected toxic tokens)), by Newton steps; a row counts `times`.
 
     Without statistics the score is that of one toxic text in four, so nothing is predicted to be toxic.
     """
     if not len(stats):
         return np.array([-math.log(3), 0.0, 0.0])
     x = np.concatenate([np.ones((len(stats), 1)), stats], axis=1)
-    w = np.zeros(3)
+    w, times = np.zeros(3), np.ones(len(x)) if times is None else times
+    total = times.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge / 20 * np.eye(3)
-        w += np.linalg.solve(h, x.T @ (labels - p) / len(x) - ridge / 20 * w)
+        h = (x * (times * p * (1 - p))[:, None]).T @ x / total + ridge / 20 * np.eye(3)
+        w += np.linalg.solve(h, x.T @ (times * (labels - p)) / total - ridge / 20 * w)
     return w
 
 
@@ -280,13 +312,13 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on at most max_labelled labelled rows that are not held out, a hash sample where there are more.
 
-    Labels that are null are passed over; an id with several labels has their largest. Without labels no text is
-    predicted to be toxic. What near copies repeat is no evidence: a feature
-    must be beyond chance by the different words it follows, too. Only counts of words (MAX_WORDS at most) and class numbers of MAX_SEGMENTS segments
-    and the sample's statistics (two numbers a text) come to the driver.
+    A label above 0 is toxic, any other number clean; labels that are null are passed over; an id with several labels has their
+    largest. Without labels no text is predicted to be toxic. What near copies repeat is no evidence: a feature
+    must be beyond chance by the different words it follows, too. What comes to the driver is bounded by the sample: counts of
+    its words (those with equal features summed), its different segments of class numbers, two numbers for each of its texts.
     """
     short_batches(docs)
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_cq_id")).agg(F.max(label_col).cast("int").alias("_cq_toxic"))
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_cq_id")).agg((F.max(label_col) > 0).cast("int").alias("_cq_toxic"))
     total = usable.count()
     chosen = usable.where(F.pmod(F.xxhash64("_cq_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.97 * max_labelled / max(1, total)))) if total > max_labelled else usable
     sample = saved(docs.select(F.col(id_col).alias("_cq_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_cq_id").select("text", F.col("_cq_toxic").alias("toxic")).dropDuplicates().coalesce(SAMPLE_PARTS))
@@ -306,8 +338,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     features = counts.select("word", "t", "c", F.explode(F.array_compact(forms)).alias("f"))
     # Only features that are mostly in toxic texts can be evidence; with each come all words that have it.
     likely = features.groupBy("f").agg(F.sum("t").alias("n"), F.sum("c").alias("m")).where("n >= 3 and n >= m").select("f")
-    words = features.join(likely, "f").groupBy("word", "t", "c").agg(F.sort_array(F.collect_list("f")).alias("f")).orderBy(F.desc("t"), F.desc("c"), "word").limit(MAX_WORDS)
-    words = [tuple(w) for w in words.toPandas().itertuples(index=False)]
+    words = features.join(likely, "f").groupBy("word", "t", "c").agg(F.sort_array(F.collect_list("f")).alias("f")).groupBy("f").agg(F.sum("t"), F.sum("c"))
+    words = sorted((t, c, list(f)) for f, t, c in words.collect())
     lexicon, need = cover(words, toxic, clean)
 
     def context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,19 +360,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in (b.iloc[i : i + 200] for b in batches for i in range(0, len(b), 200)):
             out = []
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
-                c = model.classes(TOKEN.findall(text.lower()))
-                for i in range(0, len(c), SEGMENT):
-                    out.append((bytes(c[i : i + SEGMENT]), int(y)))
+                c = np.array(model.classes(TOKEN.findall(text.lower())), np.uint8)
+                out += [(part.tobytes(), int(y)) for part in segments_of(c)]
             yield pd.DataFrame(out, columns=["c", "toxic"]).astype({"toxic": "int32"})
 
-    # Most segments have no evidence and are alike but for their length, so few distinct ones stand for all.
-    parts = sample.mapInPandas(segment, "c binary, toxic int").groupBy("c", "toxic").count()
-    rows = parts.orderBy(F.desc("count"), F.xxhash64("c", "toxic"), "c").limit(MAX_SEGMENTS).collect()
     segments = []
-    for r in rows:
-        c = np.frombuffer(bytes(r["c"]), np.uint8).astype(np.int64)
-        if len(c):
-            segments.append((c, ((c > 0) & (r["toxic"] == 1)).astype(np.int64), r["count"]))
+    for c, y, n in sorted((bytes(c), y, n) for c, y, n in sample.mapInPandas(segment, "c binary, toxic int").groupBy("c", "toxic").count().collect()):
+        c = np.frombuffer(c, np.uint8).astype(np.int64)
+        segments.append((c, ((c > 0) & (y == 1)).astype(np.int64), n))
     model.emit, model.move = fit_field(segments)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,8 +375,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             stats, _ = statistics(model, list(batch["text"]))
             yield pd.DataFrame({"top": stats[:, 0], "sum": stats[:, 1], "toxic": batch["toxic"].to_numpy()})
 
-    rows = sample.mapInPandas(measure, "top double, sum double, toxic int").orderBy("top", "sum", "toxic").toPandas()
-    model.weights = fit_scores(rows[["top", "sum"]].to_numpy(), rows["toxic"].to_numpy().astype(float))
+    # Equal rows are counted, and what the sample has of different ones is sorted here, so that sums are the same each time.
+    rows = np.array(sorted(tuple(r) for r in sample.mapInPandas(measure, "top double, sum double, toxic int").groupBy("top", "sum", "toxic").count().collect())).reshape(-1, 4)
+    model.weights = fit_scores(rows[:, :2], rows[:, 2], rows[:, 3])
     return model
 
 

@@ -39,6 +39,32 @@ def test_runs_without_evidence_in_closed_form():
         assert np.allclose(d[x > 0], s)
 
 
+def test_texts_with_much_evidence_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    emit, move = r.normal(size=(T.CLASSES, 2)), r.normal(size=(2, 2))
+    sizes = [200_000, *r.integers(1, 40, 499).tolist()]
+    rows = [(np.arange(n) * 2, r.integers(1, T.CLASSES, n), 2 * n) for n in sizes]
+    tracemalloc.start()
+    on = T.sparse_marginals(rows, emit, move)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(p) for p in on] == sizes and peak < 200e6
+    dense, _, _ = T.marginals([np.where(np.arange(n) % 2, 0, c[np.arange(n) // 2]) for _, c, n in rows[1:20]], emit, move)
+    for x, d in zip(on[1:20], dense, strict=True):
+        assert np.allclose(x, d[::2])
+
+
+def test_training_segments_are_the_whole_text():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 30, 700):
+        for share in (0, 0.01, 0.3):
+            c = np.where(r.random(n) < share, 3, 0).astype(np.uint8)
+            parts = T.segments_of(c)
+            assert [x for p in parts for x in p.tolist()] == c.tolist() and all(0 < len(p) <= T.SEGMENT for p in parts)
+
+
 def made(n=600, seed=3):
     r = random.Random(seed)
     plain = [a + b + c for a in "bcdfg" for b in "aeiou" for c in ("n", "rt", "s", "l")]
@@ -85,13 +111,17 @@ def test_held_out_labels_are_never_used(spark, fitted):
 
 def test_odd_rows(spark, fitted):
     _, _, model = fitted
-    rows = [(None, "krumpf", "x"), (1, None, None), (1, "", "y"), (2, "İ KRUMPF! 中文", "z"), (2, "İ KRUMPF! 中文", "z"), (3, "plain " * 20000 + "zogwort", "z")]
+    rows = [(None, "krumpf", "x"), (1, None, None), (1, "", "y"), (2, "İ KRUMPF! 中文", "z"), (2, "İ KRUMPF! 中文", "z"), (3, "plain " * 20000 + "zogwort", "z"), (4, "krumpf " * 20000, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     got = {(r.doc_id, r.text): r for r in T.toxicity(docs, model).collect()}
     assert T.toxicity(docs, model).count() == len(rows) and isinstance(got[(None, "krumpf")].score, float)
     assert got[(1, None)].score == got[(1, "")].score and got[(1, "")].predicted == 0
-    s = got[(3, rows[-1][1])].toxic_spans[0]
-    assert rows[-1][1][s.start : s.end] == "zogwort"
+    s = got[(3, rows[-2][1])].toxic_spans[0]
+    assert rows[-2][1][s.start : s.end] == "zogwort"
+    s = got[(4, rows[-1][1])].toxic_spans
+    assert len(s) == 1 and s[0].end == len(rows[-1][1]) - 1
     assert T.toxicity(docs.limit(0), model).count() == 0
+    odd = T.fit(docs, spark.createDataFrame([(1, None), (2, 7), (3, -1), (3, 2), (None, 1)], "doc_id long, toxic int"))
+    assert T.toxicity(docs, odd).count() == len(rows)
     empty = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in T.toxicity(docs, empty).collect()} == {0}
