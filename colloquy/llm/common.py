@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Groups are spread over so many tasks at most; the set of salts fits one bigint mask.
@@ -95,22 +96,35 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def with_group(rows: DataFrame, keys: list[str], spread: list[str], aggregates: list[Column], table: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def with_group(rows: DataFrame, keys: list[str], spread: list[str], aggregates: list[Column], table: DataFrame | None = None, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Add aggregates over each key's rows to those rows, without gathering a hot key in one task.
 
     The aggregates are combined map-side. Each row belongs to one of SALTS slices by a hash of `spread`; a group's result
     is repeated for the slices that the group really has (a bit mask kept while aggregating), and the join is on key and
     slice. A group with one row is repeated once, a group with a third of all rows at most SALTS times. Keys must not be null.
-    `table`, if given, has a row for each key, and its columns are added too; how="left" keeps rows whose key it lacks. The result has
-    one more column, _cq_slice.
+    `table`, if given, has a row for each key, and its columns are added too; how="left" keeps rows whose key it lacks. The same rows
+    with fewer columns may be `counted` in place of `rows`. The result has one more column, _cq_slice.
     """
-    sliced = rows.withColumn("_cq_slice", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    groups = sliced.groupBy(*keys).agg(*aggregates, F.expr("bit_or(shiftleft(1L, _cq_slice))").alias("_cq_mask"))
+    slices = lambda frame: frame.withColumn("_cq_slice", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    sliced = slices(rows)
+    groups = (sliced if counted is None else slices(counted)).groupBy(*keys).agg(*aggregates, F.expr("bit_or(shiftleft(1L, _cq_slice))").alias("_cq_mask"))
     groups = groups if table is None else groups.join(table, keys, how)
     groups = groups.withColumn("_cq_slice", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(_cq_mask, i) = 1)")))
     return sliced.join(groups.drop("_cq_mask"), [*keys, "_cq_slice"])
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add sums over all rows before a row in a total order. Rows are sorted by range and summed within a range; the ranges' offsets are
+    sums of a table with a row for each partition, which is broadcast."""
+    placed = saved(rows.repartitionByRange(*order).withColumn("_cq_part", F.spark_partition_id()))
+    parts = placed.groupBy("_cq_part").agg(*(F.sum(x).alias(n) for n, x in sums.items()))
+    earlier = W.orderBy("_cq_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.select("_cq_part", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_cq_offset_{n}") for n in sums))
+    within = W.partitionBy("_cq_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    joined = placed.join(F.broadcast(offsets), "_cq_part")
+    return joined.select(*rows.columns, *((F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"_cq_offset_{n}")).alias(n) for n, x in sums.items()))
+
+
 def bit_words(hits: DataFrame, bit_col: str) -> DataFrame:
     """A bitmap of the bits (0, 1, 2, ...) in a column: its 64-bit words that aren't zero, as (_cq_word, _cq_set)."""
     return hits.groupBy(F.expr(f"shiftright({bit_col}, 6)").alias("_cq_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit_col} & 63 as int)))").alias("_cq_set"))

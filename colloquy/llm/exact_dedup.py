@@ -71,21 +71,24 @@ def probe(rows: DataFrame, built: Filter, id_col: str) -> DataFrame:
     return found.select(*rows.columns, F.coalesce((F.col("_cq_set").bitwiseAND(F.col("_cq_mask"))) == F.col("_cq_mask"), F.lit(False)).alias("_cq_again"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digested: bool = False, built: Filter | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digested: bool = False, built: Filter | None = None, narrow: DataFrame | None = None) -> DataFrame:
     """All rows of docs with keep_id, group_size, kept and text_sha256.
 
     Of equal texts (A-Z folded, null as empty) the row with the largest id stays; null ids rank lowest, and of rows that tie
     on the largest id exactly one is kept. group_size counts rows. Input columns named like a result are replaced; an
     empty table gives an empty result. docs may already carry text_sha256 from digests(): say so, or leave the text column out.
-    A filter that bloom() made of the same rows may be given.
+    What was made of the same rows may be given: the filter that bloom() built, and the ids and digests that were kept.
 
-    Rows shuffle whole, so wide ones are better reduced to id and digest first. Where the filter is beyond its broadcast bound
-    (from some twenty million rows on), all rows shuffle once by word, and repeated ones a second time.
+    Rows shuffle whole where they may be repeated. Where the filter is beyond its broadcast bound (from some twenty million rows on),
+    all rows shuffle once by word, and repeated ones a second time: reduce wide rows to id and digest first.
     """
     rows = docs if digested or text_col not in docs.columns and "text_sha256" in docs.columns else digests(docs, text_col)
-    probed = probe(rows, built or bloom(rows), id_col)
+    if narrow is None:
+        narrow = rows if set(rows.columns) <= {id_col, "text_sha256"} else saved(rows.select(id_col, "text_sha256"))
+    built = built or bloom(narrow)
+    probed = probe(rows, built, id_col)
     alone = probed.where(~F.col("_cq_again")).select(*rows.columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    groups = with_group(probed.where("_cq_again"), ["text_sha256"], [id_col], [F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")])
+    groups = with_group(probed.where("_cq_again"), ["text_sha256"], [id_col], [F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size")], counted=probe(narrow, built, id_col).where("_cq_again"))
     # Equal ids share a slice, so rows that tie on the largest id meet in this window, which needs no further shuffle.
     order = F.row_number().over(W.partitionBy("text_sha256", "_cq_slice").orderBy(F.col(id_col).desc_nulls_last()))
     groups = groups.withColumn("_cq_order", order).withColumn("kept", (F.col("_cq_order") == 1) & F.col(id_col).eqNullSafe(F.col("keep_id")))

@@ -129,6 +129,18 @@ def test_mixing(docs):
     assert all(taken[s] == int(want[s] + 1e-9) or abs(taken[s] - want[s]) <= 1 for s in want)
     again = mixing.mix(docs.repartition(7)).collect()
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in again)
+    sliced = mixing.mix(docs, small=0).collect()
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in sliced)
+    hosts = docs.sparkSession.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id") % 500).alias("source"), (F.col("id") % 37).alias("size"))
+    many = mixing.mix(hosts).collect()
+    sums = Counter()
+    for r in many:
+        sums[r.source] += r.size
+    want_many, taken_many = brute_targets(sums), Counter()
+    for r in many:
+        taken_many[r.source] += r.taken
+        assert r.target == pytest.approx(want_many[r.source]) and 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken_many[s] - want_many[s]) <= 1 for s in want_many)
     whole = mixing.mixed_rows(mixing.mix(docs)).collect()
     assert sum(size(r.text) for r in whole) == sum(taken.values())
 
