@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import WORD, bit_words, gathered, in_bitmap, saved, short_batches, written
-from colloquy.llm.exact_dedup import bloom, digests, exact_dedup
+from colloquy.llm.exact_dedup import bloom, digests, exact_dedup, probe
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -224,7 +224,7 @@ def match_seeds(texts: DataFrame, total: int, text_col: str = "text") -> DataFra
     Hashes are cut to so many bits that one seed in 64 meets another by chance.
     """
     bits = min(63, max(16, int(total).bit_length() + 6))
-    split = min(20, max(0, (int(total) // RANGE).bit_length()))
+    split = min(20, max(5, (int(total) // RANGE).bit_length()))
     down, low = np.uint64(64 - bits), np.uint64(bits - split)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +344,20 @@ def _together(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return length[np.cumsum(first) - 1], np.append(True, (shift + end)[1:] > reach[:-1])
 
 
+def needed(start: list[int], end: list[int]) -> list[int]:
+    """Of intervals sorted by start the fewest that cover what all cover: each touches those before it and reaches farthest."""
+    out, reach, i = [], -1, 0
+    while i < len(start):
+        best = i
+        while i < len(start) and (start[i] <= reach or i == best):
+            best = i if end[i] > end[best] else best
+            i += 1
+        if end[best] > reach or start[best] > reach:
+            out.append(best)
+            reach = end[best]
+    return out
+
+
 CHAIN = "key long, other long, star boolean, ps array<int>, qs array<int>, ns array<int>"
 
 
@@ -390,8 +404,9 @@ def chain_matches(matches: DataFrame, least: int = 50) -> DataFrame:
 def passages(texts: DataFrame, total: int, text_col: str = "text", least: int = 50, alike: float = 0.8) -> DataFrame:
     """Repeated passages (key, start, end, other, other_start, other_end, alike) of texts given as (key, text), with `total` seeds or so;
     ends exclusive, in words. Passages have `alike` of their words in common with the other text; together with those that they
-    touch or overlap they have `least` words or more. Of those with a text that has none of the text's seeds first, only those
-    are listed that add words to others."""
+    touch or overlap they have `least` words or more. Of passages with one other text the fewest are listed that cover the same words
+    (a text of few words in turn has a passage at every word). Of those with a text that has none of the text's seeds first,
+    only those are listed that add words to others."""
     found = written(chain_matches(match_seeds(texts, total, text_col), least))
     hit = found.select(F.explode(F.array("key", "other")).alias("_cq_key")).distinct().select(F.pmod(F.xxhash64("_cq_key"), F.lit(PICK_BITS)).alias("_cq_bit"))
     picked = in_bitmap(texts.select("key", text_col), saved(bit_words(hit, "_cq_bit")), [F.pmod(F.xxhash64("key"), F.lit(PICK_BITS))], "_cq_in").where("_cq_in")
@@ -442,8 +457,16 @@ def passages(texts: DataFrame, total: int, text_col: str = "text", least: int =
 
     def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole(batches):
-            length, new = _together(*(rows[c].to_numpy().astype(np.int64) for c in ("key", "start", "end")))
-            yield rows[(length >= least) & (rows["star"].to_numpy() | new)]
+            key, start, end, other = (rows[c].to_numpy().astype(np.int64) for c in ("key", "start", "end", "other"))
+            length, new = _together(key, start, end)
+            order = np.lexsort((start, other, key))
+            edges = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])))
+            listed = np.ones(len(rows), bool)
+            for group in np.split(order, edges[1:]):
+                if len(group) > 2:
+                    listed[group] = False
+                    listed[group[needed(start[group].tolist(), end[group].tolist())]] = True
+            yield rows[(length >= least) & listed & (rows["star"].to_numpy() | new)]
 
     return placed.mapInPandas(together, spans_schema).drop("star")
 
@@ -458,13 +481,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or not. Rows with equal ids are different documents. Extra columns are passed over; an empty table gives an empty result.
     """
     rows = digests(short_batches(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_text")
-    # Ids, digests and sizes are kept; whole texts are read where they are needed, and only possible copies of them shuffle.
+    # Ids, digests and sizes are kept. Whole texts are read where they are needed; only possible copies shuffle, after those of one task
+    # are made one, and one of each is kept.
     narrow = saved(rows.select("_id", "text_sha256", F.regexp_count("_text", F.lit(WORD)).alias("end")))
     built = bloom(narrow)
     marked = saved(exact_dedup(narrow, "_id", built=built))
     ids = marked.where("kept").select(F.xxhash64("text_sha256").alias("key"), "_id")
     total = marked.where("kept").agg(F.sum(F.greatest(F.col("end") - SHINGLE + 1, F.lit(0)))).first()[0] or 0
-    texts = exact_dedup(rows, "_id", "_text", digested=True, built=built).where("kept").select(F.xxhash64("text_sha256").alias("key"), F.col("_text").alias("text"))
+    probed = probe(rows, built, "_id").select(F.xxhash64("text_sha256").alias("key"), F.col("_text").alias("text"), "_cq_again")
+    repeated = written(probed.where("_cq_again").drop("_cq_again").dropDuplicates(["key"]))
+    texts = probed.where("not _cq_again").drop("_cq_again").union(repeated)
     found = passages(texts, total, "text", least, alike)
     named = found.join(ids.withColumnRenamed("_id", "doc_id"), "key").join(ids.select(F.col("key").alias("other"), F.col("_id").alias("other_id")), "other")
     columns = ["doc_id", "start", "end", "other_id", "other_start", "other_end", "alike"]

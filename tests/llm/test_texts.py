@@ -244,6 +244,19 @@ def test_passages_whose_seeds_are_also_in_an_earlier_text(spark, monkeypatch):
         assert all(other < key for key, other in found)
 
 
+def test_the_fewest_intervals_that_cover():
+    import itertools
+
+    r = random.Random(15)
+    for _ in range(200):
+        spans = sorted((a, a + r.randint(1, 8)) for a in (r.randint(0, 20) for _ in range(r.randint(1, 7))))
+        covers = lambda some: {x for a, b in some for x in range(a, b)}
+        got = [spans[i] for i in substring_dedup.needed(*map(list, zip(*spans, strict=True)))]
+        least = min(k for k in range(1, len(spans) + 1) for c in itertools.combinations(spans, k) if covers(c) == covers(spans))
+        assert covers(got) == covers(spans) and least <= len(got) <= least + 1
+    assert len(substring_dedup.needed(list(range(0, 300, 2)), list(range(26, 326, 2)))) <= 13
+
+
 def test_a_passage_that_many_short_texts_quote(spark):
     r = random.Random(14)
     shared = words(r, 60)
