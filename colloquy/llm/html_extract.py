@@ -2,24 +2,25 @@
 
 Pass 1 walks each page, scores its containers by the running text directly in them, and names the best one by its generalised
 path of tags and classes. Spark counts these votes per host. Pass 2 walks each page again and extracts the containers on the
-host's winning path; a page that has none of the host's paths uses its own best container.
+first of the host's winning paths that it has; a page that has none of them uses the path that it voted for itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import saved, short_batches, with_group, without
 
-#: Paths kept per host, best first; a page without any of them still has its own best container.
-RANKS = 8
+#: A path wins with one in so many of its host's votes, so a host has no more winning paths than that.
+SHARE = 32
 #: A table of winners up to this many bytes is broadcast; a larger one is joined by host, hosts spread over slices.
 BROADCAST_BYTES = 32 << 20
 
@@ -38,7 +39,7 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar breadcrumb breadcrumbs footer contentinfo complementary search comment comments commentlist reply replies respond disqus social share sharing related recommended recommendations newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices alert popup modal overlay widget widgets pagination pager toolbar masthead hidden".split())
 READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
 #: Words in a name that make it the page's frame or body in spite of a word of noise.
-FRAME = frozenset("content main article post body wrapper container page layout has with without no entry story text".split())
+FRAME = frozenset("content main article post body wrapper container page layout has with without no entry story text result results".split())
 
 
 def _names(attributes: str) -> tuple[list[str], list[str], bool]:
@@ -59,14 +60,21 @@ def _noise(names: list[str], words: frozenset[str]) -> bool:
     return False
 
 
+def _step(path: str, step: str) -> str:
+    """The name of a path one step longer: its last step, and a digest of all steps, so names stay short on deep pages."""
+    return f"{step[:100]}>{hashlib.blake2b(f'{path} {step}'.encode('utf-8', 'replace'), digest_size=12).hexdigest()}"
+
+
 def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
     """Paths of the containers, their parents (-1: none), and the blocks (text, characters outside links less those in
     links, innermost container) that are not in a menu, header, footer, sidebar, notice, advert, form, script, style or
-    reader comment. Blocks have their white space made single spaces and are not empty."""
+    reader comment. Blocks have their white space made single spaces and are not empty. Memory grows with the page, however deep
+    its tags are."""
     paths, parents, blocks = [], [], []
     stack: list[tuple[str, str, int, bool]] = [("", "", -1, False)]  # tag, path, container, skipped
+    inside: Counter = Counter()  # open elements of each tag
     buffer: list[str] = []
-    linked = link = skipped = 0
+    linked = skipped = 0
 
     def flush() -> None:
         nonlocal linked
@@ -78,13 +86,12 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal skipped, link
-        flush_needed = any(s[0] in BLOCK for s in stack[to:])
-        if flush_needed:
+        nonlocal skipped
+        if any(x[0] in BLOCK for x in stack[to:]):
             flush()
-        for s in stack[to:]:
-            skipped -= s[3]
-            link -= s[0] == "a"
+        for x in stack[to:]:
+            skipped -= x[3]
+            inside[x[0]] -= 1
         del stack[to:]
 
     at = 0
@@ -92,7 +99,7 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
         if not skipped and m.start() > at:
             piece = page[at : m.start()]
             buffer.append(piece)
-            if link:
+            if inside["a"]:
                 linked += len(piece)
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -103,7 +110,7 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
             buffer.append(" ") if not skipped else None
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if inside[tag] else ():
                 if stack[i][0] == tag:
                     pop(i)
                     break
@@ -111,7 +118,7 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
                     break  # an inline end tag does not end a block
             continue
         block = tag in BLOCK
-        if block:
+        if block and inside["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     pop(i)
@@ -120,7 +127,7 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
                     break
         if tag in CLOSES:
             ends, limits = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(inside[x] for x in ends) else ():
                 if stack[i][0] in ends:
                     pop(i)
                 elif stack[i][0] in limits:
@@ -132,15 +139,14 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
         if block:
             flush()
         classes, names, hidden = _names(attributes) if attributes.strip() else ([], [], False)
-        inside = any(s[0] in ("article", "main") for s in stack)
         skip = tag in SKIP or hidden
         if not skip and tag not in ("html", "body", "main"):
             skip = _noise(names, READERS if tag == "article" else NOISE)
             heading = tag == "header" or any(n.split("-")[-1] == "header" for n in names)
-            skip = skip or heading and not inside
+            skip = skip or heading and not (inside["article"] or inside["main"])
         path, container = stack[-1][1], stack[-1][2]
         if block:
-            path += ">" + ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)])
+            path = _step(path, ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)]))
             if tag in CONTAINER and not skipped and not skip:
                 paths.append(path)
                 parents.append(container)
@@ -149,7 +155,7 @@ def walk(page: str) -> tuple[list[str], list[int], list[tuple[str, int, int]]]:
             continue
         stack.append((tag, path, container, skip))
         skipped += skip
-        link += tag == "a"
+        inside[tag] += 1
     if not skipped and at < len(page):
         buffer.append(page[at:].split("<")[0] if re.match(r"[^<]*<[a-zA-Z/!]", page[at:]) else page[at:])
     flush()
@@ -185,25 +191,22 @@ def best(paths: list[str], parents: list[int], blocks: list[tuple[str, int, int]
 
 
 def extract(page: str, winners: list[str]) -> str:
-    """The blocks of the containers on the first of the winning paths that has any, or else of the page's best container, or
-    else all blocks; joined by blank lines."""
+    """The blocks of the containers on the first of the winning paths that has any, or else on the path of the page's best container,
+    or else all blocks; joined by blank lines."""
     paths, parents, blocks = walk(page)
 
-    def within(chosen: set[int]) -> list[str]:
-        out = []
-        for text, _, c in blocks:
-            while c >= 0 and c not in chosen:
-                c = parents[c]
-            if c >= 0:
-                out.append(text)
-        return out
+    def within(path: str) -> list[str]:
+        chosen = []
+        for p, parent in zip(paths, parents, strict=True):  # parents come before their children
+            chosen.append(p == path or parent >= 0 and chosen[parent])
+        return [text for text, _, c in blocks if c >= 0 and chosen[c]]
 
+    known = set(paths)
     for path in winners:
-        chosen = {i for i, p in enumerate(paths) if p == path}
-        if chosen and (found := within(chosen)):
+        if path in known and (found := within(path)):
             return "\n\n".join(found)
     top, _ = best(paths, parents, blocks)
-    return "\n\n".join(within({top}) if top >= 0 else [b[0] for b in blocks])
+    return "\n\n".join(within(paths[top]) if top >= 0 else [b[0] for b in blocks])
 
 
 def votes(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -221,11 +224,12 @@ def votes(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def winners(voted: DataFrame) -> DataFrame:
-    """One row per host: its RANKS paths with the most pages, best first (equal: higher scores, then the path)."""
+    """One row per host: its paths with one vote in SHARE or more, most pages first (equal: higher scores, then the path)."""
     paths = voted.groupBy("_cq_host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("score").alias("total"))
-    rank = F.row_number().over(W.partitionBy("_cq_host").orderBy(F.col("path").isNull(), F.desc("pages"), F.desc("total"), "path"))
-    ranked = paths.withColumn("rank", rank).where(F.col("rank") <= RANKS)
-    return ranked.groupBy("_cq_host").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("rank", "path")))), lambda x: x["path"]).alias("_cq_paths"))
+    hosts = paths.groupBy("_cq_host").agg(F.sum("pages").alias("all"))
+    won = paths.join(hosts, "_cq_host").where("path is not null and pages * {n} >= all".format(n=SHARE))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("a"), (-F.col("total")).alias("b"), "path")))
+    return won.groupBy("_cq_host").agg(F.transform(order, lambda x: x["path"]).alias("_cq_paths"))
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -241,7 +245,7 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     if size <= BROADCAST_BYTES:
         joined = hosted.join(F.broadcast(won), "_cq_host", "left")
     else:
-        joined = with_group(hosted, ["_cq_host"], [html_col], [], won)
+        joined = with_group(hosted, ["_cq_host"], [html_col], [], won, "left")
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

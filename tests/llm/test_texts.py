@@ -34,6 +34,51 @@ def test_hosts_agree_on_a_path(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_deep_pages_take_little_memory():
+    import time
+    import tracemalloc
+
+    n = 50_000
+    tracemalloc.start()
+    start = time.time()
+    for page in ("<div>" * n + "text " * 30, "<div class=a>" * n + "deep" + "</div>" * n, "<i>" * n + "x" + "</b>" * n, "<p>" * n + "</section>" * n, "<ul><li>" * n + "y"):
+        html_extract.extract(page, [])
+    assert tracemalloc.get_traced_memory()[1] < 150e6 and time.time() - start < 60
+    tracemalloc.stop()
+    assert html_extract.extract("<div>" * n + "text " * 30, []) == ("text " * 30).strip()
+    assert html_extract.extract('<div class="search-results"><p>' + "found " * 30 + "</p></div>", []) == ("found " * 30).strip()
+
+
+def test_extraction_against_known_articles_and_plain_votes(spark):
+    r = random.Random(2)
+    noise = ['<nav><a href="/">home</a> <a>about us</a></nav>', '<div class="sidebar"><p>see also this</p></div>', "<form><p>write to us</p><input></form>", '<div class="ad-box"><p>buy things now</p></div>', "<footer><p>all rights</p></footer>", "<script>if (a < b) { '<p>' }</script>", '<div class="comments"><div class="comment"><p>first!</p></div></div>', '<div class="cookie-notice">we use them</div>']
+    rows, want = [], {}
+    for i in range(200):
+        host = f"h{i % 7 if i % 3 else 0}.example"
+        step = ["article", 'div class="post p{}"', 'div class="entry-content"'][i % 7 % 3].format(i)
+        blocks = [" ".join(words(r, r.randint(1, 40))) for _ in range(r.randint(1, 6))]
+        tags = [r.choice(["p", "h2", "blockquote", "li"]) for _ in blocks]
+        body = "".join(f"<{t}>{b.replace(' ', r.choice([' ', chr(10), '  ']))} &amp; x</{t}>" for t, b in zip(tags, blocks, strict=True))
+        around = r.sample(noise, 5)
+        page = f"<html><head><title>t</title></head><body>{''.join(around[:3])}<{step}>{body}</{step.split()[0]}>{''.join(around[3:])}</body></html>"
+        rows.append((i, f"http://{host}/{i}", page))
+        want[i] = "\n\n".join(f"{b} & x" for b in blocks)
+    got = {x.page_id: x.text for x in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    # Votes and winners in plain Python over the pages of the smallest test table.
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    votes, totals = {}, {}
+    for x in pages:
+        host = x.url.split("/")[2].lower().split(":")[0] if x.url else ""
+        paths, parents, blocks = html_extract.walk(x.html or "")
+        top, score = html_extract.best(paths, parents, blocks)
+        at = votes.setdefault(host, {}).setdefault(paths[top] if top >= 0 else None, [0, 0.0])
+        at[0], at[1], totals[host] = at[0] + 1, at[1] + score, totals.get(host, 0) + 1
+    won = {h: [p for p, v in sorted(d.items(), key=lambda x: (-x[1][0], -x[1][1], x[0] or "")) if p and v[0] * html_extract.SHARE >= totals[h]] for h, d in votes.items()}
+    want = {x.page_id: html_extract.extract(x.html or "", won[x.url.split("/")[2].lower().split(":")[0] if x.url else ""]) for x in pages}
+    assert {x.page_id: x.text for x in html_extract.query(spark, "/root/testdata/sf0.001").collect()} == want
+
+
 def words(r, n):
     return ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
 
