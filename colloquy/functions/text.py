@@ -144,8 +144,9 @@ def fixed(x: Column | str, places: int = 6) -> Column:
 
 
 def fold(n: int, seed: int, *keys: Column | str) -> Column:
-    """F19. A fold, 0 to n - 1, that follows from keys and seed."""
-    return F.pmod(F.xxhash64(*map(col, keys), F.lit(seed)), F.lit(n)).cast("int")
+    """F19. A fold, 0 to n - 1, that follows from keys and seed: the leading digits of their md5."""
+    digest = F.md5(F.concat_ws("-", *(F.coalesce(col(k).cast("string"), F.lit("")) for k in keys), F.lit(str(seed))))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), F.lit(n)).cast("int")
 
 
 def in_window(t: Column | str, start: str | None = None, end: str | None = None) -> Column:

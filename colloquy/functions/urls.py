@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import col
 
-# The character classes of ids in links (they do admit comma and space; dots of the host match any character).
+# The character classes of ids in links (they do admit comma and space).
 NAME = r"[0-9, a-z, A-Z, _, \-, \.]+"
 LIST_NAME = r"[0-9,a-z,A-Z,\-,_,\.]+"
 
 
 def patterns(site: str) -> dict[str, str]:
-    """P11. One anchored pattern for each class of link."""
-    base = f"^http://{site}/"
+    """P11. One anchored pattern for each class of link of a host."""
+    base = rf"^http://\Q{site}\E/"
     return {
         "people": f"{base}people/({NAME})/$",
         "group": f"{base}group/({NAME})/$",
@@ -76,26 +76,42 @@ def discussion_url(group_id: Column | str, site: str, start: Column) -> Column:
     return F.concat(F.lit(f"http://{site}/group/"), col(group_id), F.lit("/discussion?start="), start.cast("string"))
 
 
+def _parts(u: Column) -> dict[str, Column]:
+    """Scheme (with its colon), authority (with its slashes), path, query and fragment (with their marks) of a reference."""
+    pattern = r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+    return {name: F.regexp_extract(u, pattern, i) for i, name in enumerate(("scheme", "authority", "path", "query", "fragment"), 1)}
+
+
 def resolve(base: Column | str, href: Column | str) -> Column:
-    """F13. An href against its page: absolute, //host, /path, ?query, #fragment, or relative to the page's folder.
+    """F13. An href against the URL of its page: absolute, //host, /path, ?query, #fragment, or relative to the page's folder.
 
-    Dot segments are taken out of relative paths one level at a time, two deep.
+    Dot segments are taken out of a joined path, however many; those that lead above the root are dropped. An empty href is the page,
+    and an href whose scheme is the page's is relative like one without. An href of another scheme, and one with a host of its own,
+    stay as they are. Null if either is null.
     """
-    b, h = col(base), col(href)
-    origin = F.regexp_extract(b, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    plain = F.regexp_extract(b, r"^([^?#]*)", 1)
-    folder = F.when(path(b).contains("/"), F.regexp_extract(plain, r"^(.*/)", 1)).otherwise(F.concat(plain, F.lit("/")))
-    joined = F.concat(folder, h)
-    for pattern in (r"/(?:\./)+", r"(?<=[^/:])/(?!\.\./)[^/]+/\.\./", r"(?<=[^/:])/(?!\.\./)[^/]+/\.\./"):
-        joined = F.regexp_replace(joined, pattern, "/")
+    b, h = col(base), F.regexp_replace(F.regexp_replace(col(href), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
+    at, to = _parts(b), _parts(h)
+    # The folder's segments, then the href's; empty ones within are dropped.
+    folder = F.when(F.substring(to["path"], 1, 1) == "/", F.lit("")).otherwise(F.regexp_replace(at["path"], r"[^/]+$", ""))
+    raw = F.split(F.when(folder == "", to["path"]).otherwise(F.concat(folder, to["path"])), "/", -1)
+    inner = F.filter(raw, lambda x, i: (i == 0) | (i == F.size(raw) - 1) | (x != ""))
+    kept = F.aggregate(
+        inner, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    ended = F.when(F.element_at(inner, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    joined = F.coalesce(F.nullif(F.array_join(ended, "/"), F.lit("")), F.lit("/"))
+    rooted = F.when((at["authority"] != "") & (F.substring(joined, 1, 1) != "/"), F.concat(F.lit("/"), joined)).otherwise(joined)
+    shown = lambda x: F.when(F.length(x) > 1, x).otherwise("")
+    origin = F.concat(F.lower(at["scheme"]), at["authority"])
+    tail = F.concat(shown(to["query"]), shown(to["fragment"]))
     return (
-        F.when(h.rlike(r"^[a-zA-Z][\w+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([a-zA-Z][\w+.-]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("?"), F.concat(plain, h))
-        .when(h.startswith("#"), F.concat(F.regexp_extract(b, r"^([^#]*)", 1), h))
-        .when(h == "", b)
-        .otherwise(joined)
+        F.when(h == "", b)
+        .when(b == "", h)
+        .when((to["scheme"] != "") & (F.lower(to["scheme"]) != F.lower(at["scheme"])), h)
+        .when(F.length(to["authority"]) > 2, F.concat(F.lower(at["scheme"]), to["authority"], F.when((to["path"] != "") & (F.substring(to["path"], 1, 1) != "/"), "/").otherwise(""), to["path"], tail))
+        .when(to["path"] == "", F.concat(origin, at["path"], F.when(F.length(to["query"]) > 1, to["query"]).otherwise(shown(at["query"])), shown(to["fragment"])))
+        .otherwise(F.concat(origin, rooted, tail))
     )
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import remove_urls
+from colloquy.plans.lineage import saved
 
 
 def corpus(groups: DataFrame, threads: DataFrame, comments: DataFrame | None = None, group_key: str = "0") -> DataFrame:
@@ -37,14 +38,14 @@ def dictionary(docs: DataFrame, tokens: str = "tokens", least: int = 1, most: fl
     return doc_frequency(docs, tokens).crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("n"))).select("token", "df")
 
 
-def fit_vectors(docs: DataFrame, tokens: str = "tokens", least: float = 1.0, most: float = 0.8, size: int = 1 << 18) -> CountVectorizerModel:
-    """M1, M2. A vocabulary of up to `size` tokens: it is held by the driver, hence the bound."""
-    return CountVectorizer(inputCol=tokens, outputCol="bow", minDF=least, maxDF=most, vocabSize=size).fit(docs)
+def fit_vectors(docs: DataFrame, tokens: str = "tokens", least: float = 1.0, most: float = 0.8) -> CountVectorizerModel:
+    """M1, M2. The whole vocabulary, which the driver holds, as it holds the topics' weights for it."""
+    return CountVectorizer(inputCol=tokens, outputCol="bow", minDF=least, maxDF=most, vocabSize=2**31 - 1).fit(docs)
 
 
 def train_topics(docs: DataFrame, vectors: CountVectorizerModel, k: int, max_iter: int = 20, seed: int = 42):
-    """M3. Online variational LDA."""
-    return LDA(featuresCol="bow", k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(vectors.transform(docs))
+    """M3. Online variational LDA. Counts are kept once, so that rounds don't tokenise again."""
+    return LDA(featuresCol="bow", k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(saved(vectors.transform(docs).select("bow")))
 
 
 def topic_distribution(docs: DataFrame, vectors: CountVectorizerModel, model, k: int) -> DataFrame:
@@ -61,7 +62,7 @@ def topic_terms(vectors: CountVectorizerModel, model, n: int = 10) -> DataFrame:
     described = model.describeTopics(n)
     rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     lookup = described.sparkSession.createDataFrame(list(enumerate(words)), "termIndex int, term string")
-    return rows.select("topic", "rank", F.col("t.termIndices").alias("termIndex"), F.col("t.termWeights").alias("weight")).join(F.broadcast(lookup), "termIndex").select("topic", "rank", "term", "weight")
+    return rows.select("topic", "rank", F.col("t.termIndices").alias("termIndex"), F.col("t.termWeights").alias("weight")).join(lookup, "termIndex").select("topic", "rank", "term", "weight")
 
 
 def interest_text(comments: DataFrame, threads: DataFrame, authored: bool = False) -> DataFrame:
@@ -75,6 +76,43 @@ def interest_text(comments: DataFrame, threads: DataFrame, authored: bool = Fals
     return joined.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("topic_id", "text"))), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_topics"))
 
 
-def segmented(x: Column, segment) -> Column:
-    """F8. Apply a segmenter: a function from Column to Column."""
-    return segment(x)
+def interest_bags(comments: DataFrame, threads: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """J5, M2. A user's bag of words (user_id, token, tf) over the threads that they commented on, each once. A user's text is never
+    one row: counts are summed map-side by user and token."""
+    bags = bag_of_words(threads, "topic_id", tokens)
+    pairs = comments.select("user_id", "topic_id").distinct()
+    return pairs.join(bags, "topic_id").groupBy("user_id", "token").agg(F.sum("tf").alias("tf"))
+
+
+def token_summary(docs: DataFrame, stop_words: list[str], raw: str = "raw", tokens: str = "tokens") -> DataFrame:
+    """A22. One row: documents, tokens before and after filtering, how many of them were stop words, documents without tokens."""
+    stops = F.size(F.filter(raw, lambda t: t.isin(*stop_words))) if stop_words else F.lit(0)
+    return docs.agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.size(raw).cast("bigint")).alias("raw_tokens"), F.sum(F.size(tokens).cast("bigint")).alias("kept_tokens"),
+        F.sum(stops.cast("bigint")).alias("stop_tokens"), F.sum((F.size(tokens) == 0).cast("bigint")).alias("empty_documents"),
+    )
+
+
+def save_dictionary(words: DataFrame, path: str) -> None:
+    """S18. A dictionary (token, df) as Parquet, with its ids: the order of tokens."""
+    words.select("token", "df").write.mode("overwrite").parquet(path)
+
+
+def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """S18."""
+    return spark.read.schema("token string, df bigint").parquet(path)
+
+
+def save_bags(bags: DataFrame, path: str) -> None:
+    """S18. A corpus as (doc_key, token, tf) rows: the coordinates of a sparse matrix."""
+    bags.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(path: str) -> CountVectorizerModel:
+    """S18. A fitted vocabulary, as save_model() wrote it."""
+    return CountVectorizerModel.load(path)
+
+
+def load_topics(path: str) -> LocalLDAModel:
+    """S18. A fitted topic model, as save_model() wrote it."""
+    return LocalLDAModel.load(path)

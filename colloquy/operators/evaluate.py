@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from colloquy.operators.relational import numbered
+
 #: T2. The grid of K. Fixed values.
 KS = list(range(5, 50, 5))
 
@@ -43,5 +45,4 @@ def histogram(results: DataFrame, ks: tuple[int, ...] = (10, 20, 30, 40), bins:
 
 def series(results: DataFrame, ks: tuple[int, ...] = (5, 10, 15)) -> DataFrame:
     """A21, T6. Precision in descending order with its place, per K: the points of a line plot."""
-    place = F.row_number().over(W.partitionBy("K").orderBy(F.col("precision").desc(), "topic_id"))
-    return results.where(F.col("K").isin(*ks)).withColumn("place", place)
+    return numbered(results.where(F.col("K").isin(*ks)), ["K"], [F.col("precision").desc(), F.col("topic_id").asc()], "place")

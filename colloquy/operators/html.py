@@ -6,6 +6,7 @@ a typed schema.
 
 from __future__ import annotations
 
+import html as entities
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -26,14 +27,33 @@ def without_scripts(x: Column | str) -> Column:
     return F.regexp_replace(col(x), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
 
 
+#: What is passed over in one go, or a start tag of a link: quoted values can hold >.
+TAG_OR_SKIPPED = r"""(?is)<!--.*?-->|<(script|style|textarea|title|xmp)\b.*?</\1\s*>|<a(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+HREF = r"""(?is)^<a(?:[\s/]+(?!href[\s=])[^\s=>/]++(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?)*+[\s/]+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def unescape(x: Column | str) -> Column:
+    """Decode all character references, numeric and named. Only texts with an ampersand go to Python."""
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else entities.unescape(t))
+
+    x = col(x)
+    some = F.contains(x, F.lit("&"))
+    return F.when(some, decoded(F.when(some, x))).otherwise(x)
+
+
 def hrefs(x: Column | str) -> Column:
-    """H1. Targets of all links of a page."""
-    return F.regexp_extract_all(without_scripts(x), F.lit(r'(?i)<a\b[^>]*?href="([^"]*)"'), F.lit(1))
+    """H1. Targets of all links of a page, as written: values in double, single or no quotes, white space around =, any letter case.
+    What is in comments, scripts, styles and other raw text is no link."""
+    tags = F.filter(F.regexp_extract_all(col(x), F.lit(TAG_OR_SKIPPED), F.lit(0)), lambda t: t.rlike(r"^<[aA][\s/]"))
+    values = F.transform(tags, lambda t: F.when(t.rlike(HREF), F.concat(*(F.regexp_extract(t, HREF, i) for i in (1, 2, 3)))))
+    return F.filter(values, lambda v: v.isNotNull())
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """H1, F13. A row for each link, resolved against its page."""
-    found = pages.withColumn("href", F.explode(hrefs(html_col)))
+    """H1, F13. A row for each link with its href, references decoded, and its target, resolved against its page."""
+    found = pages.withColumn("href", F.explode(hrefs(html_col))).withColumn("href", unescape("href"))
     return found.withColumn("target", resolve(url_col, "href"))
 
 
@@ -43,11 +63,8 @@ def charset(x: Column | str) -> Column:
 
 
 def plain(x: Column | str) -> Column:
-    """Text of a piece of markup: tags out, the five basic references decoded, stripped."""
-    out = F.regexp_replace(col(x), r"<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    """Text of a piece of markup: tags out, character references decoded, stripped."""
+    return F.regexp_replace(unescape(F.regexp_replace(col(x), r"<[^>]*>", "")), r"^\s+|\s+$", "")
 
 
 def title(x: Column | str) -> Column:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import fold
+from colloquy.plans.lineage import saved
 
 
 def min_max(rows: DataFrame, features: list[str], fitted_on: DataFrame | None = None) -> DataFrame:
@@ -51,11 +54,16 @@ def bagging_folds(rows: DataFrame, keys: list[str], folds: int, seed: int = 1, l
     return rows.withColumn("fold", F.when(F.col(label) <= 0, fold(folds, seed, *keys)))
 
 
-def fit_bagged(rows: DataFrame, features: list[str], keys: list[str], seed: int = 1, cost: float = 1.0) -> list[LogisticRegressionModel]:
-    """M9. One model for each fold of negatives, with all positives."""
+def fit_bagged(rows: DataFrame, features: list[str], keys: list[str], seed: int = 1, cost: float = 1.0, label: str = "label") -> list[LogisticRegressionModel]:
+    """M9. One model for each fold of negatives, with all positives. The rows are cut and kept once; a few folds are fitted at a time."""
     folds = label_counts(rows).first()["ratio"]
-    cut = bagging_folds(rows, keys, folds, seed)
-    return [fit_logistic(cut.where(F.col("fold").isNull() | (F.col("fold") == i)), features, cost) for i in range(folds)]
+    cut = saved(bagging_folds(rows, keys, folds, seed).select(label, "fold", *features))
+
+    def fit(i: int) -> LogisticRegressionModel:
+        return fit_logistic(cut.where(F.col("fold").isNull() | (F.col("fold") == i)), features, cost, label)
+
+    with ThreadPool(min(4, folds)) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(folds))
 
 
 def predict_bagged(models: list[LogisticRegressionModel], rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:

@@ -26,6 +26,22 @@ def ordinal(rows: DataFrame, keys: list[str], order: list[str], name: str = "ord
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """W4 for a few keys with many rows each: the place of each row within its key, from 1, without a key in one task.
+
+    Rows are sorted by range over keys and order, and numbered within a range; a range's offset is the sum of a table with a row for
+    each range and key.
+    """
+    from colloquy.plans.lineage import saved
+
+    placed = saved(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*keys, "_part", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_part", *keys).orderBy(*order))
+    return placed.withColumn("_at", at).join(starts, [*keys, "_part"]).withColumn(name, (F.col("_start") + F.col("_at")).cast("int")).select(*rows.columns, name)
+
+
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """W1, T2. The first k rows of each key, with their rank; the order should be total."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

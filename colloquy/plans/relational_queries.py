@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import in_window
 from colloquy.operators import behavior, evaluate, graph, instances, learn, relational
+from colloquy.sources import text as text_sources
 
 TRAIN, TEST, UNTIL = ("1995-01-01", "1999-01-01"), ("1999-01-01", "2002-01-01"), "2002-06-01"
 SITE, IMAGES = "www.example.com", "img.example.com"
@@ -71,7 +72,7 @@ def degree_stats(spark, sf):
 
 
 def is_following(spark, sf):
-    pairs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src")).crossJoin(F.broadcast(table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("dst"))))  # 25 rows
+    pairs = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(24).cast("bigint"))).alias("dst"))
     return graph.is_following(pairs, edges(spark, sf))
 
 
@@ -168,12 +169,15 @@ TRUE = """
 u AS (SELECT s_suppkey AS user_id FROM supplier),
 tp AS (SELECT DISTINCT l_orderkey AS topic_id, o_custkey AS creator_id, l_suppkey AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey <> o_custkey AND o_custkey IN (SELECT user_id FROM u) AND l_suppkey IN (SELECT user_id FROM u)),
 tr AS (SELECT *, count(*) OVER (PARTITION BY topic_id) AS n_true FROM tp QUALIFY count(*) OVER (PARTITION BY topic_id) >= 5),
-nu AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '-42'), user_id) - 1 AS at, count(*) OVER () AS n_users FROM u),
-th AS (SELECT DISTINCT topic_id, creator_id, n_true, ('0x' || substr(md5(topic_id || '-42'), 1, 15))::BIGINT % (SELECT count(*) FROM u) AS first FROM tr),
-ca AS (
-  SELECT th.topic_id, th.creator_id, nu.user_id, n_true, n_users, (nu.at - first + n_users) % n_users AS step
-  FROM th JOIN nu ON (nu.at - first + n_users) % n_users < least(10 * n_true, n_users)),
-ot AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY step) AS place FROM ca ANTI JOIN tr USING (topic_id, user_id)),
+nu AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id || '-42'), user_id) - 1 AS spot FROM u),
+pn AS (SELECT n_users, (SELECT min(x) FROM range(2, 1000000) t(x) WHERE x >= n_users AND x < n_users + 400 AND NOT EXISTS (SELECT 1 FROM range(2, 2000) d(y) WHERE y * y <= x AND x % y = 0)) AS p FROM (SELECT count(*) AS n_users FROM u)),
+th AS (
+  SELECT DISTINCT topic_id, creator_id, n_true, n_users, p, ('0x' || substr(md5(topic_id || '-42'), 1, 15))::BIGINT % (p - 1) + 1 AS a, ('0x' || substr(md5(topic_id || '-42'), 16, 15))::BIGINT % p AS b
+  FROM tr, pn),
+ca AS (SELECT topic_id, creator_id, n_true, n_users, step, (a * step + b) % p AS spot FROM th, LATERAL (SELECT unnest(range(least(n_true * 10 + p - n_users, p))) AS step)),
+ot AS (
+  SELECT ca.topic_id, creator_id, nu.user_id, n_true, n_users, row_number() OVER (PARTITION BY ca.topic_id ORDER BY step) AS place
+  FROM ca JOIN nu USING (spot) ANTI JOIN tr ON tr.topic_id = ca.topic_id AND tr.user_id = nu.user_id),
 dr AS (
   SELECT topic_id, creator_id, user_id, 1 AS label FROM tr
   UNION ALL SELECT topic_id, creator_id, user_id, 0 FROM ot WHERE n_true * 10 >= n_users OR place <= 9 * n_true)"""
@@ -185,12 +189,14 @@ def candidates(spark, sf):
 
 def _content(spark, sf):
     o = table(spark, sf, "orders")
-    shown = o.select(F.col("o_orderkey").alias("topic_id"), F.concat(F.lit("订单"), F.col("o_orderpriority")).alias("title"), F.concat(F.lit("内容是 http://"), F.when(F.col("o_orderstatus") == "F", "img.example.com/a.jpg").otherwise("www.example.com/b"), F.lit(" 好")).alias("content"))
-    return instances.content_features(shown, SITE, IMAGES)
+    image = F.when(F.col("o_orderstatus") == "F", "http://img.example.com/a.jpg").otherwise("http://www.example.com/b")
+    title = F.concat(F.repeat(F.lit("订"), F.pmod("o_orderkey", F.lit(7)).cast("int")), F.col("o_orderpriority"))
+    text = F.concat(F.repeat(F.lit("内容 "), F.pmod("o_custkey", F.lit(5)).cast("int")), image, F.when(F.pmod("o_orderkey", F.lit(3)) == 0, " http://other.example.org/x").otherwise(""), F.lit(" 好"))
+    return instances.content_features(o.select(F.col("o_orderkey").alias("topic_id"), title.alias("title"), text.alias("content")), SITE, IMAGES)
 
 
 CONTENT = """
-co AS (SELECT o_orderkey AS topic_id, 2::BIGINT AS title_chars, 4::BIGINT AS content_chars, (o_orderstatus = 'F')::BIGINT AS images, (o_orderstatus = 'F')::BIGINT AS external_link FROM orders),
+co AS (SELECT o_orderkey AS topic_id, o_orderkey % 7 AS title_chars, 2 * (o_custkey % 5) + 1 AS content_chars, (o_orderstatus = 'F')::BIGINT AS images, (o_orderstatus = 'F' OR o_orderkey % 3 = 0)::BIGINT AS external_link FROM orders),
 ed AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
 fo AS (SELECT src AS node, count(*) AS n FROM ed GROUP BY 1),
 fe AS (SELECT dst AS node, count(*) AS n FROM ed GROUP BY 1),
@@ -287,7 +293,52 @@ def load_totals(spark, sf):
 
 def fold_sizes(spark, sf):
     rows = learn.bagging_folds(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), ["doc_id"], 5)
-    return rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.coalesce("fold", F.lit(-1)).alias("fold"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mean_precision_fixed(spark, sf):
+    """Five runs: the rows of a topic by event number; a topic without a run in five still divides by five."""
+    runs = _scored(spark, sf).withColumn("run", F.pmod("user_id", F.lit(5)))
+    return evaluate.mean_precision(evaluate.precision_at_k(runs, ["topic_id", "run"]), ["topic_id", "K"]).withColumn("precision", F.round("precision", 6))
+
+
+def commenter_sets(spark, sf):
+    rows = relational.with_children(threads(spark, sf).select("topic_id"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("topic_id"), "l_partkey", "l_suppkey"), "topic_id", "l_partkey", "l_suppkey")
+    return rows.select("topic_id", F.array_join(F.transform("comment_set", lambda x: x.cast("string")), ",").alias("comment_ids"), F.array_join(F.transform("user_set", lambda x: x.cast("string")), ",").alias("commenters"))
+
+
+def dataset_users(spark, sf):
+    sets = relational.with_children(threads(spark, sf).where(in_window(F.col("pubdate"), *TEST)).select("topic_id"), comments(spark, sf).withColumn("user_id", F.col("user_id").cast("string")), "topic_id", "topic_id", "user_id")
+    blank = sets.withColumn("commenters", F.when(F.size("user_set") == 0, F.array(F.lit(""))).otherwise(F.col("user_set")))
+    return behavior.commenters(blank)
+
+
+def surrogate_index(spark, sf):
+    return instances.surrogate_index(_keys(spark, sf)[1], 42)
+
+
+def thread_labels(spark, sf):
+    return instances.thread_label(threads(spark, sf), comments(spark, sf)).select("topic_id", "label")
+
+
+def pair_labels(spark, sf):
+    asked = threads(spark, sf).select("topic_id", F.pmod("topic_id", F.lit(9)).alias("user_id"))
+    return instances.pair_label(asked, comments(spark, sf)).select("topic_id", "user_id", "label")
+
+
+def group_filter(spark, sf):
+    said = table(spark, sf, "customer").select(F.col("c_custkey").alias("comment_id"), F.col("c_mktsegment").alias("group_id"))
+    return behavior.of_group(said, "BUILDING").select("comment_id")
+
+
+def limit_pages(spark, sf):
+    pages = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("topic_id"), (F.col("l_linenumber") - 1).alias("page"), "l_partkey")
+    return behavior.limit_pages(pages, 60).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
+
+
+def paged_lists(spark, sf):
+    pages = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("user_id"), (F.col("l_linenumber") - 1).alias("page")).agg(F.sort_array(F.collect_set("l_partkey")).alias("neighbours"))
+    return text_sources.union_pages(pages, 50)
 
 
 QUERIES = {
@@ -300,6 +351,8 @@ QUERIES = {
     "q24_instances": instance_features, "q39_bfs": bfs, "q40_minmax": minmax, "q41_ensemble_mean": ensemble, "q41b_label_ratio": label_ratio,
     "q42_quote_match": quote_match, "q42b_quote_counts": quote_counts, "q43_pages_complete": pages_complete, "q45_comment_distribution": comment_distribution,
     "q53_missing_sources": missing_sources, "q54_known_everywhere": known_everywhere, "q55_load_totals": load_totals, "q56_bagging_folds": fold_sizes,
+    "q19b_mean_precision_of_runs": mean_precision_fixed, "q59_commenter_sets": commenter_sets, "q60_dataset_users": dataset_users, "q61_surrogate_index": surrogate_index,
+    "q62_thread_labels": thread_labels, "q62b_pair_labels": pair_labels, "q63_group_filter": group_filter, "q64_limit_pages": limit_pages, "q65_paged_lists": paged_lists,
 }
 
 ORACLES = {
@@ -353,5 +406,22 @@ UNION ALL SELECT 'user', conv_id, count(DISTINCT turn), count(DISTINCT turn) >=
     "q53_missing_sources": """SELECT 'threads' AS source, count(*) AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL
 SELECT 'events', count(*) FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION ALL SELECT 'suppliers', count(*) FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""",
     "q54_known_everywhere": "SELECT c_custkey AS user_id FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey IN (SELECT user_id FROM events) AND c_custkey IN (SELECT s_suppkey FROM supplier)",
+    "q56_bagging_folds": "SELECT CASE WHEN toxic <= 0 THEN (('0x' || substr(md5(doc_id || '-1'), 1, 15))::BIGINT % 5)::INT ELSE -1 END AS fold, toxic AS label, count(*) AS n FROM labels GROUP BY 1, 2",
+    "q19b_mean_precision_of_runs": """WITH r AS (SELECT user_id AS topic_id, event_id % 5 AS run, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY value DESC, event_id) AS rk, count(*) OVER (PARTITION BY user_id, event_id % 5) AS n, (event_type = 'purchase')::INT AS hit FROM events),
+k AS (SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40, 45]) AS "K"),
+p AS (SELECT topic_id, run, "K", sum(CASE WHEN rk <= "K" THEN hit ELSE 0 END) / least("K", max(n))::DOUBLE AS precision FROM r, k GROUP BY topic_id, run, "K")
+SELECT topic_id, "K", round(sum(precision) / 5.0::DOUBLE, 6) AS precision FROM p GROUP BY topic_id, "K\"""",
+    "q59_commenter_sets": """WITH p AS (SELECT l_orderkey AS k, string_agg(x::VARCHAR, ',' ORDER BY x) AS c FROM (SELECT DISTINCT l_orderkey, l_partkey AS x FROM lineitem) GROUP BY 1),
+s AS (SELECT l_orderkey AS k, string_agg(x::VARCHAR, ',' ORDER BY x) AS c FROM (SELECT DISTINCT l_orderkey, l_suppkey AS x FROM lineitem) GROUP BY 1)
+SELECT o_orderkey AS topic_id, coalesce(p.c, '') AS comment_ids, coalesce(s.c, '') AS commenters FROM orders LEFT JOIN p ON p.k = o_orderkey LEFT JOIN s ON s.k = o_orderkey""",
+    "q60_dataset_users": f"SELECT DISTINCT l_suppkey::VARCHAR AS user_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= '{TEST[0]}' AND o_orderdate < '{TEST[1]}'",
+    "q61_surrogate_index": "SELECT c_custkey AS user_id, row_number() OVER (ORDER BY md5(c_custkey || '-42'), c_custkey) - 1 AS index FROM (SELECT DISTINCT c_custkey FROM customer)",
+    "q62_thread_labels": "SELECT o_orderkey AS topic_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey <> o_custkey) THEN 1 ELSE -1 END AS label FROM orders",
+    "q62b_pair_labels": "SELECT o_orderkey AS topic_id, o_orderkey % 9 AS user_id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = o_orderkey % 9) THEN 1 ELSE -1 END AS label FROM orders",
+    "q63_group_filter": "SELECT c_custkey AS comment_id FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "q64_limit_pages": "SELECT l_orderkey AS topic_id, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM lineitem WHERE (l_linenumber - 1) * 25 < 60 GROUP BY 1",
+    "q65_paged_lists": """WITH g AS (SELECT l_suppkey AS src, l_linenumber AS page, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1, 2),
+s AS (SELECT src, min(page) FILTER (n < 50) AS last FROM g GROUP BY 1)
+SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem JOIN s ON s.src = l_suppkey WHERE last IS NULL OR l_linenumber <= last""",
     "q55_load_totals": "SELECT (SELECT count(*) FROM lineitem) AS loaded, (SELECT count(*) - count(DISTINCT l_orderkey) FROM lineitem) AS duplicates, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS not_found",
 }

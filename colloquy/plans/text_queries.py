@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy.functions import text, urls
 from colloquy.operators import behavior, corpus, evaluate, graph, html, learn, relational
 from colloquy.plans import study
 from colloquy.plans.relational_queries import IMAGES, SITE, TRAIN, comments, table, threads
+from colloquy.sources import text as text_sources
 
 #: Stop words of the queries below. Fixed values.
 STOP = ["the", "of", "and", "to", "in", "de", "la", "die", "der", "que"]
@@ -35,8 +37,8 @@ def char_count(spark, sf):
 
 def _linked(spark, sf):
     p = table(spark, sf, "pages")
-    image = F.when(F.col("page_id") > 100, f"http://{IMAGES}/a.jpg and http://{IMAGES}/b.jpg").otherwise("none")
-    return p.select("page_id", F.concat(F.lit("see "), "url", F.lit(" end")).alias("t"), image.alias("i"))
+    shown = F.transform(F.sequence(F.lit(0), F.pmod("page_id", F.lit(6)).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit(f"http://{IMAGES}/"), i.cast("string"), F.lit(".jpg"))).otherwise(F.concat(F.lit("see "), F.col("url"))))
+    return p.select("page_id", F.concat(F.lit("see "), "url", F.lit(" end")).alias("t"), F.array_join(shown, " and ").alias("i"))
 
 
 def remove_url(spark, sf):
@@ -69,10 +71,31 @@ def charset(spark, sf):
 
 
 def doc_freq(spark, sf):
-    """The most frequent 100 tokens: a report, hence the limit."""
+    return corpus.doc_frequency(docs(spark, sf))
+
+
+def high_freq_tokens(spark, sf):
+    """T1. The most frequent 100 tokens: a report, hence the limit."""
     return corpus.doc_frequency(docs(spark, sf)).orderBy(F.desc("df"), "token").limit(100)
 
 
+def token_summary(spark, sf):
+    d = docs(spark, sf).withColumn("raw", F.split(F.lower(text.remove_newlines("text", " ")), " "))
+    return corpus.token_summary(d, STOP)
+
+
+def plain_corpus(spark, sf):
+    """A12. Titles and contents without comments, and a group's description first."""
+    heads = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("topic_id"), F.concat(F.lit("at "), F.col("url"), F.lit(" it")).alias("title"), F.lit("more").alias("content"))
+    return corpus.corpus(spark.range(1).select(F.lit("about us").alias("description")), heads, None, "g")
+
+
+def user_bags(spark, sf):
+    said = comments(spark, sf).select("user_id", "topic_id")
+    texts = table(spark, sf, "orders").select(F.col("o_orderkey").alias("topic_id"), F.split(F.concat_ws(" ", "o_orderstatus", F.regexp_replace("o_orderpriority", "-", " ")), " ").alias("tokens"))
+    return corpus.interest_bags(said, texts)
+
+
 def bow(spark, sf):
     return corpus.bag_of_words(docs(spark, sf), "doc_id")
 
@@ -118,8 +141,9 @@ def behaviour_text(spark, sf):
 
 
 def segmented(spark, sf):
-    mixed = F.concat(F.lit("今天天气 "), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.substring(text.segment(mixed), 1, 9).alias("head"), F.size(F.split(text.segment(mixed), " ")).cast("bigint").alias("n_words"))
+    mixed = F.concat(F.repeat(F.lit("今天天气 好"), F.pmod("doc_id", F.lit(3)).cast("int")), F.lit(" "), F.col("text"))
+    words = table(spark, sf, "documents").select("doc_id", text.segment(mixed).alias("w"))
+    return words.select("doc_id", F.md5("w").alias("digest"), F.size(F.split("w", " ")).cast("bigint").alias("n_words"))
 
 
 def lda(spark, sf):
@@ -156,18 +180,73 @@ def bagging(spark, sf):
 
 
 def prediction_eval(spark, sf):
-    rows, features = _labelled(spark, sf)
-    scaled = learn.min_max(rows, features)
-    scored = learn.predict(learn.fit_logistic(scaled, features), scaled, features).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return evaluate.precision_at_k(scored, ["source"], "doc_id")
-
-
-def html_extract(spark, sf):
+    """Scores and labels come from two tables and meet on their key (J14), whatever the order of their rows."""
+    scores = table(spark, sf, "documents").select("doc_id", "source", (F.col("n_chars") / 20000.0).alias("prob")).orderBy(F.desc("doc_id"))
+    scored = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")).join(scores, "doc_id")
+    return evaluate.precision_at_k(scored, ["source"], "doc_id").withColumn("precision", F.round("precision", 6))
+
+
+def _shown(c) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _person(c) -> Column:
+    return F.concat(F.lit(f'<a href="http://{SITE}/people/'), c, F.lit('/">'), c, F.lit("</a>"))
+
+
+def topic_pages(spark, sf):
+    """H3. Threads written as pages from the first turns of conversations, and read back."""
+    turns = table(spark, sf, "conversations")
+    sizes = turns.groupBy("conv_id").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("n"))
+    head = turns.where("turn = 0").join(sizes, "conv_id")
+    page = F.concat(
+        F.lit('<html><body><div class="topic-doc"><h3><span class="from">'), _person(F.col("role")), F.lit('</span><span class="color-green">2024-01-02 03:04:05</span></h3><div class="topic-content"><p>'),
+        _shown(F.col("text")), F.lit('</p><div class="topic-figure cc"><img src="http://img.example.com/x.jpg"></div></div></div><div class="paginator"><a href="?start=0">1</a>'),
+        F.concat(F.lit("<a>"), F.col("n").cast("string"), F.lit("</a></div></body></html>")),
+    )
+    return html.extract_topics(head.select(F.col("conv_id").alias("page_id"), page.alias("html"))).select("page_id", "user_id", "user_name", "pubdate", F.md5("content").alias("digest"), "n_pages")
+
+
+def comment_pages(spark, sf):
+    """H4. Comments written as pages of 100 from the later turns of conversations, each quoting the one before, and read back."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("quoted"), F.col("text").alias("quote"))
+    rows = turns.where("turn > 0").join(before, ["conv_id", "turn"])
+    quote = F.when(F.col("turn") > 1, F.concat(F.lit('<div class="reply-quote"><span class="all">'), _shown(F.col("quote")), F.lit('</span><span class="pubdate">'), _person(F.col("quoted")), F.lit("</span></div>"))).otherwise("")
+    item = F.concat(
+        F.lit('<li data-cid="'), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit('"><div class="reply-doc content"><h4>'), _person(F.col("role")),
+        F.lit('<span class="pubtime">2024-01-02 03:04:05</span></h4>'), quote, F.lit("<p>"), _shown(F.col("text")), F.lit("</p></div></li>"),
+    )
+    pages = rows.groupBy("conv_id", F.floor(F.col("turn") / 100).alias("page")).agg(F.concat(F.lit('<ul id="comments">'), F.array_join(F.collect_list(item), ""), F.lit("</ul>")).alias("html"))
+    found = html.extract_comments(pages.withColumnRenamed("conv_id", "page_id"))
+    return found.select("page_id", "comment_id", "user_id", "pubdate", F.md5("content").alias("digest"), F.md5(F.coalesce("quote_text", F.lit(""))).alias("quote_digest"), F.coalesce("quote_user_id", F.lit("")).alias("quote_user_id"))
+
+
+def group_pages(spark, sf):
+    """H5, H6. Groups written as pages from regions and nations, and read back."""
+    n = table(spark, sf, "nation")
+    page = F.concat(
+        F.lit("<title>"), F.col("n_name"), F.lit('</title><div class="infobox"><div class="bd"><p>since 2011-05-0'), F.col("n_regionkey").cast("string"), F.lit(" by "), _person(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))),
+        F.lit("</p> all of it</div></div><table><tr><td><span><img alt='[置顶]'></span><a href=\"http://"), F.lit(SITE), F.lit("/group/topic/"), F.col("n_nationkey").cast("string"), F.lit('/">x</a></td></tr></table>'),
+    )
+    found = html.extract_groups(n.select(F.col("n_nationkey").alias("page_id"), page.alias("html")))
+    return found.select("page_id", "title", "user_id", "pubdate", "description", F.array_join("sticky_topic_ids", ",").alias("sticky"))
+
+
+def page_records(spark, sf):
+    """H3, H5. Titles and page counts of plain pages."""
     group = html.extract_groups(table(spark, sf, "pages"))
     topic = html.extract_topics(table(spark, sf, "pages"))
     return group.select("page_id", "title").join(topic.select("page_id", "n_pages"), "page_id")
 
 
+def thread_dump(spark, sf):
+    c = table(spark, sf, "conversations")
+    t = c.where("turn = 0").select(F.col("conv_id").cast("string").alias("topic_id"), F.col("role").alias("user_id"), F.lit(None).cast("timestamp").alias("pubdate"), F.lit("thread").alias("title"), F.col("text").alias("content"))
+    said = c.where("turn > 0").select(F.col("conv_id").cast("string").alias("topic_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("comment_id"), F.col("role").alias("user_id"), F.lit(None).cast("timestamp").alias("pubdate"), F.when(F.col("turn") > 1, F.lpad((F.col("turn") - 1).cast("string"), 6, "0")).alias("ref_comment_id"), F.col("text").alias("content"))
+    return text_sources.dump_threads(t, said).select("topic_id", "place", F.md5("value").alias("digest"))
+
+
 def quality_funnel(spark, sf):
     d = table(spark, sf, "documents")
     long = d.where("n_chars >= 200")
@@ -199,21 +278,46 @@ QUERIES = {
     "q30_url_class": url_class, "q31_hrefs": hrefs, "q32_title": title, "q33_charset": charset, "q34_doc_freq": doc_freq, "q35_bow": bow, "q36_dictionary": dictionary,
     "q37_corpus": corpus_text, "q37b_thread_corpus": thread_corpus, "q38_comment_tree": comment_tree, "q44_user_interest_text": user_interest_text,
     "q44b_behaviour_text": behaviour_text, "q46_lda": lda, "q46b_topic_interest": topic_interest, "q47_logreg": logreg, "q48_bagging": bagging,
-    "q49_prediction_eval": prediction_eval, "q50_html_extract": html_extract, "q51_quality_funnel": quality_funnel, "q52_keyword_pages": keyword_pages,
+    "q49_prediction_eval": prediction_eval, "q50_html_extract": page_records, "q51_quality_funnel": quality_funnel, "q52_keyword_pages": keyword_pages,
     "q57_list_pages": list_pages, "q58_segment": segmented,
+    "q34b_high_freq_tokens": high_freq_tokens, "q37c_plain_corpus": plain_corpus, "q44c_user_bags": user_bags, "q50b_topic_pages": topic_pages, "q50c_comment_pages": comment_pages,
+    "q50d_group_pages": group_pages, "q66_token_summary": token_summary, "q67_thread_dump": thread_dump,
 }
 
 ORACLES = {
     "q25_distance": "SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "q26_char_count": r"SELECT doc_id, len(regexp_extract_all(text, '[^\x00-\x7f]'))::BIGINT AS non_ascii, 2 + len(regexp_extract_all(text, '[一-龥]'))::BIGINT AS cjk FROM documents",
     "q27_remove_url": r"SELECT page_id, regexp_replace('see ' || url || ' end', '((http|https|ftp)://([a-zA-Z0-9_\-]+\.)+[a-zA-Z0-9_\-]+(/[a-zA-Z0-9_\-\./\?%&\=]*)?)', '', 'g') AS t FROM pages",
-    "q28_image_count": "SELECT page_id, CASE WHEN page_id > 100 THEN 1 ELSE 0 END AS greedy, CASE WHEN page_id > 100 THEN 2 ELSE 0 END AS lazy FROM pages",
+    "q28_image_count": "SELECT page_id, (page_id % 6 > 0)::INT AS greedy, (page_id % 6)::INT AS lazy FROM pages",
     "q29_external_link": f"SELECT page_id, ({HOST} <> 'blog.tionsh.example.net')::INT AS external FROM pages",
     "q30_url_class": f"SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9_+.-]*):', 1)) AS scheme, {HOST} AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9_+.-]*://[^/?#]*([^?#]*)', 1) AS path, scheme IN ('http', 'https') AS web, 'comment' AS kind, page_id::VARCHAR AS id, 2::BIGINT AS page, NULL::VARCHAR AS other FROM pages",
-    "q31_hrefs": rf"""SELECT page_id, href, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9_+.-]*://[^/?#]*)', 1) || href ELSE href END AS target FROM (SELECT page_id, url, unnest(regexp_extract_all({NOSCRIPT}, '(?i)<a\b[^>]*?href="([^"]*)"', 1)) AS href FROM pages)""",
+    # By cutting the page at its links, and each at its quotes; the pages have links in double quotes only, none of them in comments or scripts.
+    "q31_hrefs": """WITH p AS (SELECT page_id, url, unnest(string_split(html, '<a ')[2:]) AS rest FROM pages),
+h AS (SELECT page_id, url, replace(string_split(string_split(rest, 'href="')[2], '"')[1], '&amp;', '&') AS href FROM p WHERE starts_with(rest, 'href="'))
+SELECT page_id, href, CASE WHEN starts_with(href, '//') THEN string_split(url, '//')[1] || href WHEN starts_with(href, '/') THEN array_to_string(string_split(url, '/')[1:3], '/') || href ELSE href END AS target FROM h""",
     "q32_title": f"SELECT page_id, {_plain(f'''regexp_extract({NOSCRIPT}, '(?is)<h1[^>]*>(.*?)</h1>', 1)''')} AS title FROM pages",
     "q33_charset": """SELECT lower(regexp_extract(html, '(?i)charset="?([^";> ]+)', 1)) AS charset, count(*) AS n FROM pages GROUP BY 1""",
-    "q34_doc_freq": f"WITH {TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM k GROUP BY token ORDER BY df DESC, token LIMIT 100",
+    "q34_doc_freq": f"WITH {TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM k GROUP BY token",
+    "q34b_high_freq_tokens": f"WITH {TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM k GROUP BY token ORDER BY df DESC, token LIMIT 100",
+    "q37c_plain_corpus": "SELECT 'g' AS doc_key, 'about us' AS text UNION ALL SELECT page_id::VARCHAR, regexp_replace('at ' || url || ' it', '((http|https|ftp)://([a-zA-Z0-9_\\-]+\\.)+[a-zA-Z0-9_\\-]+(/[a-zA-Z0-9_\\-\\./\\?%&\\=]*)?)', '', 'g') || ' more' FROM pages",
+    "q44c_user_bags": """WITH d AS (SELECT DISTINCT l_suppkey AS user_id, o_orderkey AS k, o_orderstatus || ' ' || replace(o_orderpriority, '-', ' ') AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT user_id, token, count(*) AS tf FROM (SELECT user_id, unnest(string_split(t, ' ')) AS token FROM d) GROUP BY 1, 2""",
+    "q49_prediction_eval": """WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk, count(*) OVER (PARTITION BY source) AS n, (quality > 0)::INT AS hit FROM labels JOIN documents USING (doc_id)),
+k AS (SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40, 45]) AS "K")
+SELECT source, "K", round(sum(CASE WHEN rk <= "K" THEN hit ELSE 0 END) / least("K", max(n))::DOUBLE, 6) AS precision FROM r, k GROUP BY source, "K\"""",
+    "q50b_topic_pages": """SELECT c.conv_id AS page_id, role AS user_id, role AS user_name, '2024-01-02 03:04:05' AS pubdate, md5(trim(text, ' ' || chr(10)) || chr(10) || '（图片：http://img.example.com/x.jpg）' || chr(10)) AS digest, (n // 2 + 1)::INT AS n_pages
+FROM conversations c JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) USING (conv_id) WHERE turn = 0""",
+    "q50c_comment_pages": """SELECT c.conv_id AS page_id, c.conv_id || ':' || c.turn AS comment_id, c.role AS user_id, '2024-01-02 03:04:05' AS pubdate, md5(trim(c.text, ' ' || chr(10))) AS digest,
+ md5(CASE WHEN c.turn > 1 THEN trim(b.text, ' ' || chr(10)) ELSE '' END) AS quote_digest, CASE WHEN c.turn > 1 THEN b.role ELSE '' END AS quote_user_id
+FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1 WHERE c.turn > 0""",
+    "q50d_group_pages": "SELECT n_nationkey AS page_id, n_name AS title, 'r' || n_regionkey AS user_id, '2011-05-0' || n_regionkey AS pubdate, 'since 2011-05-0' || n_regionkey || ' by r' || n_regionkey || ' all of it' AS description, n_nationkey::VARCHAR AS sticky FROM nation",
+    "q58_segment": r"""WITH s AS (SELECT doc_id, array_to_string(list_concat(CASE doc_id % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['今天', '天天', '天气', '好'] ELSE ['今天', '天天', '天气', '好今', '今天', '天天', '天气', '好'] END, regexp_extract_all(text, '[\p{L}\p{N}_]+')), ' ') AS w FROM documents)
+SELECT doc_id, md5(w) AS digest, len(string_split(w, ' ')) AS n_words FROM s""",
+    "q66_token_summary": f"""WITH {TOKENS}, n AS (SELECT doc_id, count(*) AS c FROM k GROUP BY 1)
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM w) AS raw_tokens, (SELECT count(*) FROM k) AS kept_tokens, (SELECT count(*) FROM w WHERE token IN ({SQL_STOP})) AS stop_tokens, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n)) AS empty_documents""",
+    "q67_thread_dump": """WITH r AS (SELECT conv_id, -2 AS t, '# thread by ' || role || ' ' AS v FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, -1, text FROM conversations WHERE turn = 0
+UNION ALL SELECT conv_id, turn, '- ' || lpad(turn::VARCHAR, 6, '0') || CASE WHEN turn > 1 THEN ' > ' || lpad((turn - 1)::VARCHAR, 6, '0') ELSE '' END || ' ' || role || ': ' || text FROM conversations WHERE turn > 0)
+SELECT conv_id::VARCHAR AS topic_id, row_number() OVER (PARTITION BY conv_id ORDER BY t)::INT AS place, md5(v) AS digest FROM r""",
     "q35_bow": f"WITH {TOKENS} SELECT doc_id, token, count(*) AS tf FROM k GROUP BY 1, 2",
     "q36_dictionary": f"WITH {TOKENS} SELECT token, count(DISTINCT doc_id) AS df FROM k GROUP BY token HAVING count(DISTINCT doc_id) <= 0.8 * (SELECT count(*) FROM documents)",
     "q37_corpus": "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn, text)) AS digest, length(string_agg(text, ' ' ORDER BY turn, text)) AS n_chars FROM conversations GROUP BY conv_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import join_fields, not_blank, parse_time, split_fields, split_list, strip, trim_comma
@@ -113,7 +114,7 @@ def read_predictions(spark: SparkSession, path: str, positive: str = "1") -> Dat
     rows = lines(spark, path).where(not_blank("value")).withColumn("parts", F.split("value", r"\s+"))
     header = rows.where("parts[0] = 'labels'").select("file", F.array_position("parts", positive).cast("int").alias("at"))
     body = rows.where("parts[0] <> 'labels'")
-    return body.join(F.broadcast(header), "file").select(F.col("parts")[0].try_cast("double").cast("int").alias("label"), F.element_at("parts", F.col("at")).try_cast("double").alias("prob"), "file", "position")
+    return body.join(header, "file").select(F.col("parts")[0].try_cast("double").cast("int").alias("label"), F.element_at("parts", F.col("at")).try_cast("double").alias("prob"), "file", "position")
 
 
 def read_topic_index(spark: SparkSession, path: str) -> DataFrame:
@@ -154,17 +155,36 @@ def export_topics(threads: DataFrame, group_id: str, topic_ids: DataFrame, path:
     write_lines(kept, path, ["topic_id", "group_id", "user_id", F.date_format("pubdate", "yyyy-MM-dd HH:mm:ss"), "title", "content", F.concat_ws(",", "comment_ids")])
 
 
+#: S13. The stored tables and their columns.
+TABLES = {
+    "webpage": "url string, page_source string, keyword string",
+    "groups": "group_id string, user_id string, pubdate timestamp, description string, topic_list string",
+    "topics": "topic_id string, group_id string, user_id string, pubdate timestamp, title string, content string, comment_list string",
+    "comments": "comment_id string, group_id string, topic_id string, user_id string, pubdate timestamp, ref_comment_id string, content string",
+}
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     """S13. The stored tables, as Parquet tables of the catalog."""
-    for name, columns in {
-        "webpage": "url string, page_source string, keyword string",
-        "groups": "group_id string, user_id string, pubdate timestamp, description string, topic_list string",
-        "topics": "topic_id string, group_id string, user_id string, pubdate timestamp, title string, content string, comment_list string",
-        "comments": "comment_id string, group_id string, topic_id string, user_id string, pubdate timestamp, ref_comment_id string, content string",
-    }.items():
+    for name, columns in TABLES.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
 
 
+def insert_rows(rows: DataFrame, name: str, database: str = "default") -> None:
+    """S13, S14. Append rows to a stored table, by column name; columns that it lacks are left out."""
+    rows.select(*rows.sparkSession.table(f"{database}.{name}").columns).write.mode("append").insertInto(f"{database}.{name}")
+
+
+def scan_table(spark: SparkSession, name: str, database: str = "default") -> DataFrame:
+    """S13. All rows of a stored table."""
+    return spark.table(f"{database}.{name}")
+
+
+def look_up(spark: SparkSession, name: str, key: str, value: str, database: str = "default") -> DataFrame:
+    """S13. The rows with one key; the filter reaches the Parquet scan."""
+    return spark.table(f"{database}.{name}").where(F.col(key) == value)
+
+
 def topic_list(groups: DataFrame, group_id: str) -> DataFrame:
     """S13. The topic ids stored for a group, blanks dropped."""
     return groups.where(F.col("group_id") == group_id).select(F.explode(split_list("topic_list")).alias("topic_id"))
@@ -175,6 +195,35 @@ def write_results(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").partitionBy("R", "run", "K").parquet(path)
 
 
+def scan_results(spark: SparkSession, path: str, R: int | None = None, run: int | None = None, K: int | None = None) -> DataFrame:
+    """S19. Stored results, of all R, runs and K or of given ones: only the folders asked for are listed and read."""
+    rows = spark.read.parquet(path)
+    for name, value in (("R", R), ("run", run), ("K", K)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    return rows
+
+
+def dump_threads(threads: DataFrame, comments: DataFrame) -> DataFrame:
+    """S20. Human-readable lines (topic_id, place, value) of threads and their comments, in order: a head line, the content, then a line for
+    each comment with its quoted comment, if any."""
+    when = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+    head = threads.select("topic_id", F.lit(0).alias("kind"), F.lit("").alias("at"), F.lit("").alias("id"), F.concat_ws(" ", F.lit("#"), F.coalesce("title", F.lit("")), F.lit("by"), "user_id", when("pubdate")).alias("value"))
+    body = threads.select("topic_id", F.lit(1).alias("kind"), F.lit("").alias("at"), F.lit("").alias("id"), F.coalesce("content", F.lit("")).alias("value"))
+    quoted = F.when(F.col("ref_comment_id").isNotNull(), F.concat(F.lit(" > "), "ref_comment_id")).otherwise("")
+    said = comments.select("topic_id", F.lit(2).alias("kind"), when("pubdate").alias("at"), F.col("comment_id").alias("id"), F.concat(F.lit("- "), "comment_id", quoted, F.lit(" "), "user_id", F.lit(": "), F.coalesce("content", F.lit(""))).alias("value"))
+    place = F.row_number().over(W.partitionBy("topic_id").orderBy("kind", "at", "id"))
+    return head.unionByName(body).unionByName(said).withColumn("place", place).select("topic_id", "place", "value")
+
+
+def union_pages(pages: DataFrame, size: int = 100) -> DataFrame:
+    """S15. Paged lists (user_id, page, neighbours) as edges (src, dst), each once. Pages after a user's first short page are passed
+    over, as a reader that asks page by page stops there."""
+    short = F.when(F.size("neighbours") < size, F.col("page"))
+    last = F.min(short).over(W.partitionBy("user_id"))
+    kept = pages.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
+    return kept.select(F.col("user_id").alias("src"), F.explode("neighbours").alias("dst")).distinct()
+
+
 def save_model(model, path: str) -> None:
     """S18. Any fitted pipeline or model."""
     model.write().overwrite().save(path)

@@ -71,6 +71,32 @@ def test_resolve(spark, href, want):
     assert one(spark, U.resolve(F.lit("http://a.example/d/e?p=0"), "x"), href) == want
 
 
+def test_resolve_against_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h.example/a/b/c", "http://h.example/a/b/", "http://h.example", "https://h.example:8/x?q=1#f", "http://h.example/a/b/c;p?q"]
+    hrefs = ["", "x", "./x", "../x", "../../x", "../../../up", "/a/../b", "a/b/../../../../c", "//o.example/z/../y", "//o.example", "?y=2", "?", "#s", "#", "x?y#z", "HTTP://h2.example/q", "http:g", "mailto:a@b", ".", "..", "./", "../", "a//b", "/", "//", "g;x=1/../y", "..g", "g..", "a/./b/../c/", "http://h.example/a/./b", "x/y?q=../z", ";x"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in rows.select("b", "h", U.resolve("b", "h").alias("t")).collect():
+        assert r.t == urljoin(r.b, r.h), (r.b, r.h)
+    assert rows.select(U.resolve(F.lit(None).cast("string"), "h"), U.resolve("b", F.lit("  /s\n"))).first()[1] == "http://h.example/s"
+
+
+def test_links_and_references(spark):
+    from colloquy.operators import html
+
+    page = """<a href='/one'>x</a><a href=/two>y</a><A title='a>b' HREF = "/four?a=1&amp;b=2">z</A><!-- <a href=/no> --><script>'<a href=/no>'</script>
+<a name=q><a data-href=/no href="five"><area href=/no><abbr href=/no><a\nhref="six"><a href="">e</a><a href=caf&eacute;>"""
+    found = html.links(spark.createDataFrame([("http://h.example/p/", page)], "url string, html string")).collect()
+    assert [r.href for r in found] == ["/one", "/two", "/four?a=1&b=2", "five", "six", "", "café"] and found[3].target == "http://h.example/p/five"
+    assert one(spark, html.title("x"), "<h1>caf&eacute;&nbsp;&#8217;x &amp;lt;</h1>") == "café\xa0’x &lt;"
+    assert one(spark, html.hrefs("x"), "<a " + "k='v' " * 5000 + "href=y>") == ["y"]
+
+
+def test_sites_are_literal(spark):
+    assert one(spark, U.url_class("x", "a.example"), "http://aXexample/people/u/") is None and one(spark, U.url_class("x", "a.example"), "http://a.example/people/u/") == "people"
+
+
 def test_pages_and_starts(spark):
     assert one(spark, U.page_number(F.lit(200))) == 3 and one(spark, U.off_page(F.lit(50)))
     assert one(spark, U.start_url("x"), "a.example") == "http://a.example" and U.positive(3) == 3

@@ -173,3 +173,49 @@ def test_entry_without_the_training_data_part():
         code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q); print(len(q))"
         done = subprocess.run([sys.executable, "-c", code], cwd=folder, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
         assert done.returncode == 0, done.stderr
+
+
+def test_drawn_candidates_differ_between_threads(spark):
+    import itertools
+
+    from colloquy.operators import instances
+
+    users = spark.range(997).select(F.col("id").cast("string").alias("user_id"))
+    true = spark.createDataFrame([(t, "0", str(t * 7 + i), 5) for t in range(40) for i in range(1, 6)], "topic_id long, creator_id string, user_id string, n_true long")
+    rows = instances.candidates(true, users, 10, 3).collect()
+    drawn, shared = {}, []
+    for r in rows:
+        assert r.label == 1 or (r.topic_id, r.user_id) not in {(x.topic_id, x.user_id) for x in rows if x.label == 1}
+        drawn.setdefault(r.topic_id, set()).add(r.user_id)
+    assert all(len(d) == 50 for d in drawn.values()) and len(rows) == 2000
+    shared = [len(a & b) for a, b in itertools.combinations(drawn.values(), 2)]
+    assert max(shared) < 25 and 1.5 < sum(shared) / len(shared) < 4  # 50 of 997 twice: 2.5 in common
+    assert instances.candidates(true, users.limit(40), 10, 3).where("topic_id = 1").count() >= 40
+    index = {r.user_id: r["index"] for r in instances.surrogate_index(users.union(users), 1).collect()}
+    assert sorted(index.values()) == list(range(997))
+
+
+def test_numbering_over_ranges(spark):
+    rows = [(k, (i * 37) % 101, i) for k in ("a", "b") for i in range(200)]
+    got = relational.numbered(spark.createDataFrame(rows, "k string, v long, i long").repartition(7), ["k"], [F.col("v").desc(), F.col("i")], "place").collect()
+    for k in ("a", "b"):
+        assert [(r.v, r.i) for r in sorted((r for r in got if r.k == k), key=lambda r: r.place)] == sorted(((v, i) for x, v, i in rows if x == k), key=lambda x: (-x[0], x[1]))
+        assert sorted(r.place for r in got if r.k == k) == list(range(1, 201))
+
+
+def test_labels_pages_and_bags(spark):
+    from colloquy.operators import behavior, corpus, instances
+    from colloquy.sources import text as S
+
+    threads = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "topic_id long, user_id string")
+    said = spark.createDataFrame([(1, "a"), (2, "x"), (2, "x")], "topic_id long, user_id string")
+    assert {r.topic_id: r.label for r in instances.thread_label(threads, said).collect()} == {1: -1, 2: 1, 3: -1}
+    assert {r.topic_id: r.label for r in instances.pair_label(threads, said).collect()} == {1: 1, 2: -1, 3: -1}
+    pages = spark.createDataFrame([("u", 0, ["a", "b"]), ("u", 1, ["c"]), ("u", 2, ["d", "e"]), ("v", 0, ["a", "b"])], "user_id string, page int, neighbours array<string>")
+    assert sorted(r.dst for r in S.union_pages(pages, 2).where("src = 'u'").collect()) == ["a", "b", "c"]
+    words = spark.createDataFrame([(1, ["p", "q", "p"]), (2, ["p"])], "topic_id long, tokens array<string>")
+    assert {(r.user_id, r.token): r.tf for r in corpus.interest_bags(said, words).collect()} == {("a", "p"): 2, ("a", "q"): 1, ("x", "p"): 1}
+    grouped = spark.createDataFrame([("g", 1), ("h", 2), (None, 3)], "group_id string, n int")
+    assert [r.n for r in behavior.of_group(grouped, "g").collect()] == [1]
+    tokens = spark.createDataFrame([(["the", "x", "yy"], ["yy"]), (["the"], [])], "raw array<string>, tokens array<string>")
+    assert tuple(corpus.token_summary(tokens, ["the"]).first()) == (2, 4, 1, 2, 1)
