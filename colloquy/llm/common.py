@@ -125,6 +125,16 @@ def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> Da
     return joined.select(*rows.columns, *((F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"_cq_offset_{n}")).alias(n) for n, x in sums.items()))
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on keys with one more column, _cq_slice, to join on as well: a key's rows on the right are dealt over slices
+    by a hash of `spread`, those on the left (which lack these columns) are repeated for the slices that the key has. Left rows without a
+    key on the right are dropped."""
+    right = right.withColumn("_cq_slice", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    masks = right.groupBy(*keys).agg(F.expr("bit_or(shiftleft(1L, _cq_slice))").alias("_cq_mask"))
+    slices = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> getbit(_cq_mask, i) = 1)"))
+    return left.join(masks, keys).withColumn("_cq_slice", slices).drop("_cq_mask"), right
+
+
 def bit_words(hits: DataFrame, bit_col: str) -> DataFrame:
     """A bitmap of the bits (0, 1, 2, ...) in a column: its 64-bit words that aren't zero, as (_cq_word, _cq_set)."""
     return hits.groupBy(F.expr(f"shiftright({bit_col}, 6)").alias("_cq_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit_col} & 63 as int)))").alias("_cq_set"))

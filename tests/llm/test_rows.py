@@ -207,9 +207,9 @@ def test_links_of_random_clusters(spark, monkeypatch):
     prints = sorted(prints)
     frame = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in prints], "fingerprint long")
     want = roots(prints, list(range(len(prints))))
-    for small in (64, 2):
+    for small, big in ((64, 4096), (2, 4096), (64, 5)):  # at once, block by block, crowded anchors parted
         monkeypatch.setattr(near_dedup, "SMALL", small)
-        found = {x.node % 2**64: x.root % 2**64 for x in common.components(near_dedup.links(frame)).collect()}
+        found = {x.node % 2**64: x.root % 2**64 for x in common.components(near_dedup.links(frame, big=big)).collect()}
         got = defaultdict(set)
         for i, p in enumerate(prints):
             got[found.get(p, p)].add(i)
@@ -301,6 +301,52 @@ def test_pipeline_filters(docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    from colloquy.llm import toxicity
+
+    r, rows, labels = random.Random(21), [], []
+    for i in range(400):
+        toxic = r.random() < 0.25
+        words = [r.choice(WORDS) for _ in range(r.randint(1, 60))]
+        if toxic:
+            words[r.randint(0, len(words) - 1)] = r.choice(["krumpf", "zogwort"])
+        rows.append((i, " ".join(words), "en", r.choice(["a", "b", "c", None]), 1))
+        labels.append((i, int(toxic)))
+    rows += [(500, None, None, None, None), (501, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    score = dict(zip([x[0] for x in rows], toxicity.scores(model, toxicity.statistics(model, [x[1] or "" for x in rows])[0]), strict=True))
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert {x.doc_id for x in clean} == {i for i, p in score.items() if p < 0.5} and 250 < len(clean) < 340
+    assert not any("krumpf" in (x.text or "") for x in clean)
+    mixed = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    want, size = Counter(), lambda t: len((t or "").encode().split())
+    sizes = Counter()
+    for x in rows:
+        sizes[x[3]] += size(x[1])
+    for source, target in brute_targets(sizes).items():
+        mine = sorted((x for x in rows if x[3] == source), key=lambda x: (hashlib.md5(f"{x[0]}:7".encode()).hexdigest(), x[0]))
+        left = int(target + 1e-9)
+        while left > 0:
+            for x in mine:
+                n = size(x[1])
+                if 0 < n <= left:
+                    want[x[0], x[1]] += 1
+                elif n and left > 0:
+                    want[x[0], " ".join(x[1].split()[:left])] += 1
+                left -= min(n, max(left, 0))
+    assert Counter((x.doc_id, x.text) for x in mixed) == want
+    coder = packing.encoder(packing.default_tokenizer()).tokenizer
+    packed, pieces = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect(), Counter()
+    for x in rows:
+        ids = [*coder.encode(x[1] or "", add_special_tokens=False).ids, 2]
+        for start, length in packing.cuts(len(ids), 4096):
+            pieces[x[0], start, length, zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes()), len(ids)] += 1
+    assert Counter((x.doc_id, x.start, x.length, x.ids_crc32, x.doc_tokens) for x in packed) == pieces
+    assert sorted(x.sequence_id for x in packed) == list(range(len(packed)))
+
+
 def test_pipeline_drops_near_copies_by_likeness(spark, tmp_path):
     r, rows = random.Random(14), [(9000 + i, None if i else "", "en", "s1", 1) for i in range(2)]
     for i in range(60):
