@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import short_batches, with_group, written
+from colloquy.llm.common import dealt, short_batches, with_group, written
 
 BITS = 128
 
@@ -141,38 +141,50 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return done.unionByName(ends.mapInPandas(finish, DIGEST.format(id=shown))).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def block_tables(prints: DataFrame, radius: int, print_col: str = "fingerprint") -> DataFrame:
-    """Add table (0 to radius) and key, the block of hex digits that the table's permutation brings to the front; radius + 1
-    rows for each fingerprint. Blocks are whole hex digits, so radius is below BITS / 4."""
+def _edges(radius: int) -> list[int]:
     digits, count = BITS // 4, radius + 1
     if not 0 <= radius < digits:
         raise ValueError(f"radius must be from 0 to {digits - 1}")
-    edges = [digits * i // count for i in range(count + 1)]
+    return [digits * i // count for i in range(count + 1)]
+
+
+def block_tables(prints: DataFrame, radius: int, print_col: str = "fingerprint") -> DataFrame:
+    """Add table (0 to radius) and key, the block of hex digits that the table's permutation brings to the front; radius + 1
+    rows for each fingerprint. Blocks are whole hex digits, so radius is below BITS / 4."""
+    edges = _edges(radius)
     keys = [F.struct(F.lit(i).alias("table"), F.substring(print_col, a + 1, b - a).alias("key")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
     return prints.withColumn("_cq_key", F.explode(F.array(*keys))).select("*", "_cq_key.*").drop("_cq_key")
 
 
-def search(index: DataFrame, queries: DataFrame, radius: int = 3, print_col: str = "fingerprint") -> DataFrame:
-    """Pairs (query, match, distance) of distinct fingerprints (hex) in queries and index at `radius` bits or fewer, all of them.
+def search(index: DataFrame, queries: DataFrame, radius: int = 3, print_col: str = "fingerprint", keep: list[str] | None = None) -> DataFrame:
+    """Pairs (query, match, distance) of distinct fingerprints (hex) in queries and index at `radius` bits or fewer, each once.
 
-    Both sides are made distinct first, so copies cost nothing; null fingerprints are passed over. Distances are part of the
-    join's condition, so candidates that are too far are never rows.
+    Both sides are made distinct first, so copies cost nothing (with `keep`, columns of index, it has to be distinct already, and they are
+    in the result); null fingerprints are passed over. A pair is found in the first table whose blocks are equal, and
+    distances are part of the join's condition, so other candidates are never rows. A block that many fingerprints share is dealt
+    over slices.
     """
     words = lambda c: [F.conv(F.substring(c, i + 1, 8), 16, 10).cast("long") for i in range(0, BITS // 4, 8)]
+    found = index.select(F.col(print_col).alias("match"), *(keep or [])).where("match is not null")
     left = block_tables(queries.select(F.col(print_col).alias("query")).where("query is not null").distinct(), radius, "query")
-    right = block_tables(index.select(F.col(print_col).alias("match")).where("match is not null").distinct(), radius, "match")
-    left = left.withColumn("_cq_q", F.array(*words("query"))).withColumnsRenamed({"table": "_cq_table", "key": "_cq_key"})
+    left, right = dealt(left, block_tables(found if keep else found.distinct(), radius, "match"), ["table", "key"], ["match"])
+    left = left.withColumn("_cq_q", F.array(*words("query"))).withColumnsRenamed({"table": "_cq_table", "key": "_cq_key", "_cq_slice": "_cq_part"})
     right = right.withColumn("_cq_m", F.array(*words("match")))
     distance = sum(F.bit_count(F.col("_cq_q")[i].bitwiseXOR(F.col("_cq_m")[i])) for i in range(BITS // 32))
-    found = left.join(right, (F.col("_cq_table") == F.col("table")) & (F.col("_cq_key") == F.col("key")) & (distance <= radius))
-    return found.select("query", "match", distance.alias("distance")).distinct()
+    edges = _edges(radius)
+    earlier = F.lit(False)
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        earlier = earlier | ((F.col("table") > i) & (F.substring("query", a + 1, b - a) == F.substring("match", a + 1, b - a)))
+    same = (F.col("_cq_table") == F.col("table")) & (F.col("_cq_key") == F.col("key")) & (F.col("_cq_part") == F.col("_cq_slice"))
+    return left.join(right, same & (distance <= radius) & ~earlier).select("query", "match", distance.alias("distance"), *(keep or []))
 
 
 def count_near(digests: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
-    """Add near_docs: for rows whose id is divisible by `every`, how many other rows' fingerprints are within the radius."""
-    sizes = digests.groupBy(F.col("fingerprint").alias("match")).agg(F.count(F.lit(1)).alias("_cq_n"))
+    """Add near_docs: for rows whose id is divisible by `every`, how many other rows' fingerprints are within the radius; null for others.
+    Pairs are counted where they are found, so only a count for each query and task is shuffled."""
+    sizes = digests.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("_cq_n"))
     asked = digests.where(F.col("doc_id") % every == 0)
-    near = search(digests, asked, radius).join(sizes, "match").groupBy(F.col("query").alias("fingerprint")).agg((F.sum("_cq_n") - 1).alias("near_docs"))
+    near = search(sizes, asked, radius, keep=["_cq_n"]).groupBy(F.col("query").alias("fingerprint")).agg((F.sum("_cq_n") - 1).alias("near_docs"))
     counted = with_group(asked, ["fingerprint"], ["doc_id"], [], near)
     rest = digests.where(F.coalesce(F.col("doc_id") % every != 0, F.lit(True)))
     return counted.select(*digests.columns, "near_docs").unionByName(rest.withColumn("near_docs", F.lit(None).cast("long")))

@@ -183,6 +183,19 @@ def test_search_finds_all_within_the_radius(spark):
         assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in prints for b in prints if (a ^ b).bit_count() <= radius}
 
 
+def test_counts_of_near_documents(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(128) for _ in range(6)]
+    prints = [base[i % 6] ^ sum(1 << x for x in r.sample(range(128), r.randint(0, 3))) for i in range(400)]
+    rows = [(i, f"{p:032x}") for i, p in enumerate(prints)] + [(None, f"{base[0]:032x}"), (450, f"{1:032x}")]
+    got = {x.doc_id: x.near_docs for x in fingerprints.count_near(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert len(got) == len(rows)
+    for i, p in rows:
+        want = sum((int(p, 16) ^ int(q, 16)).bit_count() <= 3 for _, q in rows) - 1
+        assert got[i] == (want if i is not None and i % 50 == 0 else None)
+    assert fingerprints.count_near(spark.createDataFrame([], "doc_id long, fingerprint string")).count() == 0
+
+
 def test_viterbi_against_enumeration():
     import itertools
     from collections import Counter
