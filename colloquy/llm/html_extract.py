@@ -225,7 +225,7 @@ def votes(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def winners(voted: DataFrame) -> DataFrame:
     """One row per host: its paths with one vote in SHARE or more, most pages first (equal: higher scores, then the path)."""
-    paths = voted.groupBy("_cq_host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("score").alias("total"))
+    paths = saved(voted.groupBy("_cq_host", "path").agg(F.count(F.lit(1)).alias("pages"), F.sum("score").alias("total")))
     hosts = paths.groupBy("_cq_host").agg(F.sum("pages").alias("all"))
     won = paths.join(hosts, "_cq_host").where("path is not null and pages * {n} >= all".format(n=SHARE))
     order = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("a"), (-F.col("total")).alias("b"), "path")))
