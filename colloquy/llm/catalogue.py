@@ -18,5 +18,4 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
-    "op10_chat_format": chat_format.ORACLE,
 }
