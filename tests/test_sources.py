@@ -87,3 +87,46 @@ def test_export_topics_and_topic_list(spark, tmp_path):
     stored = spark.createDataFrame([("g1", "t1,,t2,"), ("g2", "t9")], "group_id string, topic_list string")
     assert [r.topic_id for r in S.topic_list(stored, "g1").collect()] == ["t1", "t2"]
     assert good.select(F.max("position")).first()[0] is not None
+
+
+def test_stored_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS colloquy_test LOCATION '{tmp_path}/db'")
+    try:
+        S.create_tables(spark, "colloquy_test")
+        S.create_tables(spark, "colloquy_test")
+        pages = spark.createDataFrame([("http://a.example/", "k", "<p>x"), ("http://b.example/", None, None)], "url string, keyword string, page_source string").withColumn("extra", F.lit(1))
+        S.insert_rows(pages, "webpage", "colloquy_test")
+        S.insert_rows(pages.limit(1), "webpage", "colloquy_test")
+        assert S.scan_table(spark, "webpage", "colloquy_test").count() == 3
+        found = S.look_up(spark, "webpage", "url", "http://a.example/", "colloquy_test")
+        assert [r.page_source for r in found.collect()] == ["<p>x", "<p>x"]
+        assert "PushedFilters: [IsNotNull(url), EqualTo(url,http://a.example/)]" in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.sql("DROP DATABASE colloquy_test CASCADE")
+
+
+def test_results_are_read_by_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(10, r, k, t, 0.5) for r in range(2) for k in (5, 10) for t in range(3)], "R int, run int, K int, topic_id long, precision double")
+    S.write_results(rows, str(tmp_path / "r"))
+    found = S.scan_results(spark, str(tmp_path / "r"), run=1, K=5)
+    assert found.count() == 3 and S.scan_results(spark, str(tmp_path / "r")).count() == 12
+    assert "PartitionFilters: [isnotnull(run" in found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_stream_at_intervals(spark, tmp_path):
+    import time
+
+    from colloquy.streaming import files
+
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = files.read_pages(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    running = files.append(stream, str(tmp_path / "out"), str(tmp_path / "state"), "1 second")
+    try:
+        end = time.time() + 60
+        while time.time() < end and sum(p.numInputRows for p in running.recentProgress) < 30:
+            time.sleep(0.5)
+        rates = [p.numInputRows for p in running.recentProgress if p.numInputRows]
+    finally:
+        running.stop()
+    assert rates == [10, 10, 10] and spark.read.parquet(str(tmp_path / "out")).distinct().count() == 30
