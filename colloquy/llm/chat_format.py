@@ -12,7 +12,6 @@ decoded between the states that the whole goes through.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter

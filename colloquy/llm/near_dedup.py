@@ -298,14 +298,14 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def signed(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
-        found = [shingle_set(word_hashes(t or ""), shingle) for t in texts]
+        found = [shingle_set(words, shingle) for words in word_hashes(texts)]
         prints = np.array([xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
         return pd.DataFrame({"fingerprint": prints, "buckets": [buckets(x) if len(x) else np.zeros(0, np.int64) for x in found]})
 
     @F.pandas_udf("binary")
     def shingled(texts: pd.Series) -> pd.Series:
         # Four bytes a shingle: two in a pair of 300 each fall together in 1 case of 50,000.
-        return pd.Series([np.unique(shingle_set(word_hashes(t or ""), shingle).astype(np.uint32)).tobytes() for t in texts], dtype=object)
+        return pd.Series([np.unique(shingle_set(words, shingle).astype(np.uint32)).tobytes() for words in word_hashes(texts)], dtype=object)
 
     rows = without(short_batches(docs), ["fingerprint", "component_id", "kept"]).withColumn("_cq_signed", signed(text_col))
     rows = written(rows.withColumns({"fingerprint": F.col("_cq_signed.fingerprint"), "_cq_buckets": F.col("_cq_signed.buckets")}).drop("_cq_signed"))

@@ -13,7 +13,8 @@ differences, and where they are), some five bytes a seed, and no seed is written
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,19 +44,63 @@ PICK_BITS = 1 << 24
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
-_hashes: dict[bytes, int] = {}
+#: Bytes of texts whose words are hashed at once.
+BLOCK = 1 << 16
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased."""
-    from xxhash import xxh64_intdigest
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * _MIX[1]
+        h = (h ^ (h >> np.uint64(29))) * _MIX[2]
+    return h ^ (h >> np.uint64(32))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64."""
+    base = int(_MIX[3])
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b % 2**64, np.uint64))]) for b in (base, pow(base, -1, 2**64)))
+
+
+def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """For each text a 64-bit hash of each of its words, A-Z lower-cased.
+
+    A word's bytes, each mapped to a 64-bit number, are the digits of a polynomial. Prefix sums over some BLOCK bytes of texts give those
+    of all their words at once: the difference of two sums, divided by the power at which the word begins.
+    """
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield from _hashed(held)
+            held, size = [], 0
+    yield from _hashed(held)
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    if not texts:
+        return []
+    raw = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=1, append=1))
+    starts, ends = edges[::2], edges[1::2]
+    out, low = np.zeros(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while low < len(starts):
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + BLOCK, "right")))
+            part = raw[starts[low] : ends[high - 1]]
+            power, inverse = _powers(1 << max(16, len(part).bit_length()))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTES[part] * power[: len(part)], out=sums[1:])
+            at = starts[low:high] - starts[low]
+            out[low:high] = (sums[ends[low:high] - starts[low]] - sums[at]) * inverse[at]
+            low = high
+    return np.split(_mixed(out), np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts[:-1]])))
+
 
-    if len(_hashes) > 500_000:
-        _hashes.clear()
-    words = text.encode().lower().split()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _MIX[0])
 
 
 def seeds(words: np.ndarray) -> np.ndarray:
@@ -260,8 +305,8 @@ def match_seeds(texts: DataFrame, total: int, text_col: str = "text") -> DataFra
 
         found, held = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = seeds(word_hashes(text.as_py() or ""))
+            for key, words in zip(batch.column(0).to_pylist(), word_hashes(x.as_py() for x in batch.column(1)), strict=True):
+                h = seeds(words)
                 if len(h):
                     found.append((key, h))
                     held += len(h)
@@ -413,7 +458,7 @@ def passages(texts: DataFrame, total: int, text_col: str = "text", least: int =
 
     @F.pandas_udf("binary")
     def hashed(column: pd.Series) -> pd.Series:
-        return pd.Series([word_hashes(t or "").astype(np.uint32).tobytes() for t in column], dtype=object)
+        return pd.Series([words.astype(np.uint32).tobytes() for words in word_hashes(column)], dtype=object)
 
     # Four bytes a word. Texts meet their chains twice, as one side and as the other, and both joins read one exchange.
     words = picked.select("key", hashed(text_col).alias("_cq_words")).repartition("key")

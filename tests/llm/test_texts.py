@@ -102,6 +102,24 @@ def test_chains_against_quadratic_search():
         assert all(follows(x, y) for c in found for x, y in zip(c, c[1:]))  # noqa: B905
 
 
+def test_words_are_hashed_as_themselves(monkeypatch):
+    r = random.Random(16)
+    texts = ["", " ", "a", "\t a\x0bB  b\n", "x" * 200_000 + " y " + "x" * 200_000, "É é \xa0 \u3000 ab ba aa bb"] + ["".join(r.choice("ab AB\n\x00é中") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    texts.append(" ".join(str(i) for i in range(60_000)))
+    known, back = {}, {}
+    for block in (1 << 16, 7):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        some = texts if block > 7 else texts[:-1]
+        for text, found in zip(some, substring_dedup.word_hashes([*some[:-1], some[-1]]), strict=True):
+            words, hashes = text.encode().lower().split(), found.tolist()
+            assert len(words) == len(hashes)
+            for w, h in zip(words, hashes, strict=True):
+                assert known.setdefault(w, h) == h and back.setdefault(h, w) == w
+    assert [x.tolist() for x in substring_dedup.word_hashes([None, "", "a"])][:2] == [[], []] and list(substring_dedup.word_hashes([])) == []
+    low = {h & 0xFFFFFFFF for h in back}
+    assert len(low) > len(back) - 5
+
+
 def test_seed_blocks_round_trip():
     r = np.random.default_rng(4)
     for n in (0, 1, 500):
