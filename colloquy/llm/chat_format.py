@@ -205,7 +205,7 @@ def fit(labelled: DataFrame) -> Chain:
             for batch in batches:
                 for lines, states in zip(batch["lines"], batch["states"], strict=True):
                     add(list(lines), [int(s) for s in states], seen)
-            yield pd.DataFrame({"k": ["\t".join(map(str, k)) for k in seen], "n": list(seen.values())}).astype({"n": "int64"})
+            yield pd.DataFrame({"k": ["\t".join(map(str, k)) for k in seen], "n": list(seen.values())}).astype({"k": "object", "n": "int64"})
 
         for k, n in labelled.select("lines", "states").mapInPandas(run, "k string, n long").groupBy("k").agg(F.sum("n")).collect():
             yield k.split("\t"), n

@@ -331,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text, y in zip(batch["text"], batch["toxic"], strict=True):
                 for w in set(TOKEN.findall(text.lower())):
                     found[w][1 - y] += 1
-            yield pd.DataFrame({"word": list(found), "t": [v[0] for v in found.values()], "c": [v[1] for v in found.values()]}).astype({"t": "int64", "c": "int64"})
+            yield pd.DataFrame({"word": list(found), "t": [v[0] for v in found.values()], "c": [v[1] for v in found.values()]}).astype({"word": "object", "t": "int64", "c": "int64"})
 
     counts = saved(sample.mapInPandas(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     forms = F.array("word", *(F.when(F.length("word") > k, F.concat(F.lit("^"), F.left("word", F.lit(k)))) for k in BEGINNINGS))

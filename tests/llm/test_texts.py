@@ -301,6 +301,9 @@ def test_parts_are_decoded_as_a_whole(spark):
         assert {c: [(role, x) for _, role, x in sorted(t)] for c, t in got.items()} == want
         assert all([n for n, *_ in sorted(t)] == list(range(len(t))) for t in got.values())
     assert chat_format.format_lines(lines.limit(0), model, "conv", [F.col("k")]).count() == 0
+    # A part of the sample without any name.
+    bare = spark.createDataFrame([(["User: a", "b"], [1, 4])] * 3, "lines array<string>, states array<int>").repartition(5)
+    assert chat_format.fit(bare).parse("User: x") == [("user", "x")]
 
 
 def test_ends_and_insides_of_chains_against_plain_loops():

@@ -123,5 +123,8 @@ def test_odd_rows(spark, fitted):
     assert T.toxicity(docs.limit(0), model).count() == 0
     odd = T.fit(docs, spark.createDataFrame([(1, None), (2, 7), (3, -1), (3, 2), (None, 1)], "doc_id long, toxic int"))
     assert T.toxicity(docs, odd).count() == len(rows)
+    silent = spark.createDataFrame([(i, " " * i) for i in range(1, 9)], "doc_id long, text string")
+    wordless = T.fit(silent, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int"))
+    assert len({r.score for r in T.toxicity(silent, wordless).collect()}) == 1  # no text has a word: all are alike
     empty = T.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in T.toxicity(docs, empty).collect()} == {0}
