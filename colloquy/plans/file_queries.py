@@ -93,7 +93,7 @@ def adjacency_files(spark, sf):
     lists = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.concat_ws(",", F.sort_array(F.collect_set(F.col("l_partkey").cast("string")))).alias("x"))
     S.write_lines(lists.where("l_suppkey % 2 = 0"), f"{path}/following", ["l_suppkey", "x"])
     lists.where("l_suppkey % 2 = 1").select(F.concat(F.col("l_suppkey").cast("string"), F.lit(" "), "x", F.lit(",")).alias("value")).write.text(f"{path}/followers")
-    known = spark.range(60).select(F.col("id").cast("string").alias("user_id"))
+    known = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
     return graph.follow_edges(S.read_adjacency(spark, f"{path}/following"), S.read_adjacency(spark, f"{path}/followers"), known)
 
 
@@ -225,7 +225,7 @@ UNION ALL SELECT count(*)::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, 'fields:
     "q71_comment_files": "SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS comment_id, l_returnflag AS group_id, l_orderkey::VARCHAR AS topic_id, l_suppkey::VARCHAR AS user_id, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS pubdate, CASE WHEN l_linenumber > 1 THEN l_partkey::VARCHAR ELSE '-' END AS ref_comment_id, 'of ' || l_linestatus AS content FROM lineitem",
     "q72_group_files": "SELECT n_nationkey::VARCHAR AS group_id, n_regionkey::VARCHAR AS user_id, n_name AS description, t AS topic_id FROM nation, (SELECT unnest(['1', '2']) AS t) UNION ALL SELECT NULL, NULL, NULL, t FROM (SELECT unnest([c_custkey::VARCHAR, 'x']) AS t FROM customer WHERE c_mktsegment = 'BUILDING')",
     "q73_list_files": "SELECT CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS value FROM customer",
-    "q74_adjacency_files": "SELECT DISTINCT a::VARCHAR AS src, b::VARCHAR AS dst FROM (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey % 2 = 0 UNION ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 1) WHERE a < 60 AND b < 60",
+    "q74_adjacency_files": "SELECT DISTINCT a::VARCHAR AS src, b::VARCHAR AS dst FROM (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey % 2 = 0 UNION ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey % 2 = 1) WHERE a IN (SELECT c_custkey FROM customer) AND b IN (SELECT c_custkey FROM customer)",
     "q75_mutual_files": "SELECT least(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS a, greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS b, l_linenumber::BIGINT AS n FROM lineitem",
     "q76_prediction_files": "SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END AS label, round(printf('%.6f', value / 100)::DOUBLE, 6) AS prob, count(*) AS n FROM events GROUP BY 1, 2",
     "q77_instance_files": "SELECT CASE WHEN l_returnflag = 'R' THEN '+1' ELSE '-1' END || printf(' 1:%.6f 2:%.6f 3:%.6f', l_quantity, l_discount, l_linenumber::DOUBLE) AS value, count(*) AS n FROM lineitem GROUP BY 1",
