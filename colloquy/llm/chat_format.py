@@ -236,16 +236,42 @@ def format_chats(raw: DataFrame, model: Chain, text_col: str = "text") -> DataFr
     return plain.withColumn("_cq_read", read(text_col)).select(*plain.columns, "_cq_read.turns", "_cq_read.chat")
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[str]]]:
-    """(conversation, its lines) of a sorted partition, one after the other."""
-    now, held = None, []
+#: Characters of a conversation's lines that are packed together.
+PACK = 1 << 16
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted lines, those of a conversation in a row compressed together, some PACK characters at a time."""
+    from zstandard import ZstdCompressor
+
+    pack, now, held, size, out = ZstdCompressor(level=3).compress, None, [], 0, []
     for batch in batches:
         for c, line in zip(batch["conv"], batch["line"], strict=True):
+            if held and (c != now or size >= PACK):
+                out.append((now, pack("\n".join(held).encode())))
+                held, size = [], 0
+            now, size = c, size + len(line) + 1
+            held.append(line)
+        if len(out) >= 200:
+            yield pd.DataFrame(out, columns=["conv", "lines"])
+            out = []
+    if held:
+        out.append((now, pack("\n".join(held).encode())))
+    yield pd.DataFrame(out, columns=["conv", "lines"])
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[str]]]:
+    """(conversation, its lines) of a partition of packed lines, one after the other."""
+    from zstandard import ZstdDecompressor
+
+    unpack, now, held = ZstdDecompressor().decompress, None, []
+    for batch in batches:
+        for c, lines in zip(batch["conv"], batch["lines"], strict=True):
             if held and c != now:
                 yield now, held
                 held = []
             now = c
-            held.append(line)
+            held += unpack(bytes(lines)).decode().split("\n")
     if held:
         yield now, held
 
@@ -253,15 +279,16 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, list[
 def format_lines(lines: DataFrame, model: Chain, conv_col: str, order: list[Column], line_col: str = "line") -> DataFrame:
     """The turns (conversation, turn from 0, role, text, rendered) of transcripts given a line a row, each decoded as a whole.
 
-    Null conversations are one; null lines count as empty; rows equal in conversation and order are in any order; an empty table gives
+    Null conversations are one; null lines count as empty, line ends inside a line as spaces; rows equal in conversation and order are in any order; an empty table gives
     an empty result. Lines are sorted by range, so a conversation may be in many tasks. Of each task only what it has of its first and
     last conversation reaches the driver, as two rows of some 40 numbers, and the places where parts meet go back.
     """
     kind = lines.schema[conv_col].dataType
     rows = short_batches(lines).select(F.col(conv_col).cast("string").alias("conv"), *(c.alias(f"o{i}") for i, c in enumerate(order)), F.coalesce(F.col(line_col), F.lit("")).alias("line"))
     keys = ["conv", *(f"o{i}" for i in range(len(order)))]
-    # A checkpoint keeps partitions and their order.
-    placed = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "line"))
+    # A line has no line end inside (one that has would be two). A checkpoint keeps partitions and their order.
+    rows = rows.withColumn("line", F.regexp_replace("line", "\n", " "))
+    placed = saved(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("conv", "line").mapInPandas(_pack, "conv string, lines binary"))
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first, last, known = None, None, START
@@ -324,7 +351,7 @@ def format_lines(lines: DataFrame, model: Chain, conv_col: str, order: list[Colu
 
     decoded = placed.mapInPandas(decode, "conv string, part int, turn long, role string, text string, follows boolean, edge boolean, begun long")
     if joined:
-        decoded = saved(decoded)
+        # Only counts are kept of this pass; what it decodes is decoded again below.
         begun = {(r["part"], r["follows"]): r["begun"] for r in decoded.where("begun is not null").select("part", "follows", "begun").collect()}
         offset, total = [], 0
         for p in (p["part"] for p in parts):
@@ -427,6 +454,6 @@ def labelled(lines: DataFrame, most: int = 2000, turns: int = 200) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, recovered from a raw transcript by a model fitted on conversations that are not held out."""
-    lines = saved(written_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    turns = format_lines(lines, fit(labelled(lines)), "conv", [F.col("turn"), F.col("row"), F.col("k")])
+    lines = written_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    turns = format_lines(lines, fit(saved(labelled(lines))), "conv", [F.col("turn"), F.col("row"), F.col("k")])
     return turns.select(F.col("conv").cast("long").alias("conv_id"), "turn", (F.crc32("conv") % 5 == 0).alias("held_out"), "role", F.length("text").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))
