@@ -327,32 +327,44 @@ def format_lines(lines: DataFrame, model: Chain, conv_col: str, order: list[Colu
             scores[r["part"], r["follows"]] = np.array(r["scores"]).reshape(6, 6) if r["follows"] else np.array(r["scores"])
     before, after, single = _ways([p["part"] for p in parts], known, joined, scores)
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, out, groups = TaskContext.get().partitionId(), [], _groups(batches)
+    def states_of(batches: Iterator[pd.DataFrame], edges_only: bool) -> Iterator[tuple]:
+        """(conversation, lines, states, whether it came from before, whether it goes on) in this part."""
+        part, groups = TaskContext.get().partitionId(), _groups(batches)
         held, first = next(groups, None), True
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["conv", "part", "turn", "role", "text", "follows", "edge", "begun"]).astype({"part": "int32", "turn": "int64", "follows": "bool", "edge": "bool", "begun": "Int64"})
-
         while held is not None:
             following, (c, text) = next(groups, None), held
             follows, goes_on = first and part in known, following is None and part in joined
-            seen = observe(text, known[part] if follows else START, model.asides)[0]
-            found = turns_of(text, model.decode(seen, before.get(part) if follows else None, after.get((part, follows)) if follows or goes_on else None))
+            if follows or goes_on or not edges_only:
+                seen = observe(text, known[part] if follows else START, model.asides)[0]
+                yield c, text, model.decode(seen, before.get(part) if follows else None, after.get((part, follows)) if follows or goes_on else None), follows, goes_on
+            held, first = following, False
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = [(TaskContext.get().partitionId(), follows, sum(x < 3 for x in states)) for _, _, states, follows, _ in states_of(batches, True)]
+        yield pd.DataFrame(counts, columns=["part", "follows", "begun"]).astype({"part": "int32", "follows": "bool", "begun": "int64"})
+
+    def decode(batches: Iterator[pd.DataFrame], edges: bool = False) -> Iterator[pd.DataFrame]:
+        """Turns that are whole in this part, or pieces of turns that may not be."""
+        part, out = TaskContext.get().partitionId(), []
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["conv", "part", "turn", "role", "text", "follows"]).astype({"part": "int32", "turn": "int64", "follows": "bool"})
+
+        for c, text, states, follows, goes_on in states_of(batches, edges):
+            found = turns_of(text, states)
             new = found[0][0]
             for k, (_, role, x) in enumerate(found):
-                edge = k == 0 and not new or goes_on and k == len(found) - 1
-                out.append((c, part, k - (not new), role, x, follows, edge, len(found) - (not new) if k == 0 and (follows or goes_on) else None))
-            held, first = following, False
+                if edges == (k == 0 and not new or goes_on and k == len(found) - 1):
+                    out.append((c, part, k - (not new), role, x, follows))
             if len(out) > 2000:
                 yield rows()
                 out = []
         yield rows()
 
-    decoded = placed.mapInPandas(decode, "conv string, part int, turn long, role string, text string, follows boolean, edge boolean, begun long")
+    schema = "conv string, part int, turn long, role string, text string, follows boolean"
+    decoded = placed.mapInPandas(decode, schema)
     if joined:
-        # Only counts are kept of this pass; what it decodes is decoded again below.
-        begun = {(r["part"], r["follows"]): r["begun"] for r in decoded.where("begun is not null").select("part", "follows", "begun").collect()}
+        begun = {(r["part"], r["follows"]): r["begun"] for r in placed.mapInPandas(begin, "part int, follows boolean, begun long").collect()}
         offset, total = [], 0
         for p in (p["part"] for p in parts):
             if p in known:
@@ -361,11 +373,11 @@ def format_lines(lines: DataFrame, model: Chain, conv_col: str, order: list[Colu
             if p in joined and p not in single:
                 total = begun[p, False]
         shift = F.broadcast(lines.sparkSession.createDataFrame(offset, "part int, follows boolean, earlier long"))  # a row for each task at most
-        numbered = decoded.join(shift, ["part", "follows"], "left").withColumn("turn", F.col("turn") + F.coalesce("earlier", F.lit(0)))
+        numbered = lambda rows: rows.join(shift, ["part", "follows"], "left").withColumn("turn", F.col("turn") + F.coalesce("earlier", F.lit(0)))
         # Turns that several parts have a piece of.
-        pieces = numbered.where("edge").groupBy("conv", "turn").agg(F.array_sort(F.collect_list(F.struct("part", "role", "text"))).alias("x"))
+        pieces = numbered(placed.mapInPandas(lambda batches: decode(batches, True), schema)).groupBy("conv", "turn").agg(F.array_sort(F.collect_list(F.struct("part", "role", "text"))).alias("x"))
         whole = pieces.select("conv", "turn", F.col("x")[0]["role"].alias("role"), F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("text"))
-        decoded = numbered.where("not edge").select("conv", "turn", "role", "text").unionByName(whole)
+        decoded = numbered(decoded).select("conv", "turn", "role", "text").unionByName(whole)
     rendered = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text").alias("rendered")
     return decoded.select(F.col("conv").cast(kind).alias(conv_col), "turn", "role", "text", rendered)
 
@@ -439,13 +451,18 @@ def written_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return rows.mapInPandas(write, "conv string, turn double, row long, k int, line string, state int")
 
 
-def labelled(lines: DataFrame, most: int = 2000, turns: int = 200) -> DataFrame:
-    """Labelled transcripts (lines, states) of up to `most` conversations, of each its turns below that number: the bounded sample that
-    the model is fitted on."""
-    picked = lines.where((F.col("turn") < turns) & (F.crc32("conv") % 5 != 0))
-    total = picked.select("conv").distinct().count()
-    sample = picked.where(F.pmod(F.xxhash64("conv"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, total))))
-    held = sample.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "row", "k", "line", "state"))).alias("x"))
+def sampled(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", most: int = 2000, length: int = 200) -> DataFrame:
+    """Turns of up to `most` conversations that are not held out, of each those below number `length`: the bounded sample that the
+    model is fitted on."""
+    conv = F.coalesce(F.col(conv_col).cast("string"), F.lit(""))
+    usable = turns.where((F.crc32(conv) % 5 != 0) & (F.coalesce(F.col(turn_col), F.lit(0)) < length))
+    total = usable.select(conv_col).distinct().count()
+    return usable.where(F.pmod(F.xxhash64(conv), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, total))))
+
+
+def labelled(lines: DataFrame) -> DataFrame:
+    """Labelled transcripts (lines, states), a conversation each."""
+    held = lines.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "row", "k", "line", "state"))).alias("x"))
     states = F.transform("x", lambda v: v["state"])
     # A blank line before an unmarked turn goes on with the turn before.
     filled = F.transform(states, lambda v, i: F.when(v >= 0, v).otherwise(3 + F.pmod(F.element_at(states, F.greatest(i, F.lit(1))), F.lit(3))))
@@ -454,6 +471,7 @@ def labelled(lines: DataFrame, most: int = 2000, turns: int = 200) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, recovered from a raw transcript by a model fitted on conversations that are not held out."""
-    lines = written_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    turns = format_lines(lines, fit(saved(labelled(lines))), "conv", [F.col("turn"), F.col("row"), F.col("k")])
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    model = fit(saved(labelled(written_lines(sampled(said)))))
+    turns = format_lines(written_lines(said), model, "conv", [F.col("turn"), F.col("row"), F.col("k")])
     return turns.select(F.col("conv").cast("long").alias("conv_id"), "turn", (F.crc32("conv") % 5 == 0).alias("held_out"), "role", F.length("text").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("rendered_sha256"))

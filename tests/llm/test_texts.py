@@ -251,7 +251,7 @@ def test_held_out_chats(spark):
     turns = talks(random.Random(9), 700)
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     lines = chat_format.saved(chat_format.written_lines(frame))
-    model = chat_format.fit(chat_format.labelled(lines))
+    model = chat_format.fit(chat_format.labelled(chat_format.written_lines(chat_format.sampled(frame))))
     assert {"note", "example"} & model.asides and not {"alice", "bob"} & model.asides
     got, want = {}, {}
     for x in chat_format.format_lines(lines, model, "conv", [F.col("turn"), F.col("row"), F.col("k")]).collect():
