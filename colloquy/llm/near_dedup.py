@@ -31,6 +31,8 @@ GENERATOR = 0b101011100011
 BANDS, ROWS = 20, 5
 #: Sets of a bucket are put in order in slices of about so many; each is compared with so many before it.
 SLICE, BEFORE = 5000, 8
+#: Of the larger buckets that a set is in, so many are paired for smaller ones.
+PAIRED = 8
 #: Bits of the bitmap that picks the rows whose sets are compared: 2 MB, whatever the input.
 PICK_BITS = 1 << 24
 #: Anchors with more members than this are compared block by block, smaller ones all at once.
@@ -247,8 +249,7 @@ def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: floa
 
     Sets that share a bucket are candidates: each with the bucket's first and with BEFORE before it in order, never each with
     each, so all pairs of buckets of up to BEFORE + 1 and links in proportion to the members of larger ones. The sets of larger buckets
-    meet again in smaller ones, where two of their large buckets are equal: a pair with Jaccard 0.8 has two or more of 20 in
-    common in 249 cases of 250. Candidates are checked on the whole sets, which a function adds to the rows that may be among
+    meet again in smaller ones, where two of the first PAIRED of their large buckets are equal. Candidates are checked on the whole sets, which a function adds to the rows that may be among
     them, as _cq_set.
     """
     def candidates(placed: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: floa
     sizes = saved(shared(placed))
     pairs = candidates(placed, sizes)
     crowded = placed.join(sizes.where(F.col("n") > BEFORE + 1).select("bucket"), "bucket", "left_semi")
-    lists = crowded.groupBy("fp").agg(F.sort_array(F.collect_list("bucket")).alias("x"))
+    lists = crowded.groupBy("fp").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, PAIRED).alias("x"))
     two = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda w: F.xxhash64(v, w))))
     again = written(lists.select("fp", F.explode(two).alias("bucket")))
     pairs = saved(pairs.union(candidates(again, saved(shared(again)))).where("a <> b").distinct())
