@@ -381,3 +381,21 @@ def test_pipeline_drops_near_copies_by_likeness(spark, tmp_path):
     # One group of many: candidates are not all pairs.
     crowd = spark.createDataFrame([(i, " ".join(map(str, range(100))) + f" end{i}", "en", "s1", 1) for i in range(300)], SCHEMA)
     assert near_dedup.similar_dedup(crowd).where("kept").count() == 1
+
+
+def test_near_copies_among_many_alike(spark, monkeypatch):
+    """Texts that share three quarters of their words, and so many buckets, are told apart; each one's near copy is found."""
+    r, rows = random.Random(22), []
+    base = [f"b{r.randint(0, 10**6)}" for _ in range(150)]
+    for i in range(150):
+        text = base + [f"own{i}x{k}" for k in range(50)]
+        near = list(text)
+        for at in r.sample(range(len(near)), 3):
+            near[at] = f"edit{i}"
+        rows += [(2 * i, " ".join(text), "en", "s1", 1), (2 * i + 1, " ".join(near), "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for before in (8, 1):
+        monkeypatch.setattr(near_dedup, "BEFORE", before)
+        got = {x.doc_id: x.component_id for x in near_dedup.similar_dedup(docs).collect()}
+        assert all(got[2 * i] == 2 * i for i in range(150))
+        assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= (148 if before == 8 else 140)
