@@ -8,6 +8,11 @@ distinct fingerprints are replicated, about 14 copies for each half, and compare
 are parted by blocks of their other half, of which any pair within 3 bits has one in common. An anchor's links are
 reduced to a spanning set where they are found, so a group of n near copies yields links in proportion to n, and the
 connected components are found by distributed star rounds.
+
+similar_dedup() links texts by the likeness of their shingle sets, with wider SimHashes: PRINT bits that are compared, and tables of
+further bits. A fingerprint is put in each table at its own bits and at those with its least certain bit, the one with the closest
+vote, flipped. Fingerprints that meet in a table and differ in COARSE bits or fewer are in one candidate group, and within
+candidate groups the links are found by an exact check of the sets.
 """
 
 from __future__ import annotations
@@ -27,12 +32,19 @@ from colloquy.llm.common import bit_words, components, gathered, in_bitmap, save
 RADIUS = 3
 #: Generator polynomial of the perfect (23, 12) code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
-#: Bands of a MinHash signature and hashes in one: of two sets with Jaccard 0.8 one band in three agrees, none of 20 for 1 pair in 2,800.
-BANDS, ROWS = 20, 5
-#: Sets of a bucket are put in order in slices of about so many; each is compared with so many before it.
-SLICE, BEFORE = 5000, 8
-#: Of the larger buckets that a set is in, so many are paired for smaller ones.
-PAIRED = 8
+#: Bits of a SimHash that are compared for sets of shingles, and the most that differ in a candidate: sets with Jaccard 0.8 differ in 19.4
+#: bits on average, with a standard deviation of 4.1, unrelated ones in 64, with 5.7.
+PRINT, COARSE = 128, 36
+#: Bits of a table's key at least, and so many tables of that many: one in 1,000 pairs with Jaccard 0.8 meets in none (tests count them).
+KEY_BITS, TABLES = 16, 44
+#: Tables of the first round; in the second, groups that are already one are not linked again.
+FIRST = 4
+#: Entries of the tables that meet in one task, about.
+ENTRIES = 1 << 20
+#: Of the members that a group has reached, so many are compared with the rest before the next are.
+BEFORE = 8
+#: The members of a candidate group with more shingles than this are compared two blocks of about so many at a time.
+SET_BLOCK = 1 << 21
 #: Bits of the bitmap that picks the rows whose sets are compared: 2 MB, whatever the input.
 PICK_BITS = 1 << 24
 #: Anchors with more members than this are compared block by block, smaller ones all at once.
@@ -200,14 +212,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows are written once with their fingerprints, which several steps read.
     """
     rows = docs if text_col not in docs.columns and "fingerprint" in docs.columns else written(fingerprints(docs, text_col, shingle))
-    return _joined(rows, links, id_col)
+    return _joined(rows, lambda distinct: components(links(distinct)), id_col)
 
 
-def _joined(rows: DataFrame, links: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
-    """Rows with fingerprint, and component_id and kept by the links (a, b) that a function finds between distinct fingerprints."""
+def _joined(rows: DataFrame, members: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+    """Rows with fingerprint, and component_id and kept by the components (node, root) that a function finds among distinct fingerprints."""
     rows = without(rows, ["component_id", "kept"])
     skinny = saved(rows.select("fingerprint", F.col(id_col).alias("_cq_id")).groupBy("fingerprint").agg(F.min("_cq_id").alias("_cq_first")))
-    member = components(links(skinny)).withColumnRenamed("node", "fingerprint")
+    member = members(skinny).withColumnRenamed("node", "fingerprint")
     rooted = skinny.join(member, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     first = F.coalesce(F.min_by("fingerprint", "_cq_first"), F.min("fingerprint")).alias("_cq_keep")
     named = with_group(rooted, ["root"], ["fingerprint"], [F.min("_cq_first").alias("component_id"), first]).select("fingerprint", "component_id", "_cq_keep")
@@ -229,63 +241,209 @@ def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
     return np.unique(h)
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
-    """A bigint for each of BANDS bands of a set's MinHash signature."""
-    r = np.random.default_rng(7)
-    flip, odd = r.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 4000):
-            low = np.minimum(low, ((shingles[i : i + 4000, None] ^ flip) * (odd | np.uint64(1))).min(axis=0))
-        h = np.arange(BANDS, dtype=np.uint64)
-        for row in low.reshape(BANDS, ROWS).T:
-            h = (h ^ row) * np.uint64(0xC2B2AE3D27D4EB4F)
-            h ^= h >> np.uint64(29)
-    return h.view(np.int64)
-
-
-def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: float) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of rows with fingerprint and _cq_buckets, with Jaccard `alike` or more.
-
-    Sets that share a bucket are candidates: each with the bucket's first and with BEFORE before it in order, never each with
-    each, so all pairs of buckets of up to BEFORE + 1 and links in proportion to the members of larger ones. The sets of larger buckets
-    meet again in smaller ones, where two of the first PAIRED of their large buckets are equal. Candidates are checked on the whole sets, which a function adds to the rows that may be among
-    them, as _cq_set.
+#: Byte i of entry b is bit i of b, so sums of up to 255 entries count the bits that are set.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def table_sizes(count: int) -> tuple[int, int]:
+    """(bits of a key, tables) for so many sets: from 4 million on keys get longer, and tables more, so that unrelated sets that meet by
+    chance stay in proportion to the sets."""
+    bits = min(32, max(KEY_BITS, int(count).bit_length() - 6))
+    return bits, int(np.ceil(TABLES * 1.165 ** (bits - KEY_BITS)))
+
+
+def simhash(shingles: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of a set of hashed shingles, as PRINT bits in uint64, and its uint32 keys: for each table the own one, then for each
+    the one with the least certain bit flipped."""
+    words = -(-(PRINT + bits * tables) // 64)
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(words * 64, np.int64)
+    for i in range(0, len(shingles), 255):
+        with np.errstate(over="ignore"):
+            h = shingles[i : i + 255, None] + salt
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        votes += _SPREAD[h.view(np.uint8)].sum(axis=0).view(np.uint8)
+    lead = 2 * votes - len(shingles)
+    placed = lead[PRINT : PRINT + bits * tables].reshape(tables, bits)
+    own = (placed > 0) @ (1 << np.arange(bits, dtype=np.int64))
+    keys = np.concatenate([own, own ^ (1 << np.abs(placed).argmin(axis=1))])
+    return np.packbits(lead[:PRINT] > 0, bitorder="little").view(np.uint64), keys.astype(np.uint32)
+
+
+def grouped(count: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The connected components of members 0, 1, ...: for each the first member of its own.
+
+    near(some, others) tells which of the others are linked to any of some. Members that have been reached are compared with the rest
+    only, so a group of near copies takes about as many comparisons as it has members, and no pair's link is missed.
     """
-    def candidates(placed: DataFrame, sizes: DataFrame) -> DataFrame:
-        met = placed.join(sizes, "bucket").withColumn("slice", F.expr(f"pmod(xxhash64(fp), cast(ceil(n / {SLICE}) as bigint))"))
-        # Dealt by bucket and slice, so that a very common bucket is in no single task.
-        before = F.collect_list("fp").over(W.partitionBy("bucket", "slice").orderBy("fp").rowsBetween(-BEFORE, -1))
-        return met.repartition("bucket", "slice").withColumn("before", before).select(F.col("fp").alias("a"), F.explode(F.array_union(F.array("first"), "before")).alias("b"))
-
-    def shared(placed: DataFrame) -> DataFrame:
-        return placed.groupBy("bucket").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-
-    distinct = rows.select("fingerprint", "_cq_buckets").dropDuplicates(["fingerprint"])
-    placed = written(distinct.select(F.col("fingerprint").alias("fp"), F.explode("_cq_buckets").alias("bucket")))
-    sizes = saved(shared(placed))
-    pairs = candidates(placed, sizes)
-    crowded = placed.join(sizes.where(F.col("n") > BEFORE + 1).select("bucket"), "bucket", "left_semi")
-    lists = crowded.groupBy("fp").agg(F.slice(F.sort_array(F.collect_list("bucket")), 1, PAIRED).alias("x"))
-    two = F.flatten(F.transform("x", lambda v, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda w: F.xxhash64(v, w))))
-    again = written(lists.select("fp", F.explode(two).alias("bucket")))
-    pairs = saved(pairs.union(candidates(again, saved(shared(again)))).where("a <> b").distinct())
-
-    @F.pandas_udf("double")
-    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            a, b = np.frombuffer(bytes(x), np.uint32), np.frombuffer(bytes(y), np.uint32)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(both / (len(a) + len(b) - both))
-        return pd.Series(out)
-
-    hit = pairs.select(F.explode(F.array("a", "b")).alias("_cq_fp")).distinct().select(F.pmod("_cq_fp", F.lit(PICK_BITS)).alias("_cq_bit"))
+    label = np.arange(count)
+    rest = label.copy()
+    while len(rest):
+        root, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            if len(front) <= len(rest):
+                hit, front = near(front[:BEFORE], rest), front[BEFORE:]
+            else:
+                hit, front = np.array([near(rest[i : i + 1], front).any() for i in range(len(rest))]), front[:0]
+            label[rest[hit]] = root
+            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    return label
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links, at most one a node, that connect what the links (a, b) connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def met(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the groups of entries (rows: key, two words of print, group) with equal keys and prints within COARSE bits."""
+    key, high, low, group = entries[:, np.argsort(entries[0])]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    size = np.diff(edges)
+    out = [(group[:0], group[:0])]
+    for g in np.flatnonzero(size > SMALL):
+        x, y, names = (c[edges[g] : edges[g + 1]] for c in (high, low, group))
+        def near(some: np.ndarray, others: np.ndarray, x=x, y=y) -> np.ndarray:
+            return (np.bitwise_count(x[some, None] ^ x[others]) + np.bitwise_count(y[some, None] ^ y[others]) <= COARSE).any(axis=0)
+
+        out.append((names, names[grouped(len(x), near)]))
+    later = np.where(np.repeat(size, size) <= SMALL, np.repeat(edges[1:], size) - np.arange(len(key)) - 1, 0)
+    for members in np.array_split(np.flatnonzero(later), max(1, len(key) // 20_000)):
+        left = np.repeat(members, later[members])
+        right = np.arange(len(left)) - np.repeat(np.cumsum(later[members]) - later[members], later[members]) + left + 1
+        close = np.bitwise_count(high[left] ^ high[right]) + np.bitwise_count(low[left] ^ low[right]) <= COARSE
+        out.append((group[left[close]], group[right[close]]))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    return joined(a[a != b], b[a != b])
+
+
+def alike_sets(sets: list[np.ndarray], alike: float) -> np.ndarray:
+    """The components of distinct sets (each an array of distinct hashes, none empty) by links with Jaccard `alike` or more."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(values), bool)
+
+    def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size[others])
+        begin = ends - size[others]
+        theirs = flat[np.arange(ends[-1]) + np.repeat(start[others] - begin, size[others])]
+        hit = np.zeros(len(others), bool)
+        for i in some:
+            mine = flat[start[i] : start[i] + size[i]]
+            marked[mine] = True
+            both = np.add.reduceat(marked[theirs], begin, dtype=np.int64)
+            marked[mine] = False
+            hit |= both / (size[i] + size[others] - both) >= alike
+        return hit
+
+    return grouped(len(sets), near)
+
+
+def candidate_groups(distinct: DataFrame, bits: int, tables: int, count: int) -> DataFrame:
+    """(fp, n, root): sets, given as (fp, high, low, keys, n), by their candidate groups.
+
+    Entries go to the task of their key in packed blocks. The first round's groups are linked as wholes in the second, so links
+    are in proportion to the sets, whatever the size of a group and the number of tables.
+    """
+    shards = max(8, count * 2 * tables // ENTRIES)
+
+    def place(first: int, last: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            table = np.arange(first, last, dtype=np.uint64) << np.uint64(32)
+            for batch in gathered(batches, 2000):
+                keys = np.frombuffer(b"".join(batch["keys"]), np.uint32).reshape(len(batch), 2, tables)[:, :, first:last] | table
+                each = keys.shape[1] * keys.shape[2]
+                entries = np.stack([keys.reshape(-1), *(np.repeat(batch[c].to_numpy().view(np.uint64), each) for c in ("high", "low", "root"))])
+                with np.errstate(over="ignore"):
+                    shard = ((entries[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % shards
+                order = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                yield pd.DataFrame({"shard": full.astype(np.int32), "block": [entries[:, order[cuts[k] : cuts[k + 1]]].tobytes() for k in full]})
+
+        return blocks
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done() -> pd.DataFrame:
+            a, b = met(np.concatenate(held, axis=1))
+            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+        held, at = [], None
+        for batch in batches:
+            for shard, block in zip(batch["shard"], batch["block"], strict=True):
+                if held and shard != at:
+                    yield done()
+                    held = []
+                at = shard
+                held.append(np.frombuffer(block, np.uint64).reshape(4, -1))
+        if held:
+            yield done()
+
+    def rooted(member: DataFrame) -> DataFrame:
+        return distinct.join(member.withColumnRenamed("node", "high"), "high", "left").withColumn("root", F.coalesce("root", "high"))
+
+    def round_of(named: DataFrame, first: int, last: int) -> DataFrame:
+        placed = named.select("high", "low", "root", "keys").mapInPandas(place(first, last), "shard int, block binary")
+        return saved(placed.repartition(shards, "shard").sortWithinPartitions("shard").mapInPandas(meet, "a long, b long").distinct())
+
+    one = round_of(distinct.withColumn("root", F.col("high")), 0, FIRST)
+    # One step of the way to the first round's components; the rest of it is made with all links.
+    two = round_of(rooted(one.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))), FIRST, tables)
+    return rooted(components(one.union(two))).select("fp", "n", "root")
+
+
+def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: float, bits: int, tables: int, count: int) -> DataFrame:
+    """(node, root) for the fingerprints of rows with fingerprint and _cq_signed: the components, by links with Jaccard `alike` or more, of the
+    sets in each candidate group. Not every fingerprint that is its own root has a row.
+
+    A function adds the whole sets to the rows that are in candidate groups, as _cq_set. A group is compared in one task; of a very large
+    one every two blocks of members are.
+    """
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done() -> pd.DataFrame:
+            names = np.array(fps, np.int64)
+            label = alike_sets([np.frombuffer(x, np.uint32) for x in held], alike)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            return pd.DataFrame({"node": names[moved], "root": names[label[moved]]})
+
+        fps, held, at = [], [], None
+        for batch in batches:
+            for task, fp, x in zip(batch["task"], batch["fingerprint"], batch["_cq_set"], strict=True):
+                if held and task != at:
+                    yield done()
+                    fps, held = [], []
+                at = task
+                fps.append(fp)
+                held.append(x)
+        if held:
+            yield done()
+
+    signed = rows.select(F.col("fingerprint").alias("fp"), "_cq_signed.high", "_cq_signed.low", "_cq_signed.keys", "_cq_signed.n").where("n > 0")
+    groups = candidate_groups(written(signed.dropDuplicates(["fp"])), bits, tables, count)
+    met_any = with_group(groups, ["root"], ["fp"], [F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")]).where("members > 1")
+    crowd = saved(met_any.select(F.col("fp").alias("fingerprint"), "root", F.ceil(F.col("hashes") / SET_BLOCK).cast("int").alias("blocks")))
+    hit = crowd.select(F.pmod("fingerprint", F.lit(PICK_BITS)).alias("_cq_bit"))
     picked = in_bitmap(rows, saved(bit_words(hit, "_cq_bit")), [F.pmod("fingerprint", F.lit(PICK_BITS))], "_cq_in").where("_cq_in")
-    whole = written(sets(picked).select("fingerprint", "_cq_set").dropDuplicates(["fingerprint"]))
-    one = pairs.join(whole.select(F.col("fingerprint").alias("a"), F.col("_cq_set").alias("x")), "a")
-    two = one.join(whole.select(F.col("fingerprint").alias("b"), F.col("_cq_set").alias("y")), "b")
-    return two.where(jaccard("x", "y") >= alike).select("a", "b")
+    whole = sets(picked).select("fingerprint", "_cq_set").dropDuplicates(["fingerprint"]).join(crowd, "fingerprint")
+    block = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("root", F.least(block, other), F.greatest(block, other)))
+    dealt_out = whole.select("fingerprint", "_cq_set", F.explode(tasks).alias("task"))
+    found = dealt_out.repartition("task").sortWithinPartitions("task").mapInPandas(check, "node long, root long")
+    if crowd.where("blocks > 1").isEmpty():
+        return saved(found)
+    return components(found.toDF("a", "b"))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = 0.8) -> DataFrame:
@@ -295,13 +453,18 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     from colloquy.llm.substring_dedup import word_hashes
 
-    @F.pandas_udf("fingerprint long, buckets array<long>")
+    count = docs.count()
+    bits, tables = table_sizes(count)
+
+    @F.pandas_udf("fingerprint long, high long, low long, keys binary, n long")
     def signed(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
         found = [shingle_set(words, shingle) for words in word_hashes(texts)]
         prints = np.array([xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"fingerprint": prints, "buckets": [buckets(x) if len(x) else np.zeros(0, np.int64) for x in found]})
+        hashes = [simhash(x, bits, tables) for x in found]
+        high, low = np.array([x for x, _ in hashes], np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+        return pd.DataFrame({"fingerprint": prints, "high": high, "low": low, "keys": [k.tobytes() for _, k in hashes], "n": [len(x) for x in found]})
 
     @F.pandas_udf("binary")
     def shingled(texts: pd.Series) -> pd.Series:
@@ -309,9 +472,10 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pd.Series([np.unique(shingle_set(words, shingle).astype(np.uint32)).tobytes() for words in word_hashes(texts)], dtype=object)
 
     rows = without(short_batches(docs), ["fingerprint", "component_id", "kept"]).withColumn("_cq_signed", signed(text_col))
-    rows = written(rows.withColumns({"fingerprint": F.col("_cq_signed.fingerprint"), "_cq_buckets": F.col("_cq_signed.buckets")}).drop("_cq_signed"))
+    rows = written(rows.withColumn("fingerprint", F.col("_cq_signed.fingerprint")))
     sets = lambda some: some.withColumn("_cq_set", shingled(text_col))
-    return _joined(rows.drop("_cq_buckets"), lambda _: similar(rows.select("fingerprint", "_cq_buckets", text_col), sets, alike), id_col)
+    find = lambda _: similar(rows.select("fingerprint", "_cq_signed", text_col), sets, alike, bits, tables, count)
+    return _joined(rows.drop("_cq_signed"), find, id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -399,3 +399,41 @@ def test_near_copies_among_many_alike(spark, monkeypatch):
         got = {x.doc_id: x.component_id for x in near_dedup.similar_dedup(docs).collect()}
         assert all(got[2 * i] == 2 * i for i in range(150))
         assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= (148 if before == 8 else 140)
+
+
+def test_similar_dedup_loses_no_link_in_crowds(spark, monkeypatch):
+    """Each of many texts that are somewhat alike is linked to its own near copy and to no other, however few are compared at a time."""
+    r, rows = random.Random(5), []
+    base = [f"b{r.randint(0, 10**6)}" for _ in range(176)]
+    for i in range(300):
+        text = base + [f"own{i}x{k}" for k in range(24)]
+        near = list(text)
+        for at in r.sample(range(len(near)), r.randint(1, 4)):
+            near[at] = f"edit{i}"
+        rows += [(2 * i, " ".join(text), "en", "s1", 1), (2 * i + 1, " ".join(near), "en", "s1", 1)]
+    shingles = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    alike = [len(a & b) / len(a | b) for a, b in ((shingles(rows[2 * i][1]), shingles(rows[2 * i + 1][1])) for i in range(300))]
+    monkeypatch.setattr(near_dedup, "BEFORE", 1)
+    got = {x.doc_id: x.component_id for x in near_dedup.similar_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[2 * i] == 2 * i for i in range(300))
+    assert [got[2 * i + 1] == 2 * i for i in range(300)] == [x >= 0.8 for x in alike]
+
+
+def test_simhash_tables_and_groups():
+    """SimHashes of sets with Jaccard 0.8 meet in a table and are within COARSE bits; a crowd's links are in proportion to its members."""
+    r, missed = np.random.default_rng(3), 0
+    bits, tables = near_dedup.table_sizes(1000)
+    for _ in range(1000):
+        x = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+        (p, a), (q, b) = (near_dedup.simhash(s, bits, tables) for s in (x[:270], x[30:]))
+        meet = (a.reshape(2, 1, tables) == b.reshape(1, 2, tables)).any()
+        missed += not meet or np.bitwise_count(p ^ q).sum() > near_dedup.COARSE
+    assert missed <= 3
+    near = np.uint64(1) << r.integers(0, 64, (2, 4000)).astype(np.uint64)
+    a, b = near_dedup.met(np.stack([np.zeros(4000, np.uint64), *near, np.arange(4000, dtype=np.uint64)]))
+    assert len(a) == 3999 and set(b.tolist()) == {0}
+    few = np.array([[1, 1, 1, 2], [0, 1, 2**64 - 1, 0], [0, 0, 2**64 - 1, 0], [7, 8, 9, 10]], np.uint64)
+    assert [x.tolist() for x in near_dedup.met(few)] == [[8], [7]]
+    assert near_dedup.table_sizes(1 << 40) == (32, 507)
+    chain = lambda some, others: (np.abs(some[:, None] - others) == 2).any(axis=0)
+    assert near_dedup.grouped(101, chain).tolist() == [i % 2 for i in range(101)]
