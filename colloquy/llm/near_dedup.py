@@ -43,8 +43,10 @@ FIRST = 4
 ENTRIES = 1 << 20
 #: Of the members that a group has reached, so many are compared with the rest before the next are.
 BEFORE = 8
-#: The members of a candidate group with more shingles than this are compared two blocks of about so many at a time.
+#: The members of a candidate group with more shingles than this are compared in blocks of about so many.
 SET_BLOCK = 1 << 21
+#: Sets of so many shingles or fewer also meet those that have one more; their votes are close.
+SHORT = 9
 #: Bits of the bitmap that picks the rows whose sets are compared: 2 MB, whatever the input.
 PICK_BITS = 1 << 24
 #: Anchors with more members than this are compared block by block, smaller ones all at once.
@@ -351,8 +353,15 @@ def alike_sets(sets: list[np.ndarray], alike: float) -> np.ndarray:
     return grouped(len(sets), near)
 
 
+def one_less(shingles: np.ndarray) -> list[int]:
+    """The fingerprints of a short set without each of its shingles in turn; none of a longer one."""
+    from xxhash import xxh64_intdigest
+
+    return [xxh64_intdigest(np.delete(shingles, i).tobytes()) for i in range(len(shingles))] if 2 <= len(shingles) <= SHORT + 1 else []
+
+
 def candidate_groups(distinct: DataFrame, bits: int, tables: int, count: int) -> DataFrame:
-    """(fp, n, root): sets, given as (fp, high, low, keys, n), by their candidate groups.
+    """(fp, n, root): sets, given as (fp, high, low, keys, n, less), by their candidate groups.
 
     Entries go to the task of their key in packed blocks. The first round's groups are linked as wholes in the second, so links
     are in proportion to the sets, whatever the size of a group and the number of tables.
@@ -401,15 +410,17 @@ def candidate_groups(distinct: DataFrame, bits: int, tables: int, count: int) ->
     one = round_of(distinct.withColumn("root", F.col("high")), 0, FIRST)
     # One step of the way to the first round's components; the rest of it is made with all links.
     two = round_of(rooted(one.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))), FIRST, tables)
-    return rooted(components(one.union(two))).select("fp", "n", "root")
+    short = distinct.where(F.col("n") <= SHORT).select("fp", F.col("high").alias("b"))
+    more = distinct.select(F.col("high").alias("a"), F.explode("less").alias("fp")).join(short, "fp").select("a", "b")
+    return rooted(components(one.union(two).union(more))).select("fp", "n", "root")
 
 
 def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: float, bits: int, tables: int, count: int) -> DataFrame:
     """(node, root) for the fingerprints of rows with fingerprint and _cq_signed: the components, by links with Jaccard `alike` or more, of the
     sets in each candidate group. Not every fingerprint that is its own root has a row.
 
-    A function adds the whole sets to the rows that are in candidate groups, as _cq_set. A group is compared in one task; of a very large
-    one every two blocks of members are.
+    A function adds the whole sets to the rows that are in candidate groups, as _cq_set. A group is compared in one task, a very large one in
+    blocks (in_blocks()).
     """
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done() -> pd.DataFrame:
@@ -430,20 +441,45 @@ def similar(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], alike: floa
         if held:
             yield done()
 
-    signed = rows.select(F.col("fingerprint").alias("fp"), "_cq_signed.high", "_cq_signed.low", "_cq_signed.keys", "_cq_signed.n").where("n > 0")
+    signed = rows.select(F.col("fingerprint").alias("fp"), "_cq_signed.high", "_cq_signed.low", "_cq_signed.keys", "_cq_signed.n", "_cq_signed.less").where("n > 0")
     groups = candidate_groups(written(signed.dropDuplicates(["fp"])), bits, tables, count)
     met_any = with_group(groups, ["root"], ["fp"], [F.count(F.lit(1)).alias("members"), F.sum("n").alias("hashes")]).where("members > 1")
     crowd = saved(met_any.select(F.col("fp").alias("fingerprint"), "root", F.ceil(F.col("hashes") / SET_BLOCK).cast("int").alias("blocks")))
     hit = crowd.select(F.pmod("fingerprint", F.lit(PICK_BITS)).alias("_cq_bit"))
     picked = in_bitmap(rows, saved(bit_words(hit, "_cq_bit")), [F.pmod("fingerprint", F.lit(PICK_BITS))], "_cq_in").where("_cq_in")
     whole = sets(picked).select("fingerprint", "_cq_set").dropDuplicates(["fingerprint"]).join(crowd, "fingerprint")
-    block = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("root", F.least(block, other), F.greatest(block, other)))
-    dealt_out = whole.select("fingerprint", "_cq_set", F.explode(tasks).alias("task"))
-    found = dealt_out.repartition("task").sortWithinPartitions("task").mapInPandas(check, "node long, root long")
+    def compared(dealt_out: DataFrame) -> DataFrame:
+        return dealt_out.repartition("task").sortWithinPartitions("task").mapInPandas(check, "node long, root long")
+
     if crowd.where("blocks > 1").isEmpty():
-        return saved(found)
-    return components(found.toDF("a", "b"))
+        return saved(compared(whole.select("fingerprint", "_cq_set", F.col("root").alias("task"))))
+    return in_blocks(whole, compared)
+
+
+def in_blocks(whole: DataFrame, compared: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The components (node, root) of sets (fingerprint, _cq_set, root, blocks), where large groups are dealt into blocks.
+
+    Each block is compared in one task, with one member of every other block. Then all pairs are tried but those of a group's largest component
+    so far: its other members go, in parts, to every block. So a group of near copies is sent about once, and only members that
+    the largest component lacks are sent often.
+    """
+    within = written(whole.withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")))
+    large, upto = within.where("blocks > 1"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # A row for each block of a large group: as many as hold the input, SET_BLOCK shingles each.
+    chosen = large.groupBy("root", "block").agg(F.min("fingerprint").alias("fingerprint")).select("fingerprint")
+    chosen = large.join(F.broadcast(chosen), "fingerprint").withColumn("other", upto("blocks")).where("other <> block")
+    own = within.select("fingerprint", "_cq_set", F.xxhash64("root", "block").alias("task"))
+    first = saved(compared(own.union(chosen.select("fingerprint", "_cq_set", F.xxhash64("root", "other")))))
+    label = components(first.toDF("a", "b")).toDF("fingerprint", "label")
+    named = large.join(label, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
+    sizes = named.groupBy("root", "label").agg(F.sum(F.octet_length("_cq_set") / 4).alias("hashes"))
+    most = sizes.groupBy("root").agg(F.max_by("label", "hashes").alias("most"), (F.sum("hashes") - F.max("hashes")).alias("lacks")).where("lacks > 0")
+    both = named.join(F.broadcast(saved(most.select("root", "most", F.ceil(F.col("lacks") / SET_BLOCK).cast("int").alias("parts")))), "root")
+    part = F.pmod(F.xxhash64("root", "fingerprint"), F.col("parts")).cast("int")
+    lacking = both.where("label <> most").withColumn("part", part).withColumn("at", upto("blocks"))
+    every = both.withColumn("part", upto("parts")).withColumn("at", F.col("block"))
+    second = compared(lacking.union(every).select("fingerprint", "_cq_set", F.xxhash64("root", "part", "at").alias("task")))
+    return components(first.union(second).toDF("a", "b"))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, alike: float = 0.8) -> DataFrame:
@@ -456,7 +492,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count = docs.count()
     bits, tables = table_sizes(count)
 
-    @F.pandas_udf("fingerprint long, high long, low long, keys binary, n long")
+    @F.pandas_udf("fingerprint long, high long, low long, keys binary, n long, less array<long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         from xxhash import xxh64_intdigest
 
@@ -464,7 +500,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints = np.array([xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
         hashes = [simhash(x, bits, tables) for x in found]
         high, low = np.array([x for x, _ in hashes], np.uint64).reshape(-1, 2).T.copy().view(np.int64)
-        return pd.DataFrame({"fingerprint": prints, "high": high, "low": low, "keys": [k.tobytes() for _, k in hashes], "n": [len(x) for x in found]})
+        return pd.DataFrame({"fingerprint": prints, "high": high, "low": low, "keys": [k.tobytes() for _, k in hashes], "n": [len(x) for x in found], "less": [np.array(one_less(x), np.uint64).view(np.int64) for x in found]})
 
     @F.pandas_udf("binary")
     def shingled(texts: pd.Series) -> pd.Series:

@@ -437,3 +437,35 @@ def test_simhash_tables_and_groups():
     assert near_dedup.table_sizes(1 << 40) == (32, 507)
     chain = lambda some, others: (np.abs(some[:, None] - others) == 2).any(axis=0)
     assert near_dedup.grouped(101, chain).tolist() == [i % 2 for i in range(101)]
+
+
+def test_similar_dedup_in_blocks_and_of_short_texts(spark, monkeypatch):
+    """Large candidate groups compared in blocks have the components of brute force, and short texts meet those with a shingle more."""
+    r, rows = random.Random(8), []
+    base = [f"b{r.randint(0, 10**6)}" for _ in range(120)]
+    for i in range(60):
+        text = base + [f"own{i}x{k}" for k in range(20)]
+        for k in range(4):
+            near = list(text)
+            for at in r.sample(range(len(near)), k):
+                near[at] = f"edit{i}x{k}"
+            rows.append((len(rows), " ".join(near), "en", "s1", 1))
+    rows += [(len(rows) + k, " ".join(base) + f" end{k}", "en", "s1", 1) for k in range(60)]
+    for i in range(200):
+        words = [f"s{i}x{k}" for k in range(9 + i % 4)]
+        rows += [(len(rows) + k, " ".join(words[: len(words) - k]), "en", "s1", 1) for k in range(2)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    want = list(range(len(rows)))
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and find(i) != find(j):
+                want[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for block in (near_dedup.SET_BLOCK, 4000):
+        monkeypatch.setattr(near_dedup, "SET_BLOCK", block)
+        got = {x.doc_id: x.component_id for x in near_dedup.similar_dedup(docs).collect()}
+        assert [got[i] for i in range(len(rows))] == [find(i) for i in range(len(rows))]
