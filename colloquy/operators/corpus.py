@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LocalLDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import remove_urls
-from colloquy.plans.lineage import saved
+from colloquy.operators import topics
 
 
 def corpus(groups: DataFrame, threads: DataFrame, comments: DataFrame | None = None, group_key: str = "0") -> DataFrame:
@@ -38,31 +36,30 @@ def dictionary(docs: DataFrame, tokens: str = "tokens", least: int = 1, most: fl
     return doc_frequency(docs, tokens).crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("n"))).select("token", "df")
 
 
-def fit_vectors(docs: DataFrame, tokens: str = "tokens", least: float = 1.0, most: float = 0.8) -> CountVectorizerModel:
-    """M1, M2. The whole vocabulary, which the driver holds, as it holds the topics' weights for it."""
-    return CountVectorizer(inputCol=tokens, outputCol="bow", minDF=least, maxDF=most, vocabSize=2**31 - 1).fit(docs)
+def fit_vectors(docs: DataFrame, tokens: str = "tokens", least: float = 1.0, most: float = 0.8) -> topics.Vocabulary:
+    """M1, M2. The whole vocabulary, as a table. Bounds below 1 are shares of the documents, others are numbers of them."""
+    n = docs.count()
+    low, high = (x if x >= 1 else x * n for x in (least, most))
+    return topics.Vocabulary(topics.written(doc_frequency(docs, tokens).where((F.col("df") >= low) & (F.col("df") <= high))))
 
 
-def train_topics(docs: DataFrame, vectors: CountVectorizerModel, k: int, max_iter: int = 20, seed: int = 42):
-    """M3. Online variational LDA. Counts are kept once, so that rounds don't tokenise again."""
-    return LDA(featuresCol="bow", k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(saved(vectors.transform(docs).select("bow")))
+def train_topics(docs: DataFrame, vectors: topics.Vocabulary, k: int, max_iter: int = 20, seed: int = 42) -> topics.Topics:
+    """M3. Online variational LDA."""
+    return topics.train(docs, vectors.vocabulary, k, max_iter, seed)
 
 
-def topic_distribution(docs: DataFrame, vectors: CountVectorizerModel, model, k: int) -> DataFrame:
-    """M4. Add topics, k probabilities; a document without known words gets 1/k for each."""
-    dense = vector_to_array(F.col("topicDistribution"))
-    total = F.aggregate(dense, F.lit(0.0), lambda s, x: s + x)
-    uniform = F.array_repeat(F.lit(1.0 / k), k)
-    return model.transform(vectors.transform(docs)).withColumn("topics", F.when(total > 0, F.transform(dense, lambda x: x / total)).otherwise(uniform)).drop("topicDistribution", "bow")
+def topic_distribution(docs: DataFrame, vectors: topics.Vocabulary, model: topics.Topics, k: int) -> DataFrame:
+    """M4. Add topics, k probabilities; a document without known words gets 1/k for each. The model's weights have a row for each token of
+    vectors."""
+    return topics.distribution(docs, model, k)
 
 
-def topic_terms(vectors: CountVectorizerModel, model, n: int = 10) -> DataFrame:
-    """M5, T5. The n heaviest terms of each topic."""
-    words = vectors.vocabulary
-    described = model.describeTopics(n)
-    rows = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-    lookup = described.sparkSession.createDataFrame(list(enumerate(words)), "termIndex int, term string")
-    return rows.select("topic", "rank", F.col("t.termIndices").alias("termIndex"), F.col("t.termWeights").alias("weight")).join(lookup, "termIndex").select("topic", "rank", "term", "weight")
+def topic_terms(vectors: topics.Vocabulary, model: topics.Topics, n: int = 10) -> DataFrame:
+    """M5, T5. The n heaviest terms of each topic; of equal ones the first by name."""
+    one = [F.struct(F.lit(j).alias("topic"), (F.col(f"w{j}") / total).alias("weight")) for j, total in enumerate(model.totals)]
+    rows = model.weights.select(F.col("token").alias("term"), F.explode(F.array(*one)).alias("t")).select("t.topic", "term", "t.weight")
+    rank = F.row_number().over(W.partitionBy("topic").orderBy(F.desc("weight"), "term"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("topic", (F.col("rank") - 1).alias("rank"), "term", "weight")
 
 
 def interest_text(comments: DataFrame, threads: DataFrame, authored: bool = False) -> DataFrame:
@@ -108,11 +105,11 @@ def save_bags(bags: DataFrame, path: str) -> None:
     bags.write.mode("overwrite").parquet(path)
 
 
-def load_vectors(path: str) -> CountVectorizerModel:
+def load_vectors(path: str) -> topics.Vocabulary:
     """S18. A fitted vocabulary, as save_model() wrote it."""
-    return CountVectorizerModel.load(path)
+    return topics.Vocabulary.load(path)
 
 
-def load_topics(path: str) -> LocalLDAModel:
+def load_topics(path: str) -> topics.Topics:
     """S18. A fitted topic model, as save_model() wrote it."""
-    return LocalLDAModel.load(path)
+    return topics.Topics.load(path)

@@ -112,6 +112,23 @@ def test_topics(spark):
     assert corpus.topic_terms(vectors, model, 2).count() == 8
 
 
+def test_q46_lda_keeps_its_vocabulary_in_tables(spark):
+    words = {0: ["cat", "dog", "fish"], 1: ["sun", "moon", "star"]}
+    docs = spark.createDataFrame([(i, [words[i % 2][(i // 2 + j) % 3] for j in range(40)]) for i in range(400)], "doc_id long, tokens array<string>")
+    found = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts)
+        vectors = corpus.fit_vectors(dealt)
+        model = corpus.train_topics(dealt, vectors, 2, 6)
+        assert {r.token for r in vectors.vocabulary.collect()} == {r.token for r in model.weights.collect()} == {*words[0], *words[1]}
+        # The sums kept beside the weights are theirs.
+        assert np.allclose(model.weights.selectExpr("sum(w0)", "sum(w1)").first(), model.totals)
+        found.append({(r.topic, r.term): r.weight for r in corpus.topic_terms(vectors, model, 3).collect()})
+        if parts == 1:
+            assert {frozenset(t for k, t in found[0] if k == topic) for topic in (0, 1)} == {frozenset(w) for w in words.values()}
+    assert found[0].keys() == found[1].keys() and np.allclose([*found[0].values()], [found[1][k] for k in found[0]])
+
+
 def test_candidates_and_instances(spark):
     users = spark.createDataFrame([(i,) for i in range(40)], "user_id long")
     pairs = spark.createDataFrame([(1, 0, i) for i in range(0, 7)] + [(2, 1, i) for i in range(2, 6)] + [(3, 99, i) for i in range(2, 9)] + [(4, 3, i) for i in range(10, 30)], "topic_id long, creator_id long, user_id long")
