@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.operators import behavior, corpus, evaluate, graph, html, instances, learn, relational
+from colloquy.operators import behavior, corpus, evaluate, graph, html, instances, learn, relational, topics
 from colloquy.plans import study
 from colloquy.streaming import files
 
@@ -129,6 +129,19 @@ def test_q46_lda_keeps_its_vocabulary_in_tables(spark):
     assert found[0].keys() == found[1].keys() and np.allclose([*found[0].values()], [found[1][k] for k in found[0]])
 
 
+def test_q46b_topic_interest_of_documents_together_and_alone(spark):
+    rng = np.random.default_rng(1)
+    beta, alpha = rng.random((30, 3)), np.array([0.2, 0.5, 0.3])
+    bags = [np.unique(rng.integers(0, 30, n), return_counts=True) for n in (1, 5, 40, 3)]
+    starts = np.cumsum([0, *(len(i) for i, _ in bags)])
+    gamma, sums = topics.infer(np.concatenate([i for i, _ in bags]), np.concatenate([c for _, c in bags]), starts, beta, alpha)
+    alone = [topics.infer(i, c, np.array([0, len(i)]), beta, alpha) for i, c in bags]
+    assert np.allclose(gamma, np.vstack([g for g, _ in alone])) and np.allclose(sums, sum(s for _, s in alone))
+    # Every word of a document goes to some topic.
+    assert np.allclose(gamma.sum(axis=1), [c.sum() + 1 for _, c in bags]) and np.isclose(sums.sum(), sum(c.sum() for _, c in bags))
+    assert np.allclose(topics.digamma([0.5, 1, 10]), [-1.9635100260214235, -0.5772156649015329, 2.251752589066721]) and np.allclose(topics.trigamma([1, 10]), [1.6449340668482264, 0.10516633568168575])
+
+
 def test_candidates_and_instances(spark):
     users = spark.createDataFrame([(i,) for i in range(40)], "user_id long")
     pairs = spark.createDataFrame([(1, 0, i) for i in range(0, 7)] + [(2, 1, i) for i in range(2, 6)] + [(3, 99, i) for i in range(2, 9)] + [(4, 3, i) for i in range(10, 30)], "topic_id long, creator_id long, user_id long")
