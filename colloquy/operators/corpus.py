@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import remove_urls
 from colloquy.operators import topics
+from colloquy.plans.lineage import written
 
 
 def corpus(groups: DataFrame, threads: DataFrame, comments: DataFrame | None = None, group_key: str = "0") -> DataFrame:
@@ -40,7 +41,7 @@ def fit_vectors(docs: DataFrame, tokens: str = "tokens", least: float = 1.0, mos
     """M1, M2. The whole vocabulary, as a table. Bounds below 1 are shares of the documents, others are numbers of them."""
     n = docs.count()
     low, high = (x if x >= 1 else x * n for x in (least, most))
-    return topics.Vocabulary(topics.written(doc_frequency(docs, tokens).where((F.col("df") >= low) & (F.col("df") <= high))))
+    return topics.Vocabulary(written(doc_frequency(docs, tokens).where((F.col("df") >= low) & (F.col("df") <= high))))
 
 
 def train_topics(docs: DataFrame, vectors: topics.Vocabulary, k: int, max_iter: int = 20, seed: int = 42) -> topics.Topics:

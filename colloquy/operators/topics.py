@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from colloquy.plans.lineage import scratch
+from colloquy.plans.lineage import scratch, written
 
 #: Documents that are inferred at once.
 BLOCK = 2048
@@ -80,12 +80,6 @@ def _active() -> SparkSession:
     return spark
 
 
-def written(frame: DataFrame) -> DataFrame:
-    path = scratch(frame.sparkSession)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def digamma(x: np.ndarray) -> np.ndarray:
     x, out = np.array(x, dtype=float), 0.0
     for _ in range(6):

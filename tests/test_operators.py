@@ -86,6 +86,18 @@ def test_pages(spark):
     assert {r.target for r in html.links(page.where("page_id = 1")).collect()} >= {"http://www.example.com/group/topic/1/?start=100"}
 
 
+def _follows(spark):
+    pairs = sorted({(a, (a * a + b * b * 7) % 40) for a in range(30) for b in range(12)})
+    want = {(a, b): n for a in range(30) for b in range(a + 1, 30) if (n := len({d for s, d in pairs if s == a} & {d for s, d in pairs if s == b}))}
+    return spark.createDataFrame(pairs, "src long, dst long"), want
+
+
+def test_q24_instances_pairs_are_not_shuffled_one_by_one(spark):
+    edges, _ = _follows(spark)
+    plan = graph.mutual_following(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(a#" in x and ", b#" in x]
+
+
 #: References without a semicolon stay; in a script nothing is decoded.
 CUT = "a &amp;&lt;&notit; &copy; x&&amp"
 SHOWN = "a &<&notit; \u00a9 x&&amp"
