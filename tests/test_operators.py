@@ -92,6 +92,15 @@ def _follows(spark):
     return spark.createDataFrame(pairs, "src long, dst long"), want
 
 
+def test_q05_mutual_following_takes_tasks_by_its_pairs(spark, monkeypatch):
+    edges, want = _follows(spark)
+    monkeypatch.setattr(graph, "PAIRS", 100, raising=False)
+    for hot in (2, 2000):
+        got = graph.mutual_following(edges, hot=hot, salts=3)
+        assert {(r.a, r.b): r.n for r in got.collect()} == want
+        assert got.rdd.getNumPartitions() >= sum(want.values()) // 100 > 4
+
+
 def test_q24_instances_pairs_are_not_shuffled_one_by_one(spark):
     edges, _ = _follows(spark)
     plan = graph.mutual_following(edges)._jdf.queryExecution().executedPlan().toString()
