@@ -105,12 +105,11 @@ def mutual_files(spark, sf):
 
 
 def prediction_files(spark, sf):
-    """Two files with the probabilities in either order, as their headers say."""
+    """Two sets of files with the probabilities in either order, as their headers say."""
     path = scratch(spark)
     e = table(spark, sf, "events").select(F.when(F.col("event_type") == "purchase", "1").otherwise("-1").alias("y"), F.format_string("%.6f", F.col("value") / 100).alias("p"), F.format_string("%.6f", 1 - F.col("value") / 100).alias("n"), "event_id")
-    for name, header, fields, rows in (("a", "labels 1 -1", ("y", "p", "n"), e.where("event_id % 2 = 0")), ("b", "labels -1 1", ("y", "n", "p"), e.where("event_id % 2 = 1"))):
-        lines = spark.createDataFrame([(0, header)], "at long, value string").unionByName(rows.select((F.col("event_id") + 1).alias("at"), F.concat_ws(" ", *fields).alias("value")))
-        lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(f"{path}/{name}")
+    for name, fields, rows in (("a", {"labels": "y", "1": "p", "-1": "n"}, e.where("event_id % 2 = 0")), ("b", {"labels": "y", "-1": "n", "1": "p"}, e.where("event_id % 2 = 1"))):
+        S.write_predictions(rows, f"{path}/{name}", fields)
     return S.read_predictions(spark, f"{path}/*").groupBy("label", F.round("prob", 6).alias("prob")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -110,11 +110,18 @@ def read_mutual(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, positive: str = "1") -> DataFrame:
-    """S11. Label and P(positive) of a prediction file, whose header names the order of the two probabilities."""
+    """S11. Label and P(positive) of a prediction file, whose header names the order of the two probabilities. Headers, one a file, are
+    broadcast, as the lines of a file would be one task of a join by file."""
     rows = lines(spark, path).where(not_blank("value")).withColumn("parts", F.split("value", r"\s+"))
     header = rows.where("parts[0] = 'labels'").select("file", F.array_position("parts", positive).cast("int").alias("at"))
     body = rows.where("parts[0] <> 'labels'")
-    return body.join(header, "file").select(F.col("parts")[0].try_cast("double").cast("int").alias("label"), F.element_at("parts", F.col("at")).try_cast("double").alias("prob"), "file", "position")
+    return body.join(F.broadcast(header), "file").select(F.col("parts")[0].try_cast("double").cast("int").alias("label"), F.element_at("parts", F.col("at")).try_cast("double").alias("prob"), "file", "position")
+
+
+def write_predictions(frame: DataFrame, path: str, columns: dict[str, Column | str]) -> None:
+    """S11. Prediction files of a label and two probabilities, given by their names in the header, which heads the file of each task."""
+    shown = [(F.col(c) if isinstance(c, str) else c).cast("string").alias(name) for name, c in columns.items()]
+    frame.select(*shown).write.mode("overwrite").csv(path, sep=" ", header=True)
 
 
 def read_topic_index(spark: SparkSession, path: str) -> DataFrame:

@@ -130,3 +130,14 @@ def test_a_stream_at_intervals(spark, tmp_path):
     finally:
         running.stop()
     assert rates == [10, 10, 10] and spark.read.parquet(str(tmp_path / "out")).distinct().count() == 30
+
+
+def test_q76_prediction_files_are_written_and_read_by_all_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).selectExpr("if(id % 2 = 0, '1', '-1') as y", "format_string('%.6f', id / 100) as p", "format_string('%.6f', 1 - id / 100) as n")
+    S.write_predictions(rows, f"{tmp_path}/a", {"labels": "y", "1": "p", "-1": "n"})
+    S.write_predictions(rows, f"{tmp_path}/b", {"labels": "y", "-1": "n", "1": "p"})
+    parts = sorted((tmp_path / "b").glob("part-*"))
+    assert len(parts) == 4 and all(p.read_text().splitlines()[0] == "labels -1 1" for p in parts)
+    got = S.read_predictions(spark, f"{tmp_path}/*")
+    assert sorted((r.label, r.prob) for r in got.collect()) == sorted((1 if i % 2 == 0 else -1, i / 100) for i in range(40) for _ in "ab")
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
