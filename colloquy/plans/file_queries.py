@@ -68,8 +68,8 @@ def comment_files(spark, sf):
     l = table(spark, sf, "lineitem").select(F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("comment_id"), "*")
     fields = ["comment_id", "l_returnflag", "l_orderkey", "l_suppkey", F.date_format("l_shipdate", DAY), F.when(F.col("l_linenumber") > 1, F.col("l_partkey").cast("string")).otherwise(" "), F.concat(F.lit("of "), F.col("l_linestatus"))]
     S.write_lines(l, path, fields)
-    good, bad = S.read_comments(spark, path)
-    return good.select("comment_id", "group_id", "topic_id", "user_id", F.date_format("pubdate", DAY).alias("pubdate"), F.coalesce("ref_comment_id", F.lit("-")).alias("ref_comment_id"), "content").unionByName(bad.select(F.lit("bad").alias("comment_id")), allowMissingColumns=True)
+    found = S.scan_comments(spark, path)
+    return found.select(F.when(F.col("reason").isNull(), F.col("comment_id")).otherwise("bad").alias("comment_id"), "group_id", "topic_id", "user_id", F.date_format("pubdate", DAY).alias("pubdate"), F.when(F.col("reason").isNull(), F.coalesce("ref_comment_id", F.lit("-"))).alias("ref_comment_id"), "content")
 
 
 def group_files(spark, sf):

@@ -141,3 +141,14 @@ def test_q76_prediction_files_are_written_and_read_by_all_tasks(spark, tmp_path)
     got = S.read_predictions(spark, f"{tmp_path}/*")
     assert sorted((r.label, r.prob) for r in got.collect()) == sorted((1 if i % 2 == 0 else -1, i / 100) for i in range(40) for _ in "ab")
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_q71_comment_files_are_read_once(spark, tmp_path):
+    (tmp_path / "c").write_text("\t1[=]g[=]t[=]u[=] 2012-08-01 00:00:00 [=] [=]x\x0b\n\n2[=]g[=]t[=]u[=]2012-08-01 00:00:01[=]1[=]y\nbad[=]row\n3[=]g[=]t[=]u[=]no date[=]1[=]z\n")
+    path = str(tmp_path / "c")
+    found = S.scan_comments(spark, path)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    good, bad = S.read_comments(spark, path)
+    assert sorted(map(tuple, found.where("reason is null").drop("reason").collect())) == sorted(map(tuple, good.collect()))
+    assert sorted((r.comment_id, r.reason) for r in found.where("reason is not null").collect()) == [(None, r.reason) for r in bad.orderBy("reason").collect()] == [(None, "date: no date"), (None, "fields: 2")]
+    assert [r.content for r in good.orderBy("comment_id").collect()] == ["x", "y"] and good.where("ref_comment_id is null").count() == 1
